@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickwarden.functions.ids import lookup
@@ -211,20 +211,17 @@ def merge_predicted(observed: DataFrame, predicted: DataFrame, keys: Sequence[st
 def emit_changes(cycles: DataFrame, min_delta: float = 0.05) -> DataFrame:
     """New, or changed in severity, or moved in confidence since the cycle before. A skipped cycle means new.
 
-    The cycle before is an equality join on (key, cycle), so a key with very many cycles still spreads out.
+    Cycles hold one row per (cycle, key), so a key's window is as long as the clock has ticks, whatever the data.
     """
-    earlier = cycles.select(
-        (F.col("cycle") + 1).alias("cycle"), "entity_id", "metric",
-        F.col("severity").alias("prev_severity"), F.col("confidence").alias("prev_confidence"),
-    )
-    rows = cycles.join(earlier, ["cycle", "entity_id", "metric"], "left")
-    moved = F.round(F.abs(F.col("confidence") - F.col("prev_confidence")), 6) >= min_delta
+    w = Window.partitionBy("entity_id", "metric").orderBy("cycle")
+    follows = F.lag("cycle").over(w) == F.col("cycle") - 1
+    moved = F.round(F.abs(F.col("confidence") - F.lag("confidence").over(w)), 6) >= min_delta
     state = (
-        F.when(F.col("prev_severity").isNull(), "new")
-        .when((F.col("severity") != F.col("prev_severity")) | moved, "changed")
+        F.when(F.coalesce(~follows, F.lit(True)), "new")
+        .when((F.col("severity") != F.lag("severity").over(w)) | moved, "changed")
         .otherwise("unchanged")
     )
-    return rows.withColumn("change", state)
+    return cycles.withColumn("change", state)
 
 
 def resolved(cycles: DataFrame) -> DataFrame:
@@ -232,10 +229,11 @@ def resolved(cycles: DataFrame) -> DataFrame:
 
     Keys of the newest cycle are still open.
     """
-    nxt = cycles.select((F.col("cycle") - 1).alias("cycle"), "entity_id", "metric")
+    w = Window.partitionBy("entity_id", "metric").orderBy("cycle")
     newest = cycles.agg(F.max("cycle")).scalar()
-    gone = cycles.join(nxt, ["cycle", "entity_id", "metric"], "left_anti")
-    return gone.where(F.col("cycle") < newest).withColumn("cycle", F.col("cycle") + 1)
+    stays = F.lead("cycle").over(w) == F.col("cycle") + 1
+    gone = cycles.withColumn("_stays", F.coalesce(stays, F.lit(False))).where(~F.col("_stays") & (F.col("cycle") < newest))
+    return gone.drop("_stays").withColumn("cycle", F.col("cycle") + 1)
 
 
 def health_summary(active: DataFrame, *keys: str) -> DataFrame:

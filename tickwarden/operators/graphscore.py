@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickwarden.functions.severity import predicted_severity
 from tickwarden.operators.topology import both_directions
+from tickwarden.session import cut
 
 # Limits of the rule score.
 RULE_LIMITS = {"utilization_pct": 85.0, "latency_ms": 50.0, "packet_loss_pct": 1.0, "buffer_drops": 100.0}
@@ -33,12 +34,13 @@ def smoothed(features: DataFrame, links: DataFrame, columns: Sequence[str], time
 
     A hop is a join with the arcs and a sum per (time, node); sums combine before the shuffle.
     """
-    arcs = both_directions(links.select("source", "target")).select(F.col("source").alias("entity_id"), F.col("target").alias("to"))
+    links = cut(links.select("source", "target"))
+    arcs = both_directions(links).select(F.col("source").alias("entity_id"), F.col("target").alias("to"))
     loops = links.select(F.explode(F.array("source", "target")).alias("entity_id")).distinct().withColumn("to", F.col("entity_id"))
     arcs = arcs.unionByName(loops)
     size = arcs.groupBy("entity_id").agg(F.count("*").alias("_d"))
     arcs = arcs.join(size, "entity_id").join(size.select(F.col("entity_id").alias("to"), F.col("_d").alias("_e")), "to")
-    arcs = arcs.select("entity_id", "to", (1.0 / F.sqrt(F.col("_d") * F.col("_e"))).alias("_w"))
+    arcs = cut(arcs.select("entity_id", "to", (1.0 / F.sqrt(F.col("_d") * F.col("_e"))).alias("_w")))
     rows = features.select(time, "entity_id", *columns)
     for _ in range(hops):
         spread = rows.join(arcs, "entity_id")
@@ -55,7 +57,8 @@ def _inputs(features: DataFrame, links: DataFrame, columns: Sequence[str], time:
 def fit_graph_score(features: DataFrame, links: DataFrame, columns: Sequence[str], time: str) -> LogisticRegressionModel:
     """Learn the pseudo-label from a node's own and its neighbours' features."""
     learner = LogisticRegression(featuresCol="_x", labelCol="label", maxIter=20, regParam=0.01)
-    return learner.fit(_inputs(features, links, columns, time))
+    rows = _inputs(features, links, columns, time).select(F.array(*[F.col(c) for c in columns], *[F.col("near_" + c) for c in columns]).alias("_a"), "label")
+    return learner.fit(cut(rows).select(array_to_vector("_a").alias("_x"), "label"))
 
 
 def graph_scores(model: LogisticRegressionModel, features: DataFrame, links: DataFrame, columns: Sequence[str], time: str) -> DataFrame:

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickwarden.operators.topology import both_directions, degrees
+from tickwarden.session import cut
 
 
 def _arcs(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(all directed arcs, the arcs into nodes with at least two links)."""
+    links = cut(links.select("source", "target", "weight"))
     arcs = both_directions(links.select("source", "target", "weight")).withColumnsRenamed({"source": "node", "target": "next"})
     inner = degrees(links.withColumn("link_id", F.lit(""))).where(F.col("degree") > 1).select(F.col("node_id").alias("next"))
     return arcs, arcs.join(inner, "next", "left_semi")
@@ -37,7 +39,7 @@ def shortest_paths(links: DataFrame, pairs: DataFrame, max_hops: int = 6) -> Dat
             F.lit(hop).alias("hops"), F.concat_ws(">", "path", "next").alias("path"),
         )
         state = state.unionByName(grown).groupBy("source", "node").agg(best.alias("b"))
-        state = state.select("source", "node", "b.cost", "b.hops", "b.path")
+        state = cut(state.select("source", "node", "b.cost", "b.hops", "b.path"))
     last = wanted.join(arcs.withColumnRenamed("next", "target"), "target").join(state, ["source", "node"])
     last = last.where(F.col("source") != F.col("target")).select(
         "source", "target", (F.col("cost") + F.col("weight")).alias("cost"), (F.col("hops") + 1).alias("hops"),
@@ -63,9 +65,9 @@ def simple_paths(links: DataFrame, pairs: DataFrame, max_hops: int = 6) -> DataF
         if hop < max_hops - 1:
             grown = live.join(inner.select("node", "next"), "node")
             fresh = ~F.array_contains("path", F.col("next")) & (F.col("next") != F.col("target"))
-            live = grown.where(fresh).select(
+            live = cut(grown.where(fresh).select(
                 "source", "target", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path")
-            )
+            ))
     return done
 
 

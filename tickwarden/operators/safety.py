@@ -258,8 +258,8 @@ def worst_link(given: SafetyInput, spare: int = 64) -> DataFrame:
         F.max(F.struct(F.col("predicted").alias("v"), F.col("link_id"))).alias("own"),
     )
     rows = given.actions.select("action_id").join(own, "action_id", "left")
-    ids = F.coalesce("ids", F.array().cast("array<string>"))
-    rest = F.try_element_at(F.filter(ranked, lambda e: ~F.array_contains(ids, e["link_id"])), F.lit(1))
+    rows = rows.withColumns({"ids": F.coalesce("ids", F.array().cast("array<string>")), "_ranked": ranked})
+    rest = F.try_element_at(F.filter("_ranked", lambda e: ~F.array_contains(F.col("ids"), e["link_id"])), F.lit(1))
     mine = F.coalesce(F.col("own.v"), F.lit(-1.0)) >= F.coalesce(-rest["v"], F.lit(-1.0))
     return rows.select(
         "action_id", F.when(mine, F.col("own.link_id")).otherwise(rest["link_id"]).alias("worst_link"),

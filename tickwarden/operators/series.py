@@ -19,10 +19,19 @@ MAX_SERIES_ROWS = 2_000_000
 CHUNK_ROWS = 65_536
 
 
+_sizes: dict[tuple, int] = {}
+
+
 def hottest(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest key: one partial aggregate over the key columns, one number to the driver."""
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()
-    return int(row["n"] or 0)
+    """Rows of the largest key: one partial aggregate over the key columns, one number to the driver.
+
+    Remembered per plan. The number only picks between two ways to the same result, so a stale one is harmless.
+    """
+    counted = df.groupBy(*keys).count()
+    mark = (df.sparkSession.sparkContext.applicationId, counted.semanticHash())
+    if mark not in _sizes:
+        _sizes[mark] = int(counted.agg(F.max("count").alias("n")).first()["n"] or 0)
+    return _sizes[mark]
 
 
 def with_position(
@@ -73,12 +82,14 @@ def over_series(
     after: int = 0,
     max_rows: int = MAX_SERIES_ROWS,
     chunk_rows: int = CHUNK_ROWS,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Add window columns whose frames reach at most `before` rows back and `after` rows ahead.
 
-    `columns(w)` gets the ordered window without a frame and returns the new columns.
+    `columns(w)` gets the ordered window without a frame and returns the new columns. `sized_by` is a cheaper table
+    with at least as many rows per key, to count instead of `df`.
     """
-    size = hottest(df, keys)
+    size = hottest(df if sized_by is None else sized_by, keys)
     if size <= max_rows:
         return df.withColumns(columns(Window.partitionBy(*keys).orderBy(*order)))
     placed = chunked(with_position(df, keys, order, max_rows, size), before, after, chunk_rows)

@@ -16,7 +16,8 @@ def unique_links(links: DataFrame) -> DataFrame:
 
 
 def both_directions(links: DataFrame) -> DataFrame:
-    back = links.withColumnsRenamed({"source": "target", "target": "source"}).select(links.columns)
+    rest = [c for c in links.columns if c not in ("source", "target")]
+    back = links.select(F.col("target").alias("source"), F.col("source").alias("target"), *rest)
     return links.unionByName(back)
 
 

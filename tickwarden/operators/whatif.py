@@ -295,8 +295,10 @@ def projection_risk(actions: DataFrame, state: DataFrame, steps: int = 5) -> Dat
     ids = F.coalesce("own_ids", F.array().cast("array<string>"))
     rolling = F.col("action_type") == "config_rollback"
     values = {}
-    for name, top in zip(("max_util", "max_latency", "max_loss"), ranks):
-        others = F.filter(top.scalar(), lambda e: ~F.array_contains(ids, e["entity_id"]))
+    names = ("max_util", "max_latency", "max_loss")
+    rows = rows.withColumns({"own_ids": ids, **{"t_" + n: top.scalar() for n, top in zip(names, ranks)}})
+    for name in names:
+        others = F.filter("t_" + name, lambda e: ~F.array_contains(F.col("own_ids"), e["entity_id"]))
         rest = F.coalesce(-F.try_element_at(others, F.lit(1))["v"], F.lit(0.0))
         values["w_" + name] = F.when(rolling, rolled.select("r_" + name).scalar()).otherwise(
             F.greatest(F.coalesce(name, F.lit(0.0)), rest)

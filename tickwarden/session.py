@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,11 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
     return fresh
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Materialise into the shared folder so that a lost executor never changes what was computed."""
+def cut(df: DataFrame) -> DataFrame:
+    """Write a result into the shared folder and read it back.
+
+    The lineage ends there, a lost executor cannot change what was computed, and the planner sees real sizes. Tables
+    lie under the application's id, so a finished application's folder can be dropped as a whole.
+    """
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=eager)
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tickwarden.functions.ids import link_id, lookup
 from tickwarden.operators.series import over_series
@@ -42,8 +43,17 @@ SEGMENT_SCENARIO = {
 SCENARIO_CYCLE = ("congestion_cascade", "hardware_degradation", "ddos_surge", "misconfiguration", "fiber_cut")
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table with its zoneless times read as UTC instants. A path's schema is read from its files once."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    rows = spark.read.schema(_schemas[path]).parquet(path)
+    return rows.withColumns({c: F.col(c).cast("timestamp") for c, kind in rows.dtypes if kind == "timestamp_ntz"})
 
 
 def homes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +197,7 @@ def action_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             "pre_qty": F.lag("qty").over(w),
             "pre_disc": F.lag("disc").over(w),
         },
-        before=1,
+        before=1, sized_by=orders,
     ).where(F.col("pre_price").isNotNull())
     return pairs.select(
         F.concat(F.lit("A"), "o_orderkey").alias("action_id"),
@@ -209,3 +219,51 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("link.packet_loss_pct").alias("key"), F.col("pre_loss").alias("pre"), F.col("post_loss").alias("post")),
     )
     return action_log(spark, sf_dir).select("action_id", "ts", "action_type", "scenario_type", F.inline(entries))
+
+
+def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hypothesis per scenario, named after its root and worded from its severity and type."""
+    rows = scenarios(spark, sf_dir).join(
+        table(spark, sf_dir, "events").select(F.concat(F.lit("SC"), "event_id").alias("scenario_id"), "value"), "scenario_id"
+    )
+    root = F.coalesce("root_cause_node", "root_cause_link")
+    words = F.replace(F.col("scenario_type"), F.lit("_"), F.lit(" "))
+    short = F.when(F.col("root_cause_node").isNotNull(), "cpu").otherwise("utilization")
+    return rows.select(
+        F.col("scenario_id").alias("incident_id"), F.col("scenario_id").alias("hypothesis_id"),
+        F.format_string("A %s %s is likely at %s", "severity", words, root).alias("description"),
+        F.concat_ws("_", root, short).alias("root_cause"),
+        F.round(F.least(F.lit(0.99), F.col("value") / 400), 4).alias("confidence"),
+        F.array(F.format_string("packet_loss_pct=%.2f on %s", "value", F.try_element_at("affected_links", F.lit(1)))).alias("evidence"),
+        "affected_nodes", "affected_links",
+        F.array(F.concat(F.lit("Investigate "), root)).alias("recommended_actions"),
+    )
+
+
+def link_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every link with a utilisation reading: reroute to its alternate, rate limit, scale, and roll back."""
+    from tickwarden.operators.topology import alternate_link
+    from tickwarden.operators.whatif import parameters
+
+    network = links(spark, sf_dir)
+    used = state(spark, sf_dir).where(F.col("metric") == "utilization_pct").select(F.col("entity_id").alias("link_id"))
+    rows = network.select("link_id", "capacity_gbps").join(used, "link_id").join(alternate_link(network), "link_id", "left")
+    kinds = F.array(*[F.lit(k) for k in ("reroute", "rate_limit", "scale_capacity", "config_rollback")])
+    rows = rows.withColumn("action_type", F.explode(kinds))
+    return rows.select(
+        F.concat_ws("/", "link_id", "action_type").alias("action_id"), "action_type",
+        F.lit(None).cast("string").alias("target_node"), F.col("link_id").alias("target_link"),
+        parameters(F.col("action_type"), F.col("link_id"), F.col("alternate"), F.col("capacity_gbps"), F.lit("")).alias("parameters"),
+    )
+
+
+def opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns read as opinions on a decision."""
+    turns = table(spark, sf_dir, "conversations")
+    role = F.element_at(F.array(F.lit("reliability"), F.lit("performance"), F.lit("cost_sla")), (F.col("turn") % 3 + 1).cast("int"))
+    return turns.select(
+        F.col("conv_id").cast("string").alias("action_id"), F.col("turn").alias("seq"), role.alias("agent_role"),
+        F.when(F.col("role") == "user", "support").when(F.col("role") == "assistant", "oppose").otherwise("conditional").alias("position"),
+        F.col("text").alias("argument"), (F.length("text") % 100 / 100).alias("confidence"),
+        F.array().cast("array<string>").alias("conditions"),
+    )
