@@ -345,19 +345,19 @@ SELECT entity_id, metric, observed AS observed_value, expected AS expected_value
     lambda spark, d: O.detection_samples(ensemble_rows(spark, d), F.col("severity"))
 )
 query("retrain_signals", sql("ens", """
-SELECT day, n, samples::BIGINT AS samples FROM (SELECT day, n, sum(n) OVER (ORDER BY day) AS samples FROM (SELECT epoch(ts)::BIGINT // 86400 AS day, count(*) AS n FROM ens GROUP BY 1))
+SELECT day, n, samples::BIGINT AS samples FROM (SELECT day, n, sum(n) OVER (ORDER BY day) AS samples FROM (SELECT epoch_us(ts) // 86400000000 AS day, count(*) AS n FROM ens GROUP BY 1))
 WHERE samples // 100 > (samples - n) // 100"""))(
     lambda spark, d: O.retrain_signals(ensemble_rows(spark, d).groupBy(day().alias("day")).agg(F.count("*").alias("n")), "day", "n")
 )
 query("reroute_suggestion", sql("tel", """
 SELECT day, CASE WHEN v >= 80 THEN 'reroute' ELSE 'no_action' END AS action_type, CASE WHEN v >= 80 THEN worst END AS target_link,
        CASE WHEN v >= 80 THEN 0.6 ELSE 0.5 END::DOUBLE AS confidence, round(v, 4) AS worst_util FROM (
-  SELECT epoch(ts)::BIGINT // 86400 AS day, max_by(entity_id, {'v': value, 'e': entity_id}) AS worst, max(value) AS v FROM tel WHERE metric = 'utilization_pct' GROUP BY 1)"""))(
+  SELECT epoch_us(ts) // 86400000000 AS day, max_by(entity_id, {'v': value, 'e': entity_id}) AS worst, max(value) AS v FROM tel WHERE metric = 'utilization_pct' GROUP BY 1)"""))(
     lambda spark, d: W.suggest_reroute(T.telemetry(spark, d).withColumn("day", day()), "day")
 )
 query("penalty_score", sql("tel", """
 SELECT day, round(-(0.4 * u + 0.3 * l + 0.2 * p + 0.1 * s), 5)::DOUBLE AS reward FROM (
-  SELECT epoch(ts)::BIGINT // 86400 AS day, coalesce(sum((value - 80) / 20) FILTER (metric = 'utilization_pct' AND value > 80), 0)::DOUBLE AS u,
+  SELECT epoch_us(ts) // 86400000000 AS day, coalesce(sum((value - 80) / 20) FILTER (metric = 'utilization_pct' AND value > 80), 0)::DOUBLE AS u,
          coalesce(sum((value - 30) / 20) FILTER (metric = 'latency_ms' AND value > 30), 0)::DOUBLE AS l,
          coalesce(sum(value) FILTER (metric = 'packet_loss_pct' AND value > 0.5), 0)::DOUBLE AS p, count(*) FILTER (metric = 'packet_loss_pct' AND value > 0.5) AS s FROM tel GROUP BY 1)"""))(
     lambda spark, d: W.penalty_score(T.telemetry(spark, d).withColumn("day", day()), "day").withColumn("reward", F.round("reward", 5))

@@ -157,7 +157,7 @@ SELECT epoch_us(ts) AS ts_us, entity_id, metric, observed, expected, severity, c
 )
 
 PEAKS = f"""peaks AS (
-SELECT epoch(ts)::BIGINT // 86400 AS cycle, entity_id, metric, max_by({{'severity': severity, 'confidence': confidence, 'seq': seq}},
+SELECT epoch_us(ts) // 86400000000 AS cycle, entity_id, metric, max_by({{'severity': severity, 'confidence': confidence, 'seq': seq}},
        {{'r': {RANK.format('severity')}, 'c': confidence, 's': seq}}) AS b FROM ens GROUP BY ALL),
 cyc AS (SELECT cycle, entity_id, metric, b.severity AS severity, b.confidence AS confidence FROM peaks)"""
 
@@ -173,7 +173,7 @@ WHERE p.cycle IS NULL AND c.cycle < (SELECT max(cycle) FROM cyc)"""))(
     lambda spark, d: D.resolved(cycles(spark, d)).select("cycle", "entity_id", "metric")
 )
 HEALTH = f"""
-SELECT epoch(ts)::BIGINT // 86400 AS day, count(*) AS total_anomalies, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'medium') AS medium,
+SELECT epoch_us(ts) // 86400000000 AS day, count(*) AS total_anomalies, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'medium') AS medium,
        count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'critical') AS critical,
        max_by(entity_id, {{'r': {RANK.format('severity')}, 'c': confidence, 'e': entity_id}}) AS worst_entity,
        CASE WHEN count(*) FILTER (severity = 'critical') > 0 THEN 'critical'
@@ -190,7 +190,7 @@ SELECT day, round(least(100.0 * critical / greatest(total_anomalies, 1), 100.0),
         "day", *[F.round(c, 4).alias(c) for c in ("critical_pct", "high_pct", "medium_pct")])
 )
 query("worst_entity", sql("tel", """
-SELECT epoch(ts)::BIGINT // 86400 AS day,
+SELECT epoch_us(ts) // 86400000000 AS day,
        max_by(entity_id, {'v': value, 'e': entity_id}) FILTER (metric = 'utilization_pct') AS worst_link,
        round(max(value) FILTER (metric = 'utilization_pct'), 4) AS worst_link_utilization_pct,
        max_by(entity_id, {'v': value, 'e': entity_id}) FILTER (metric = 'cpu_pct') AS worst_node,
@@ -287,7 +287,7 @@ RULES = ("utilization_pct", "latency_ms", "packet_loss_pct", "cpu_pct")
 
 @query("graph_violation_scores", sql("utel", """
 SELECT day, entity_id, least(1.0, v / 4.0)::DOUBLE AS score, v / 4.0 >= 0.6 AS anomalous FROM (
-  SELECT epoch(ts)::BIGINT // 86400 AS day, entity_id,
+  SELECT epoch_us(ts) // 86400000000 AS day, entity_id,
          (coalesce(max(value) FILTER (metric = 'utilization_pct'), 0) > 85)::INT + (coalesce(max(value) FILTER (metric = 'latency_ms'), 0) > 50)::INT
        + (coalesce(max(value) FILTER (metric = 'packet_loss_pct'), 0) > 1)::INT AS v FROM utel GROUP BY ALL)"""))
 def graph_violation_scores(spark, d):
@@ -307,7 +307,7 @@ def graph_conv_scores(spark, d):
 
 
 query("node_features", sql("utel nodes", """
-SELECT epoch(ts)::BIGINT // 86400 AS day, entity_id, coalesce(max(value) FILTER (metric = 'cpu_pct'), 0)::DOUBLE AS cpu_pct, 0.0::DOUBLE AS memory_pct,
+SELECT epoch_us(ts) // 86400000000 AS day, entity_id, coalesce(max(value) FILTER (metric = 'cpu_pct'), 0)::DOUBLE AS cpu_pct, 0.0::DOUBLE AS memory_pct,
        0.0::DOUBLE AS temperature_c, 0.0::DOUBLE AS buffer_drops, (coalesce(max(value) FILTER (metric = 'cpu_pct'), 0) > 85)::INT AS label
 FROM utel WHERE entity_id IN (SELECT node_id FROM nodes) GROUP BY ALL"""))(
     lambda spark, d: node_features(T.user_telemetry(spark, d).withColumn("day", day()), T.nodes(spark, d), None, NODE_METRICS, "day")

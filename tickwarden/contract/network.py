@@ -233,7 +233,7 @@ def structural_edges(spark, d):
     return g.edges.unionByName(members)
 
 
-GRID = """grid AS (SELECT metric AS variable, epoch(ts)::BIGINT // 21600 AS t, avg(value) AS value FROM tel GROUP BY ALL)"""
+GRID = """grid AS (SELECT metric AS variable, epoch_us(ts) // 21600000000 AS t, avg(value) AS value FROM tel GROUP BY ALL)"""
 STATS = """stats AS (SELECT a.variable AS src, b.variable AS dst, k AS lag, corr(a.value, b.value) AS r, count(*) AS n
   FROM grid a, range(1, 6) r(k), grid b WHERE b.t = a.t + k AND a.variable <> b.variable GROUP BY ALL),
 best AS (SELECT src, dst, b.r AS r, b.lag AS lag, b.n AS n FROM (SELECT src, dst, max_by({'r': r, 'lag': lag, 'n': n}, {'a': round(abs(r), 12), 'l': -lag}) AS b
@@ -258,7 +258,7 @@ SELECT a.src, a.dst, 0.70::DOUBLE AS strength, 'learned' AS edge_type FROM fit a
 WHERE b.src IS NULL OR abs(a.r) > abs(b.r) OR (abs(a.r) = abs(b.r) AND a.src < a.dst)"""))(
     lambda spark, d: C.criterion_edges(C.lagged_stats(grid(spark, d), metric_pairs(spark)))
 )
-NGRID = f"""ngrid AS (SELECT entity_id, entity_id || '_' || {SHORT.format('metric')} AS variable, epoch(ts)::BIGINT // 86400 AS t, avg(value) AS value FROM utel GROUP BY ALL),
+NGRID = f"""ngrid AS (SELECT entity_id, entity_id || '_' || {SHORT.format('metric')} AS variable, epoch_us(ts) // 86400000000 AS t, avg(value) AS value FROM utel GROUP BY ALL),
 nstats AS (SELECT a.variable AS src, b.variable AS dst, k AS lag, corr(a.value, b.value) AS r, count(*) AS n
   FROM ngrid a, range(1, 6) r(k), ngrid b WHERE b.t = a.t + k AND a.entity_id = b.entity_id AND a.variable <> b.variable GROUP BY ALL),
 nbest AS (SELECT src, dst, b.r AS r, b.lag AS lag FROM (SELECT src, dst, max_by({{'r': r, 'lag': lag}}, {{'a': round(abs(r), 12), 'l': -lag}}) AS b
