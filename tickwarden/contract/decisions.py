@@ -103,7 +103,8 @@ SELECT action_id AS decision_id, 'decide' AS phase,
 
 LINKACTS = f"""alt AS ({ALTERNATE}),
 wa AS (SELECT u.link_id, u.value AS util, a.alternate, k AS action_type, u.link_id || '/' || k AS action_id, l.capacity_gbps, l.source, l.target
-  FROM util u JOIN links l USING (link_id) LEFT JOIN alt a USING (link_id), (SELECT unnest(['reroute', 'rate_limit', 'scale_capacity', 'config_rollback']) AS k))"""
+  FROM util u JOIN links l USING (link_id) LEFT JOIN alt a USING (link_id), (SELECT unnest(['reroute', 'rate_limit', 'scale_capacity', 'config_rollback']) AS k)
+  WHERE u.link_id IN (SELECT l FROM scen))"""
 DELTAS = """d0 AS (SELECT action_id, link_id || '_utilization' AS variable,
     -(CASE action_type WHEN 'reroute' THEN util * 0.3::DOUBLE ELSE least(20.0::DOUBLE, util) END) AS delta FROM wa WHERE action_type IN ('reroute', 'rate_limit')
   UNION ALL SELECT action_id, alternate || '_utilization', util * 0.3::DOUBLE FROM wa WHERE action_type = 'reroute' AND alternate IS NOT NULL)"""
@@ -131,11 +132,11 @@ def link_action_rows(spark, d):
     return cut(T.link_actions(spark, d))
 
 
-query("propagate_deltas", sql("links nodes inc util", f"""WITH {EFFECT} SELECT action_id, variable, round(delta, 6) AS delta FROM moved"""))(
+query("propagate_deltas", sql("links nodes inc util scen", f"""WITH {EFFECT} SELECT action_id, variable, round(delta, 6) AS delta FROM moved"""))(
     lambda spark, d: W.propagate(graph(spark, d), W.initial_deltas(link_action_rows(spark, d), T.state(spark, d))).select(
         "action_id", "variable", F.round("delta", 6).alias("delta"))
 )
-query("counterfactual_state", sql("links nodes inc util state", f"""WITH {EFFECT}, {PREDICTED}
+query("counterfactual_state", sql("links nodes inc util state scen", f"""WITH {EFFECT}, {PREDICTED}
 SELECT action_id, entity_id, metric, round(greatest(0, current + delta) + 1e-9, 6) AS predicted FROM pred"""))(
     lambda spark, d: exact_predictions(spark, d)
 )
@@ -147,7 +148,7 @@ def exact_predictions(spark, d):
     return rows.select("action_id", "entity_id", "metric", F.round(F.greatest(F.lit(0.0), F.col("current") + F.col("delta")) + 1e-9, 6).alias("predicted"))
 
 
-query("counterfactual_risk", sql("links nodes inc util state", f"""WITH {EFFECT}, {PREDICTED}
+query("counterfactual_risk", sql("links nodes inc util state scen", f"""WITH {EFFECT}, {PREDICTED}
 SELECT action_id, round(count(*) FILTER (delta > 0) / count(*), 4) AS causal_risk, count(DISTINCT entity_id) AS affected_entities FROM pred GROUP BY 1"""))(
     lambda spark, d: W.counterfactual_risk(W.counterfactual(link_action_rows(spark, d), T.state(spark, d), graph(spark, d)))
 )
@@ -166,12 +167,12 @@ JOIN state s USING (entity_id))"""
 STEP = """CASE metric WHEN 'utilization_pct' THEN 50 + ({0} - 50) * pow(0.95::DOUBLE, k) WHEN 'latency_ms' THEN greatest(0.5::DOUBLE, 5 + ({0} - 5) * pow(0.97::DOUBLE, k)) ELSE {0} END"""
 PROJECTED = f"proj AS (SELECT action_id, entity_id, metric, k, {STEP.format('applied')} AS projected FROM app, range(1, 6) r(k))"
 
-query("project_state", sql("links inc util state", f"""WITH {LINKACTS}, {APPLIED}, {PROJECTED}
+query("project_state", sql("links inc util state scen", f"""WITH {LINKACTS}, {APPLIED}, {PROJECTED}
 SELECT action_id, entity_id, metric, k::INT AS step, round(projected + 1e-9, 5) AS projected FROM proj"""))(
     lambda spark, d: W.project(W.apply_action(link_action_rows(spark, d), T.state(spark, d))).select(
         "action_id", "entity_id", "metric", "step", F.round(F.col("projected") + 1e-9, 5).alias("projected"))
 )
-query("projection_risk", sql("links inc util state", f"""WITH {LINKACTS}, {APPLIED},
+query("projection_risk", sql("links inc util state scen", f"""WITH {LINKACTS}, {APPLIED},
 every AS (SELECT w.action_id, s.entity_id, s.metric, CASE
     WHEN w.action_type = 'config_rollback' AND s.metric = 'utilization_pct' AND s.value > 70 THEN s.value * 0.8::DOUBLE
     WHEN w.action_type = 'config_rollback' AND s.metric = 'latency_ms' AND s.value > 20 THEN s.value * 0.85::DOUBLE
@@ -212,12 +213,12 @@ VERDICT = """verdict AS (SELECT w.action_id, w.action_type, n.over > 0 AS v1, n.
   FROM wa w JOIN netw n USING (action_id) LEFT JOIN cust c USING (action_id) LEFT JOIN ahead h ON h.action_id = w.action_id AND h.link_id = w.link_id)"""
 
 # Every link with a reading ends in a user node that has no other link, so one path joins its ends.
-query("constraint_verdicts", sql("links nodes inc util state", f"""WITH {EFFECT}, {PREDICTED}, {CHECKS}, {VERDICT}
+query("constraint_verdicts", sql("links nodes inc util state scen", f"""WITH {EFFECT}, {PREDICTED}, {CHECKS}, {VERDICT}
 SELECT action_id, NOT (v1 OR v2 OR v3 OR v5 OR v6) AS is_safe, concat_ws(',', CASE WHEN v1 THEN 'max_link_utilization' END, CASE WHEN v2 THEN 'no_cascading_overload' END,
   CASE WHEN v3 THEN 'customer_isolation' END, CASE WHEN v5 THEN 'blast_radius_cap' END, CASE WHEN v6 THEN 'rollback_path_exists' END) AS violations FROM verdict"""))(
     lambda spark, d: S.verify(safety_input(spark, d)).select("action_id", "is_safe", F.array_join("violations", ",").alias("violations"))
 )
-query("worst_link_after", sql("links nodes inc util state", f"""WITH {EFFECT}, {PREDICTED}, {CHECKS}
+query("worst_link_after", sql("links nodes inc util state scen", f"""WITH {EFFECT}, {PREDICTED}, {CHECKS}
 SELECT action_id, round(worst, 3) AS worst_util FROM netw"""))(
     lambda spark, d: S.worst_link(safety_input(spark, d)).select("action_id", F.round("worst_util", 3).alias("worst_util"))
 )
@@ -228,7 +229,7 @@ def verdict_proofs(spark, d):
     return S.explain(S.verify(safety_input(spark, d)))
 
 
-query("state_overlay", sql("links nodes inc util state", f"""WITH {EFFECT}, {PREDICTED}
+query("state_overlay", sql("links nodes inc util state scen", f"""WITH {EFFECT}, {PREDICTED}
 SELECT action_id, entity_id, metric, CASE WHEN current + delta <= 0 THEN current ELSE round(current + delta + 1e-9, 6) END AS value FROM pred"""))(
     lambda spark, d: S.merge_states(
         T.state(spark, d), exact_predictions(spark, d).withColumn("predicted", F.when(F.col("predicted") > 1e-8, F.col("predicted")).otherwise(0.0)), True)

@@ -241,13 +241,14 @@ def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def link_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every link with a utilisation reading: reroute to its alternate, rate limit, scale, and roll back."""
+    """For every link of a scenario with a utilisation reading: reroute to its alternate, rate limit, scale, roll back."""
     from tickwarden.operators.topology import alternate_link
     from tickwarden.operators.whatif import parameters
 
     network = links(spark, sf_dir)
     used = state(spark, sf_dir).where(F.col("metric") == "utilization_pct").select(F.col("entity_id").alias("link_id"))
-    rows = network.select("link_id", "capacity_gbps").join(used, "link_id").join(alternate_link(network), "link_id", "left")
+    hit = scenarios(spark, sf_dir).select(F.explode("affected_links").alias("link_id")).distinct()
+    rows = network.select("link_id", "capacity_gbps").join(used, "link_id").join(hit, "link_id").join(alternate_link(network), "link_id", "left")
     kinds = F.array(*[F.lit(k) for k in ("reroute", "rate_limit", "scale_capacity", "config_rollback")])
     rows = rows.withColumn("action_type", F.explode(kinds))
     return rows.select(
