@@ -26,7 +26,7 @@ def test_clique_form_gives_the_same_search_and_propagation(spark, nodes, links,
     hubs = C.structural_graph(nodes, links, max_degree=0)
     assert hubs.cliques is not None and hubs.edges.count() < graph.edges.count()
     seeds = spark.createDataFrame([("i", "AGG1-EDGE1_latency"), ("i", "CR1_latency"), ("j", "AGG3-EDGE3_utilization")], "incident_id string, seed string")
-    show = lambda g: {tuple(r) for r in C.upstream(g, seeds).select("incident_id", "seed", "node", "hops", F.round("strength", 9)).collect()}
+    show = lambda g: {tuple(r) for r in C.upstream(g, seeds, ["incident_id"]).select("incident_id", "seed", "node", "hops", F.round("strength", 9)).collect()}
     assert show(graph) == show(hubs)
     deltas = spark.createDataFrame([("a", "CR1-CR2_utilization", -10.0), ("a", "AGG1-CR1_utilization", 10.0), ("b", "AGG1-EDGE1_utilization", 3.0)],
                                    "action_id string, variable string, delta double")

@@ -326,12 +326,15 @@ def search(hops: int = 4) -> str:
 SEARCH = f"{GRAPH}, {SEEN}, {search()}"
 
 
-@query("upstream_search", sql("links nodes inc scen thr", f"""WITH {SEARCH}
-SELECT incident_id, seed, node, hops, round(strength, 6) AS strength, path FROM reach"""))
+ROOT_SEARCH = f"{GRAPH}, seen AS (SELECT DISTINCT 0 AS incident_id, l || '_latency' AS variable FROM scen), {search()}"
+
+
+@query("upstream_search", sql("links nodes inc scen", f"""WITH {ROOT_SEARCH}
+SELECT seed, node, hops, round(strength, 6) AS strength, path FROM reach"""))
 def upstream_search(spark, d):
-    seen = C.observed_variables(incidents(spark, d))
-    reach = C.upstream(graph(spark, d), seen.select("incident_id", F.col("variable").alias("seed")))
-    return reach.withColumn("strength", F.round("strength", 6))
+    """What lies upstream of the latency of every incident's link."""
+    seeds = T.scenarios(spark, d).select(F.explode("affected_links").alias("l")).select(F.concat("l", F.lit("_latency")).alias("seed"))
+    return C.upstream(graph(spark, d), seeds).withColumn("strength", F.round("strength", 6))
 
 
 def scored(keep: str) -> str:
