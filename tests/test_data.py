@@ -225,3 +225,17 @@ def test_planted_faults_are_found(spark, links, nodes):
     row = out.report.first()
     assert row["scenarios_detected"] == 3 and row["recall"] == 1.0 and row["f1"] >= 0.7612
     assert row["rca_accuracy"] > 0 and row["mean_mttd_seconds"] <= 60
+
+
+def test_dataset_job_writes_what_the_readers_read(spark, links, nodes, tmp_path):
+    from tickwarden.plans.dataset import build
+
+    wide = day_of(spark, links, nodes, 90)
+    plan = scenario_rows(spark, [("s1", "fiber_cut", minute(10), minute(30), "critical", None, "A-B"), ("s2", "ddos_surge", minute(70), minute(80), "high", "EDGE1", None)])
+    build(wide, plan, links, minute(60), str(tmp_path / "set"), total_hours=2, train_hours=1, test_hours=1)
+    back = spark.read.parquet(str(tmp_path / "set" / "telemetry"))
+    assert {r["split"]: r["count"] for r in back.groupBy("split").count().collect()} == {"train": 60 * 27, "test": 30 * 27}
+    late = io.read_scenarios(spark, str(tmp_path / "set" / "scenarios"), "test").collect()
+    assert [(r["scenario_id"], r["start_time"].minute) for r in late] == [("s2", 10)]
+    truth = spark.read.parquet(str(tmp_path / "set" / "ground_truth"))
+    assert truth.where("is_anomaly").count() == 32 and json.loads(truth.where("scenario_id = 's2'").first()["affected_entities"]) == ["EDGE1"]

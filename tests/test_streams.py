@@ -6,7 +6,7 @@ from tests.conftest import minute
 from tickwarden.operators import detect as D
 from tickwarden.sources import io
 from tickwarden.streaming import processors as SP
-from tickwarden.streaming.pipeline import drain, start_observer
+from tickwarden.streaming.cycle import drain, start_observer
 
 
 def feed(spark, rows, schema, folder, files=1):

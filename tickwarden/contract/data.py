@@ -26,7 +26,7 @@ from tickwarden.session import cut
 from tickwarden.sources import io
 from tickwarden.sources import tables as T
 from tickwarden.streaming import processors as SP
-from tickwarden.streaming.pipeline import drain
+from tickwarden.streaming.cycle import drain
 
 # -- quality -----------------------------------------------------------------------------------------------------
 
@@ -391,14 +391,6 @@ def learning_chunks(spark, d):
 # -- datasets ----------------------------------------------------------------------------------------------------
 
 
-def wide_telemetry(spark, d):
-    """Hourly wide telemetry per access link and user node."""
-    hour = F.date_trunc("HOUR", "ts")
-    long = T.telemetry(spark, d).groupBy(hour.alias("timestamp"), "entity_id", "entity_type")
-    rows = long.pivot("metric", list(METRICS)).agg(F.avg("value"))
-    return rows.withColumns({"capacity_gbps": F.lit(40.0), "latency_baseline_ms": F.lit(20.0)})
-
-
 @query("fault_overlay")
 def fault_overlay(spark, d):
     rows = T.telemetry(spark, d).groupBy(F.col("ts").alias("timestamp"), "entity_id", "entity_type").pivot("metric", list(METRICS)).agg(F.min_by("value", "seq"))

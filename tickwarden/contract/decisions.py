@@ -363,7 +363,7 @@ SELECT day, round(-(0.4 * u + 0.3 * l + 0.2 * p + 0.1 * s), 5)::DOUBLE AS reward
          coalesce(sum(value) FILTER (metric = 'packet_loss_pct' AND value > 0.5), 0)::DOUBLE AS p, count(*) FILTER (metric = 'packet_loss_pct' AND value > 0.5) AS s FROM tel GROUP BY 1)"""))(
     lambda spark, d: W.penalty_score(T.telemetry(spark, d).withColumn("day", day()), "day").withColumn("reward", F.round("reward", 5))
 )
-query("pipeline_counters", sql("ens outc", """
+query("run_counters", sql("ens outc", """
 SELECT count(*) FILTER (kind = 'anomaly') AS anomalies, count(*) FILTER (kind = 'action' AND ok) AS actions_ok, count(*) FILTER (kind = 'action' AND NOT ok) AS actions_failed
 FROM (SELECT 'anomaly' AS kind, NULL::BOOLEAN AS ok FROM ens UNION ALL SELECT 'action', outcome <> 'harmful' FROM outc)"""))(
     lambda spark, d: counters(spark, d)
@@ -371,11 +371,11 @@ FROM (SELECT 'anomaly' AS kind, NULL::BOOLEAN AS ok FROM ens UNION ALL SELECT 'a
 
 
 def counters(spark, d):
-    from tickwarden.streaming.processors import pipeline_counters
+    from tickwarden.streaming.processors import run_counters
 
     rows = ensemble_rows(spark, d).select(F.lit("anomaly").alias("kind"), F.lit(None).cast("boolean").alias("ok")).unionByName(
         outcome_rows(spark, d).select(F.lit("action").alias("kind"), (F.col("outcome") != "harmful").alias("ok")))
-    return pipeline_counters(rows)
+    return run_counters(rows)
 
 
 query("opinion_summary", sql("", """

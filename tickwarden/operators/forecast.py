@@ -13,7 +13,7 @@ from tickwarden.functions.ids import lookup
 from tickwarden.functions.severity import clamp, predicted_severity
 from tickwarden.operators.detect import ORDER, SERIES
 from tickwarden.operators.reshape import minmax_scale, training_windows
-from tickwarden.operators.series import MAX_SERIES_ROWS, last_rows
+from tickwarden.operators.series import last_rows
 from tickwarden.schemas import FORECAST_LIMITS
 
 HORIZON = 10

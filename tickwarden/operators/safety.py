@@ -11,12 +11,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickwarden.operators.paths import path_counts
 from tickwarden.operators.series import chunked, hottest, with_position
-from tickwarden.operators.whatif import LINK_ACTIONS, action_link
+from tickwarden.operators.whatif import action_link
 
 # Limits.
 UTIL_LIMIT, CASCADE_LIMIT = 85.0, 80.0

@@ -189,7 +189,7 @@ def active_scenarios(ticks: DataFrame, scenarios: DataFrame) -> DataFrame:
     return interval_join(ticks, windows, "start_time", "end_time")
 
 
-def pipeline_counters(rows: DataFrame, *keys: str) -> DataFrame:
+def run_counters(rows: DataFrame, *keys: str) -> DataFrame:
     """Running counts of anomalies and of actions that worked or failed, from rows (kind, ok)."""
     return rows.groupBy(*keys).agg(
         F.count_if(F.col("kind") == "anomaly").alias("anomalies"),
