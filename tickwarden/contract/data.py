@@ -114,13 +114,13 @@ UNION ALL SELECT 'outcome', count(*) FILTER (o_totalprice > 450000) FROM orders)
     lambda spark, d: broken(Q.validate(order_actions(spark, d), Q.result_rules()))
 )
 query("normalise_times", sql("", """
-SELECT event_id, CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'view' THEN epoch_us(ts) - 7200000000 ELSE epoch_us(ts) END AS ts_us FROM events"""))(
+SELECT event_id, CASE WHEN event_type = 'error' THEN -1 WHEN event_type = 'view' THEN epoch_us(ts) - 7200000000 ELSE epoch_us(ts) END AS ts_us FROM events"""))(
     lambda spark, d: T.table(spark, d, "events").select(
-        "event_id", F.unix_micros(Q.parse_time(
+        "event_id", F.coalesce(F.unix_micros(Q.parse_time(
             F.when(F.col("event_type") == "click", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
             .when(F.col("event_type") == "view", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+02:00'"))
             .when(F.col("event_type") == "error", F.concat(F.lit("at "), F.date_format("ts", "HH:mm")))
-            .otherwise(F.date_format("ts", "' 'yyyy-MM-dd HH:mm:ss.SSSSSS")))).alias("ts_us"))
+            .otherwise(F.date_format("ts", "' 'yyyy-MM-dd HH:mm:ss.SSSSSS")))), F.lit(-1)).alias("ts_us"))
 )
 query("coerce_numeric", sql("", """
 SELECT o_orderstatus, count(*) AS n, count(try_cast(substr(o_orderpriority, 1, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END) AS DOUBLE)) AS parsed,

@@ -184,8 +184,8 @@ SELECT scenario_id, scenario_type, detected,
             WHEN 'fiber_cut' THEN 'HUMAN_APPROVAL' ELSE 'AUTOMATIC_CANARY' END END AS autonomy_level,
        CASE WHEN detected THEN CASE scenario_type WHEN 'congestion_cascade' THEN 45.0 WHEN 'hardware_degradation' THEN 120.0 WHEN 'ddos_surge' THEN 30.0
             WHEN 'misconfiguration' THEN 60.0 ELSE 90.0 END END::DOUBLE AS mttm_seconds,
-       CASE WHEN detected THEN scenario_type NOT IN ('hardware_degradation', 'fiber_cut') END AS verified FROM ({DELAY})"""
-query("decision_table", sql("scen thr", DECIDED))(lambda spark, d: EV.decisions(delays(spark, d)))
+       detected AND scenario_type NOT IN ('hardware_degradation', 'fiber_cut') AS verified FROM ({DELAY})"""
+query("decision_table", sql("scen thr", DECIDED))(lambda spark, d: EV.decisions(delays(spark, d)).withColumn("verified", F.coalesce("verified", F.lit(False))))
 query("decision_summary", sql("scen thr", f"""
 SELECT round(avg(mttm_seconds), 1) AS mean_mttm_seconds, round(count(*) FILTER (verified) / count(*) FILTER (detected), 4) AS pass_rate FROM ({DECIDED})"""))(
     lambda spark, d: EV.decision_summary(EV.decisions(delays(spark, d)))
@@ -250,7 +250,7 @@ def metric_pairs(spark):
     return spark.createDataFrame([(a, b) for a in names for b in names if a != b], "src string, dst string")
 
 
-query("lagged_correlation", sql("tel", f"WITH {GRID}, {STATS} SELECT src, dst, lag, round(r, 6) AS r, n FROM best"))(
+query("lagged_correlation", sql("tel", f"WITH {GRID}, {STATS} SELECT src, dst, lag::INT AS lag, round(r, 6) AS r, n FROM best"))(
     lambda spark, d: C.best_lag(C.lagged_stats(grid(spark, d), metric_pairs(spark))).select("src", "dst", "lag", F.round("r", 6).alias("r"), "n")
 )
 query("criterion_edges", sql("tel", f"""WITH {GRID}, {STATS}, fit AS (SELECT * FROM best WHERE n * ln(1 - r * r) + ln(n) < 0)
@@ -346,7 +346,7 @@ tot AS (SELECT incident_id, count(*) AS obs FROM seen GROUP BY 1),
 score AS (SELECT c.*, obs, st * 0.45::DOUBLE + tp * 0.25::DOUBLE + ex / obs * 0.30::DOUBLE AS score FROM cand c JOIN tot USING (incident_id))"""
 
 
-RANKED = """SELECT incident_id, rank, candidate AS root_cause, round(least(score, 0.99), 4)::DOUBLE AS confidence, ex AS explained FROM (
+RANKED = """SELECT incident_id, rank::INT AS rank, candidate AS root_cause, round(least(score, 0.99), 4)::DOUBLE AS confidence, ex AS explained FROM (
   SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY round(score, 9) DESC, candidate) AS rank FROM score) WHERE rank <= 5"""
 
 
