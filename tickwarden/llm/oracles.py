@@ -27,6 +27,16 @@ k AS (SELECT *, (floor(place * rate + start) - floor((place - 1) * rate + start)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies FROM k
 """
 
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, min([floor(64 * x::DOUBLE)::BIGINT for x in embedding]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 _UNWANTED = " OR ".join(rf"regexp_matches(lower(host || path), '(^|[^a-z0-9]){t}([^a-z0-9]|$)')" for t in urls.UNWANTED)
 URLS = rf"""
 WITH u AS (
