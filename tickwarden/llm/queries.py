@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwarden.llm import mixing, packing, quality, simhash, topk, urls
-from tickwarden.llm import oracles
+from tickwarden.llm import langid, mixing, oracles, packing, quality, simhash, topk, urls
+from tickwarden.llm.words import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -57,6 +57,14 @@ def topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+@query("op9_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    samples = langid.fit(langid.training_rows(docs))
+    found = langid.identify(docs.select("doc_id", "text"), samples)
+    return found.select("row.doc_id", (fold(F.col("row.doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 # Rules over host and path, and what they say.
 PLACE_RULES = [
     urls.place_rule("allow", "com/"), urls.place_rule("block", "example.com/en/"), urls.place_rule("allow", "www.example.com/en/"),
