@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwarden.llm import langid, mixing, oracles, packing, quality, simhash, topk, urls
+from tickwarden.llm import langid, mixing, oracles, packing, quality, simhash, topk, toxicity, urls
 from tickwarden.llm.words import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,14 @@ def simhash_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.cluster(table(spark, sf_dir, "documents"))
 
 
+@query("op4_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.rate(docs.select("doc_id", "text"), model)
+    return found.select("row.doc_id", (fold(F.col("row.doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 @query("op5_mix_sources", oracles.MIX)
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
