@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwarden.llm import langid, mixing, oracles, packing, quality, simhash, topk, toxicity, urls
+from tickwarden.llm import html, langid, mixing, oracles, packing, quality, simhash, topk, toxicity, urls
 from tickwarden.llm.words import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,12 @@ def topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+@query("op8_html_text")
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.fit(pages))
+
+
 @query("op9_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
