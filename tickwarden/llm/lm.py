@@ -185,7 +185,7 @@ class Network:
         return out, ds
 
     def gradients(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, y: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        """The last state and the mean gradients of one window, through all of its steps and no further."""
+        """The last state and the gradients of one window's summed loss, through all of its steps and no further."""
         trace: list = []
         s, last = self.states(x, keep, h, trace)
         steps, lanes = x.shape
@@ -216,19 +216,19 @@ class Network:
         first = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
         grad["e"] = np.zeros_like(self.p["e"])
         grad["e"][ids[order][first]] = np.add.reduceat(de[order], first)
-        count = max(1, int(live.sum()))
-        return last, {k: g / count for k, g in grad.items()}
+        return last, grad
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
 
-    def unflat(self, values: np.ndarray) -> dict[str, np.ndarray]:
-        out, at = {}, 0
-        for k in sorted(self.p):
-            size = self.p[k].size
-            out[k] = values[at:at + size].reshape(self.p[k].shape)
-            at += size
-        return out
+def flat(params: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([params[k].ravel() for k in sorted(params)]).astype(np.float32)
+
+
+def unflat(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for k in sorted(like):
+        out[k] = values[at:at + like[k].size].reshape(like[k].shape)
+        at += like[k].size
+    return out
 
 
 def windows(documents: list[np.ndarray], lanes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -264,20 +264,38 @@ def windows(documents: list[np.ndarray], lanes: int) -> Iterator[tuple[np.ndarra
         yield x, y, (x != START).astype(np.float32), live, who
 
 
-def train_on(net: Network, documents: list[np.ndarray], moments: dict) -> None:
-    """One pass over the documents by truncated backpropagation with Adam."""
-    h = None
-    for x, y, keep, live, _ in windows(documents, TRAIN_LANES):
-        h = np.zeros((x.shape[1], STATE), dtype=np.float32) if h is None else h[:x.shape[1]]
-        h, grad = net.gradients(x, keep, h, y, live)
-        moments["t"] = t = moments.get("t", 0) + 1
-        for k, g in grad.items():
-            m, s = moments.setdefault(k, (np.zeros_like(g), np.zeros_like(g)))
-            m *= 0.9
-            m += 0.1 * g
-            s *= 0.999
-            s += 0.001 * g * g
-            net.p[k] -= (RATE / (1 - 0.9**t)) * m / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
+class Trainer:
+    """Adam over windows. What counts in the end is the running mean of the parameters, which evens out single windows."""
+
+    def __init__(self, net: Network) -> None:
+        self.net, self.t, self.tokens = net, 0, 0
+        self.first = {k: np.zeros_like(v) for k, v in net.p.items()}
+        self.second = {k: np.zeros_like(v) for k, v in net.p.items()}
+        self.mean = {k: v.copy() for k, v in net.p.items()}
+
+    def read(self, documents: list[np.ndarray]) -> None:
+        """One pass over the documents by truncated backpropagation.
+
+        Lanes are as many as the longest document lets be filled; a window that holds fewer tokens moves the network less.
+        """
+        if not documents:
+            return
+        total = sum(map(len, documents))
+        lanes = max(8, min(TRAIN_LANES, total // max(map(len, documents))))
+        self.tokens += total
+        h = None
+        for x, y, keep, live, _ in windows(documents, lanes):
+            h = np.zeros((x.shape[1], STATE), dtype=np.float32) if h is None else h[:x.shape[1]]
+            h, grad = self.net.gradients(x, keep, h, y, live)
+            self.t += 1
+            rate = RATE * min(1.0, self.t / 40) / (1 - 0.9**self.t)
+            for k, g in grad.items():
+                g /= lanes * WINDOW
+                m, s, p = self.first[k], self.second[k], self.net.p[k]
+                m += 0.1 * (g - m)
+                s += 0.001 * (g * g - s)
+                p -= rate * m / (np.sqrt(s / (1 - 0.999**self.t)) + 1e-8)
+                self.mean[k] += max(0.01, 1 / (self.t + 1)) * (p - self.mean[k])
 
 
 def log_likelihoods(net: Network, documents: list[np.ndarray]) -> np.ndarray:
@@ -332,20 +350,19 @@ def train(docs: DataFrame, key: str, text: str, v: Vocabulary) -> dict[str, np.n
         sent = spark.sparkContext.broadcast(params)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            reader, net, moments, waiting, size, total = Reader(sent_words.value), Network(sent.value), {}, [], 0, 0
+            reader, trainer, waiting, size = Reader(sent_words.value), Trainer(Network(sent.value)), [], 0
             for batch in batches:
                 for at in range(0, batch.num_rows, 64):
                     for t in batch.column(0).slice(at, 64).to_pylist():
                         waiting.append(reader.read(t)[0])
                         size += len(waiting[-1])
                         if size >= BUFFER:
-                            train_on(net, waiting, moments)
-                            total, waiting, size = total + size, [], 0
-            train_on(net, waiting, moments)
-            total += size
-            if total:
+                            trainer.read(waiting)
+                            waiting, size = [], 0
+            trainer.read(waiting)
+            if trainer.tokens:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([float(total)]), pa.array([net.flat()], pa.list_(pa.float32()))], names=["weight", "params"])
+                    [pa.array([float(trainer.tokens)]), pa.array([flat(trainer.mean)], pa.list_(pa.float32()))], names=["weight", "params"])
 
         part = rows.filter((F.col("eighth") >= done) & (F.col("eighth") < done + eighths)).select("text")
         trained = part.mapInArrow(work, "weight double, params array<float>").select("weight", F.posexplode("params").alias("place", "value"))
@@ -355,7 +372,7 @@ def train(docs: DataFrame, key: str, text: str, v: Vocabulary) -> dict[str, np.n
         if got.num_rows:
             values = np.zeros(got.num_rows, dtype=np.float32)
             values[got["place"].to_numpy()] = got["value"].to_numpy()
-            params = Network(params).unflat(values)
+            params = unflat(values, params)
     return params
 
 
