@@ -104,12 +104,12 @@ class Model:
     weights: tuple[float, ...]
 
 
-def fit(patterns: DataFrame, rules: tuple[Rule, ...], rounds: int = ROUNDS) -> Model:
+def fit(patterns: DataFrame, rules: tuple[Rule, ...], rounds: int = ROUNDS, most_good: float = MOST_GOOD, bounds: tuple[float, float] = SHARES) -> Model:
     """Expectation-maximisation over (votes array<int>, n): how often good and bad texts cast each vote.
 
     There are at most 3^rules patterns, whatever the number of texts; they are brought into one row, and the rounds run
     there as one fold. An abstention adds nothing, a bad vote at least its rule's least ratio, a good vote nothing below
-    zero. Each share starts from one text a vote, so none becomes zero. Without texts the starting values remain.
+    zero nor above `most_good`; the share of good texts keeps within `bounds`. Each share starts from one text a vote, so none becomes zero. Without texts the starting values remain.
     """
     ks = list(range(3 * len(rules)))
     grown = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", F.col("n").cast("double").alias("n")))).alias("ps"))
@@ -118,7 +118,7 @@ def fit(patterns: DataFrame, rules: tuple[Rule, ...], rounds: int = ROUNDS) -> M
     def weight(k: Column, good: Column, bad: Column, g: Column, b: Column) -> Column:
         ratio = F.log(((good + 1) / (g + 3)) / ((bad + 1) / (b + 3)))
         against = F.greatest(F.lit(-MOST_BAD), F.least(-F.get(least, F.floor(k / 3).cast("int")), ratio))
-        return F.when(k % 3 == 0, against).when(k % 3 == 2, F.greatest(F.lit(0.0), F.least(F.lit(MOST_GOOD), ratio))).otherwise(0.0)
+        return F.when(k % 3 == 0, against).when(k % 3 == 2, F.greatest(F.lit(0.0), F.least(F.lit(most_good), ratio))).otherwise(0.0)
 
     def posterior(state: Column, votes: Column) -> Column:
         logit = F.aggregate(F.transform(votes, lambda v, r: F.get(state["w"], r * 3 + v)), state["prior"], lambda a, x: a + x)
@@ -133,7 +133,7 @@ def fit(patterns: DataFrame, rules: tuple[Rule, ...], rounds: int = ROUNDS) -> M
 
             def finish(sums: Column) -> Column:
                 all_g, all_n = sums["g"], sums["n"]
-                share = F.greatest(F.lit(SHARES[0]), F.least(F.lit(SHARES[1]), all_g / all_n))
+                share = F.greatest(F.lit(bounds[0]), F.least(F.lit(bounds[1]), all_g / all_n))
                 w = F.transform(F.array(*map(F.lit, ks)), lambda k: let(
                     F.filter(rows, lambda x: F.get(x["votes"], F.floor(k / 3).cast("int")) == k % 3),
                     lambda own: weight(k, total(own, lambda x: x["g"]), total(own, lambda x: x["n"] - x["g"]), all_g, all_n - all_g)))

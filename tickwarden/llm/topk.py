@@ -57,7 +57,7 @@ def vector_blocks(rows: DataFrame) -> DataFrame:
 
 def _matrix(ids: pa.ListScalar, flat: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
     names = ids.values.to_numpy(zero_copy_only=False).astype(np.int64)
-    return names, flat.values.to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(names), -1)
+    return names, flat.values.to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(names), -1 if len(names) else 0)
 
 
 def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -140,7 +140,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id",
     q_blocks = _blocks(asked.withColumn("part", _part(F.lit(max(n, 1)), QUERIES)), ["part"])
     seeds = rows.orderBy(F.col("norm").desc(), "id").limit(SEEDS).select("id", "v").collect()
     seed_ids = np.array([r["id"] for r in seeds], dtype=np.int64)
-    seed_rows = np.array([r["v"] for r in seeds], dtype=np.int64).reshape(len(seeds), -1)
+    seed_rows = np.array([r["v"] for r in seeds], dtype=np.int64).reshape(len(seeds), len(seeds[0]["v"]) if seeds else 0)
     sent = spark.sparkContext.broadcast((seed_ids, seed_rows))
 
     def first_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
