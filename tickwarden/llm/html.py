@@ -32,7 +32,7 @@ OTHER_NAMES = (
     "comment comments reply replies discussion respond form search pagination pager tags copyright legal disclaimer toolbar skip").split()
 MAIN_TAGS = ("article", "main")
 MAIN_NAMES = "article content main post story entry body text article-body post-content entry-content main-content".split()
-INSIDE = [t.split() for t in ("ul li", "ol li", "blockquote", "blockquote p", "table tr td", "table tbody tr th", "pre", "dl dd", "h2", "h3", "figure figcaption", "div", "div p", "section p", "section h2")]
+INSIDE = [t.split() for t in ("ul li", "ul li", "ul li", "ol li", "ol li", "blockquote", "blockquote p", "table tr td", "table tbody tr th", "pre", "dl dd", "h2", "h3", "figure figcaption", "div", "div p", "section p", "section h2")]
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -199,6 +199,8 @@ def varied(page: list[Block], labels: list[int], texts: list[str], rnd: np.rando
     for b, y in zip(out, labels):
         if y and rnd.random() < share:
             b.path = [*b.path[:-1], *[(t, ()) for t in INSIDE[int(rnd.integers(0, len(INSIDE)))]]]
+            if rnd.random() < 0.3:
+                b.text = " ".join(b.text.split()[:int(rnd.integers(1, 4))])
             if rnd.random() < 0.2:
                 b.inner, b.linked = b.inner | {"a"}, len(b.text) // int(rnd.integers(1, 4))
     root = [e for e in page[0].path[:2]] if page else []
@@ -301,7 +303,7 @@ class Labeller:
         grad["b"] = flat.sum(axis=1, keepdims=True)
         return float(loss), grad
 
-    def train(self, pages: list[tuple[np.ndarray, list[int]]], steps: int = 700, batch: int = 32, rate: float = 0.01, seed: int = 6) -> None:
+    def train(self, pages: list[tuple[np.ndarray, list[int]]], steps: int = 800, batch: int = 16, rate: float = 0.01, seed: int = 6) -> None:
         """Adam over random batches of pages."""
         rnd = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -342,7 +344,7 @@ def fit(pages: DataFrame, key: str = "page_id", html: str = "html", rows: int =
     and names and more side matter is mixed in, so that the network must go by names, words and neighbours. Without such
     pages, the network learns from variations of one written page.
     """
-    got = sample(pages.select(F.lit(0).alias("label"), pages[key].alias("key"), pages[html].alias("text")), rows, 6_000_000, 60_000)
+    got = sample(pages.select(F.lit(0).alias("label"), pages[key].alias("key"), pages[html].alias("text")), None, rows, 6_000_000, 60_000)
     parsed = [(b, y) for b, y in ((b, weak_labels(b)) for b in (blocks(t) for _, _, t in got)) if b and y is not None and len(b) <= 200]
     if not parsed:
         page = blocks("<body><nav><a href=x>home</a></nav><article><h1>head</h1><p>first words of a text</p><p>more</p></article><footer>end</footer></body>")

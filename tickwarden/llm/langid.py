@@ -22,7 +22,7 @@ TOTAL = 240_000  # characters of all languages together; with more languages eac
 ALPHABET = 64  # codes a language tells apart: 0 for what is no letter, 1 for letters not among its most frequent
 BLOCK = 512  # no phrase runs across the border of two blocks of a text
 LANES = 2048  # blocks parsed side by side
-RESTART = 1 << 30
+PHRASE = 1 << 29  # added to a table entry for each phrase that ends there
 UNKNOWN = "und"
 
 
@@ -92,11 +92,12 @@ class Language:
         self.codes = np.where(kinds > 0, 1, 0).astype(np.uint8)
         self.codes[common] = np.arange(2, 2 + len(common), dtype=np.uint8)
         move = automaton(self.codes[p].tolist())
-        start = np.full(ALPHABET, RESTART, dtype=np.int32)
+        start = np.full(ALPHABET, 2 * PHRASE, dtype=np.int32)  # the phrase so far, and a letter that is one by itself
         for c, to in move[0].items():
-            start[c] = RESTART | to * ALPHABET
-        start[1] = RESTART  # letters it does not know never match
+            if c != 1:  # letters it does not know never match
+                start[c] = PHRASE + to * ALPHABET
         table = np.tile(start, (len(move), 1))
+        table[0] -= PHRASE  # there is no phrase yet
         for state, moves in enumerate(move):
             for c, to in moves.items():
                 if c != 1:
@@ -112,8 +113,8 @@ class Language:
             if n == 0:
                 break
             went = self.table.take(state[:n] + codes[t, :n])
-            count[:n] += went >> 30
-            state[:n] = went & (RESTART - 1)
+            count[:n] += went >> 29
+            state[:n] = went & (PHRASE - 1)
         return count + (state > 0)
 
 
@@ -180,7 +181,7 @@ def model(samples: tuple[tuple[str, str], ...]) -> Model:
 def fit(labelled: DataFrame) -> tuple[tuple[str, str], ...]:
     """(language, sample text) in order, from (label, key, text): SAMPLE characters a language, TOTAL in all."""
     got: dict[str, str] = {}
-    for label, _, text in sample(labelled, rows=400, characters=SAMPLE, longest=SAMPLE):
+    for label, _, text in sample(labelled.filter("label is not null"), None, rows=400, characters=SAMPLE, longest=SAMPLE):
         got[label] = got.get(label, "") + text + "\n"
     most = min(SAMPLE, TOTAL // max(1, len(got)))
     return tuple((name, got[name][:most]) for name in sorted(got))
