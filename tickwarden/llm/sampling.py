@@ -8,33 +8,33 @@ from pyspark.sql import functions as F
 SALT = 20
 
 
-def sample(labelled: DataFrame, rows: int, characters: int, longest: int) -> list[tuple[object, object, str]]:
+def sample(texts: DataFrame, labels: DataFrame | None, rows: int, characters: int, longest: int) -> list[tuple[object, object, str]]:
     """(label, key, text) of up to `rows` different texts a label, in the order of a hash of the key.
 
-    `labelled` has label, key and text. Texts longer than `longest` characters and null or empty ones are left out of
-    the sample; a label's texts stop once `characters` are reached. So at most labels * (characters + longest)
-    characters reach the driver, however large the table is. Only keys and lengths are ranked; texts follow for the
-    chosen ones. Equal texts count once. The order does not depend on partitioning.
+    `texts` has key and text, `labels` key and label; without `labels`, `texts` has the label itself. Texts longer than
+    `longest` characters and null or empty ones are left out of the sample; a label's texts stop once `characters` are
+    reached. So at most labels * (characters + longest) characters reach the driver, however large the table is. Only
+    keys, hashes and lengths are joined and ranked; texts follow for the chosen ones. Equal texts count once. The order
+    does not depend on partitioning.
     """
-    order = F.xxhash64(F.lit(SALT), F.col("key").cast("string"))
-    slim = labelled.filter(F.col("label").isNotNull() & (F.length("text") > 0) & (F.length("text") <= longest)).select(
-        "label", "key", F.xxhash64("text").alias("h"), F.length("text").alias("n"), order.alias("at"))
+    usable = texts.filter((F.length("text") > 0) & (F.length("text") <= longest))
+    order = F.xxhash64(F.lit(SALT), F.col("key").cast("string")).alias("at")
+    marks = [F.col("key"), F.xxhash64("text").alias("h"), F.length("text").alias("n"), order]
+    slim = usable.select("label", *marks) if labels is None else usable.select(*marks).join(labels, "key")
     first = Window.partitionBy("label").orderBy("at", "h")
     # Twice the rows leave room for copies; the rank limit is applied before the shuffle.
-    ranked = slim.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= 2 * rows)
-    chosen, seen, used, count = [], set(), {}, {}
-    for row in ranked.orderBy("label", "r").collect():
-        mark = (row["label"], row["h"])
-        if mark in seen or used.get(row["label"], 0) >= characters or count.get(row["label"], 0) >= rows:
+    ranked = slim.filter(F.col("label").isNotNull()).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= 2 * rows)
+    chosen, used, count = {}, {}, {}
+    for row in sorted(ranked.collect(), key=lambda r: (str(r["label"]), r["r"])):
+        label, mark = row["label"], (row["label"], row["h"])
+        if mark in chosen or used.get(label, 0) >= characters or count.get(label, 0) >= rows:
             continue
-        seen.add(mark)
-        used[row["label"]] = used.get(row["label"], 0) + row["n"]
-        count[row["label"]] = count.get(row["label"], 0) + 1
-        chosen.append((row["key"], row["h"]))
+        chosen[mark] = row["key"]
+        used[label] = used.get(label, 0) + row["n"]
+        count[label] = count.get(label, 0) + 1
     if not chosen:
         return []
-    spark = labelled.sparkSession
-    keys = spark.createDataFrame(chosen, f"key {labelled.schema['key'].dataType.simpleString()}, h long").distinct()
-    texts = labelled.withColumn("h", F.xxhash64("text")).join(F.broadcast(keys), ["key", "h"], "left_semi").select("label", "key", "text", "h")
-    got = texts.dropDuplicates(["label", "h"]).select("label", "key", "text").collect()
-    return sorted(((r["label"], r["key"], r["text"]) for r in got), key=lambda r: (str(r[0]), str(r[1]), r[2]))
+    keys = texts.sparkSession.createDataFrame([(k, h) for (_, h), k in chosen.items()], f"key {texts.schema['key'].dataType.simpleString()}, h long").distinct()
+    found = usable.select("key", "text", F.xxhash64("text").alias("h")).join(F.broadcast(keys), ["key", "h"], "left_semi")
+    text_of = {r["h"]: r["text"] for r in found.dropDuplicates(["h"]).collect()}
+    return [(label, key, text_of[h]) for (label, h), key in sorted(chosen.items(), key=lambda x: (str(x[0][0]), str(x[1]), x[0][1])) if h in text_of]

@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from tickwarden.llm.sampling import sample
 from tickwarden.llm.words import fold
 
-DOCUMENTS = 3000  # labelled texts a class
-CHARACTERS = 6_000_000  # and their characters
+DOCUMENTS = 2000  # labelled texts a class
+CHARACTERS = 3_000_000  # and their characters
 LONGEST = 100_000  # of one labelled text
 DISCOUNT = 0.75
 SURE = 14.0  # likelihood ratio (G) at which classes differ so surely that an expression leaves the shared counts
@@ -149,8 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = labels.select(labels[key].alias("key"), labels[label].cast("int").alias("label")).filter(F.col("label").isin(0, 1) & (fold(F.col("key"), folds) != held))
     counted = known.agg(F.avg("label").alias("share"), F.count("*").alias("n")).first()
     share = min(0.98, max(0.005, counted["share"] if counted["n"] else 0.005))
-    picked = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(known.distinct(), "key")
-    got = sample(picked, DOCUMENTS, CHARACTERS, LONGEST)
+    got = sample(docs.select(docs[key].alias("key"), docs[text].alias("text")), known.distinct(), DOCUMENTS, CHARACTERS, LONGEST)
     texts = {y: [tokens(t) for label, _, t in got if label == y] for y in (0, 1)}
     if not texts[0] or not texts[1]:
         texts = {0: [], 1: []}
