@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tickwarden.contract.detection import day, ensemble_rows, micros, shown, threshold_rows
 from tickwarden.contract.network import incidents
-from tickwarden.contract.registry import query, sql
+from tickwarden.contract.registry import RANK, query, sql
 from tickwarden.functions import ids as I
 from tickwarden.functions import text as TX
 from tickwarden.functions.severity import clamp, node_status
@@ -422,7 +422,7 @@ def evaluation_report(spark, d):
     long = cut(T.telemetry(spark, d))
     train, test = long.where(F.col("ts") < F.lit(CUTOFF)), long.where(F.col("ts") >= F.lit(CUTOFF))
     late = T.scenarios(spark, d).where(F.col("start_time") >= F.lit(CUTOFF))
-    return PE.evaluate(train, test, late, T.nodes(spark, d), cut(T.links(spark, d)), trees=25).report
+    return PE.evaluate(train, test, late, T.nodes(spark, d), cut(T.links(spark, d))).report
 
 
 # -- streams -----------------------------------------------------------------------------------------------------
@@ -441,15 +441,15 @@ def event_stream(spark, d):
 
 
 STREAM_EWMA = sql("utel", """
-SELECT entity_id, metric, seq, len(h) AS n_before, round(list_reduce(h, lambda a, x: {'m': a.m + (x.m - a.m) * (2.0::DOUBLE / 21),
-  'v': (1 - 2.0::DOUBLE / 21) * (a.v + (2.0::DOUBLE / 21) * (x.m - a.m) * (x.m - a.m))}).m, 6) AS mean_before
-FROM (SELECT *, list({'m': value, 'v': 0.0::DOUBLE}) OVER (PARTITION BY entity_id, metric ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM utel) WHERE len(h) > 0""")
+SELECT entity_id, metric, seq, coalesce(len(h), 0) AS n_before, CASE WHEN len(h) > 0 THEN round(list_reduce(h, lambda a, x: {'m': a.m + (x.m - a.m) * (2.0::DOUBLE / 21),
+  'v': (1 - 2.0::DOUBLE / 21) * (a.v + (2.0::DOUBLE / 21) * (x.m - a.m) * (x.m - a.m))}).m, 6) END AS mean_before
+FROM (SELECT *, list({'m': value, 'v': 0.0::DOUBLE}) OVER (PARTITION BY entity_id, metric ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM utel)""")
 
 
 @query("stream_ewma", STREAM_EWMA)
 def stream_ewma(spark, d):
     rows = drain(SP.stream_ewma(event_stream(spark, d)))
-    return rows.where("n_before > 0").select("entity_id", "metric", "seq", "n_before", F.round("mean_before", 6).alias("mean_before"))
+    return rows.select("entity_id", "metric", "seq", "n_before", F.when(F.col("n_before") > 0, F.round("mean_before", 6)).alias("mean_before"))
 
 
 @query("stream_ewma_anomalies")
@@ -458,10 +458,12 @@ def stream_ewma_anomalies(spark, d):
 
 
 @query("stream_history", sql("utel", """
-SELECT entity_id, metric, least(count(*), 60)::INT AS n, arg_max(value, {'t': ts, 's': seq}) AS newest FROM utel GROUP BY ALL"""))
+SELECT entity_id, metric, generate_subscripts(h, 1)::INT AS place, unnest(h) AS value FROM (
+  SELECT entity_id, metric, list(value ORDER BY ts DESC, seq DESC)[1:60] AS h FROM utel GROUP BY ALL)"""))
 def stream_history(spark, d):
     rows = drain(SP.stream_history(event_stream(spark, d)))
-    return rows.select("entity_id", "metric", F.size("values").alias("n"), F.element_at("values", -1).alias("newest"))
+    newest_first = F.posexplode(F.reverse("values")).alias("place", "value")
+    return rows.select("entity_id", "metric", newest_first).withColumn("place", F.col("place") + 1)
 
 
 @query("stream_rate_limit")
@@ -471,12 +473,29 @@ def stream_rate_limit(spark, d):
     return drain(SP.stream_rate_limit(actions, minutes=600)).select("action_id", micros(), "scope", "accepted")
 
 
-@query("stream_lifecycle")
+STREAM_LIFECYCLE = sql("utel", f"""
+WITH hit AS (SELECT *, epoch_us(ts) // 86400000000 AS cycle, value / lim AS ratio FROM (
+    SELECT *, CASE metric WHEN 'utilization_pct' THEN 85.0::DOUBLE WHEN 'packet_loss_pct' THEN 1.0::DOUBLE WHEN 'cpu_pct' THEN 90.0::DOUBLE
+                          WHEN 'latency_ms' THEN 12.5::DOUBLE END AS lim FROM utel) WHERE value > lim),
+sev AS (SELECT *, CASE WHEN ratio >= 1.3 THEN 'critical' WHEN ratio >= 1.1 THEN 'high' ELSE 'medium' END AS severity FROM hit),
+mark AS (SELECT (epoch_us(max(ts)) - 300000000) // 86400000000 AS passed FROM utel),
+peak AS (SELECT cycle, entity_id, metric, max_by(severity, {{'r': {RANK.format('severity')}, 's': seq}}) AS severity, 0.7::DOUBLE AS confidence
+         FROM sev GROUP BY 1, 2, 3),
+cyc AS (SELECT p.* FROM peak p, mark WHERE cycle < passed),
+seen AS (SELECT *, lag(cycle) OVER w AS before, lag(severity) OVER w AS was, lead(cycle) OVER w AS after FROM cyc
+         WINDOW w AS (PARTITION BY entity_id, metric ORDER BY cycle))
+SELECT entity_id, metric, cycle, severity, confidence,
+       CASE WHEN before IS NULL OR before <> cycle - 1 THEN 'new' WHEN severity <> was THEN 'changed' ELSE 'unchanged' END AS change FROM seen
+UNION ALL SELECT entity_id, metric, cycle + 1, severity, confidence, 'resolved' FROM seen, mark
+WHERE (after IS NULL OR after <> cycle + 1) AND cycle + 1 < passed""")
+
+
+@query("stream_lifecycle", STREAM_LIFECYCLE)
 def stream_lifecycle(spark, d):
     """Daily lifecycle of threshold anomalies, from the event stream."""
     long = event_stream(spark, d)
     found = D.threshold()(long).withColumn("cycle", day())
-    return drain(SP.stream_lifecycle(found.select("ts", "cycle", "entity_id", "metric", "severity", "confidence"), 86400))
+    return drain(SP.stream_lifecycle(found.select("ts", "cycle", "entity_id", "metric", "severity", "confidence", "seq"), 86400))
 
 
 @query("stream_monitor", sql("utel", """

@@ -125,7 +125,7 @@ SELECT source, target, cost, cost::INT AS hops, path FROM (
   SELECT source, target, (len(path) - 1)::DOUBLE AS cost, array_to_string(path, '>') AS path,
          row_number() OVER (PARTITION BY source, target ORDER BY len(path), array_to_string(path, '>')) AS rn FROM walk WHERE node = target) WHERE rn = 1""", recursive=True))(
     lambda spark, d: P.shortest_paths(
-        T.links(spark, d), T.scenarios(spark, d).select(F.element_at("affected_nodes", -1).alias("source"), F.lit("R0").alias("target")), 5)
+        T.links(spark, d), T.scenarios(spark, d).select(F.element_at("affected_nodes", -1).alias("source"), F.lit("R0").alias("target")))
 )
 query("simple_path_count", sql("links", WALK.format(want="SELECT source, target FROM links", hops=4) + """
 SELECT source, target, count(*) FILTER (node = target) AS paths FROM walk GROUP BY 1, 2""", recursive=True))(
@@ -225,12 +225,7 @@ GRAPH = f"{DIRS}, edges AS ({EDGES})"
 
 @query("structural_edges", sql("links nodes inc", f"WITH {GRAPH} SELECT src, dst, strength, 'structural' AS edge_type FROM edges"))
 def structural_edges(spark, d):
-    """Plain edges; links at a node busier than the pairing limit appear once, as members of that node."""
-    g = graph(spark, d)
-    if g.cliques is None:
-        return g.edges
-    members = g.cliques.select(F.col("member").alias("src"), F.col("hub").alias("dst"), F.lit(C.CO_LOCATED).alias("strength"), F.lit("member").alias("edge_type"))
-    return g.edges.unionByName(members)
+    return graph(spark, d).all_edges()
 
 
 GRID = """grid AS (SELECT metric AS variable, epoch_us(ts) // 21600000000 AS t, avg(value) AS value FROM tel GROUP BY ALL)"""
@@ -287,7 +282,7 @@ UNION = f"""{GRAPH}, {NGRID}, merged AS (SELECT coalesce(s.src, l.src) AS src, c
 
 
 def merged(spark, d):
-    return C.union_edges(graph(spark, d).edges, learned(spark, d))
+    return C.union_edges(graph(spark, d).all_edges(), learned(spark, d))
 
 
 query("graph_union", sql("links nodes inc utel", f"WITH {UNION} SELECT * FROM merged"))(merged)

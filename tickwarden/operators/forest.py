@@ -71,16 +71,23 @@ def sample_values(long: DataFrame, per_metric: int, seed: int) -> DataFrame:
     rows = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
     sizes = rows.groupBy("metric").agg(F.count("*").alias("_n"))
     keep = F.least(F.lit(1.0), F.lit(4.0 * per_metric) / F.col("_n")) * float(1 << 40)
-    rows = rows.join(F.broadcast(sizes), "metric").withColumn("_d", draw).where(F.col("_d") <= keep)
+    rows = rows.join(sizes, "metric").withColumn("_d", draw).where(F.col("_d") <= keep)
     return best_rows(rows, ["metric"], [F.col("_d"), F.col("seq")], per_metric, "_r").select("metric", "value")
 
 
 def fit_forest(long: DataFrame, trees: int = 100, seed: int = 42, min_points: int = 10) -> DataFrame:
-    """Step table per metric: `edges`, `scores` (one more than edges) and the training `median`."""
+    """Step table per metric: `edges`, `scores` (one more than edges) and the `median` of all training values.
+
+    Each tree is grown on SUBSAMPLE values, as the method has it; the trees share a pool of trees * SUBSAMPLE values a
+    metric, drawn evenly from all rows.
+    """
     sample = sample_values(long, SUBSAMPLE * trees, seed)
     enough = sample.groupBy("metric").agg(F.count("*").alias("n")).where(F.col("n") >= min_points)
     schema = "metric string, edges array<double>, scores array<double>, median double"
-    return sample.join(F.broadcast(enough), "metric", "left_semi").groupBy("metric").applyInPandas(_fit(trees, seed), schema)
+    grown = sample.join(enough, "metric", "left_semi").groupBy("metric").applyInPandas(_fit(trees, seed), schema)
+    usable = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    medians = usable.groupBy("metric").agg(F.percentile_approx("value", 0.5, 10_000).alias("median"))
+    return grown.drop("median").join(medians, "metric")
 
 
 def score_forest(long: DataFrame, steps: DataFrame) -> DataFrame:
@@ -106,7 +113,7 @@ def forest_offsets(scored: DataFrame, contamination: float = 0.05) -> DataFrame:
 
 def forest_hits(scored: DataFrame, offsets: DataFrame, medians: DataFrame) -> DataFrame:
     """Rows scoring under the metric's offset. `expected` is the training median."""
-    rows = scored.join(F.broadcast(offsets), "metric").join(F.broadcast(medians), "metric")
+    rows = scored.join(offsets, "metric").join(medians, "metric")
     rows = rows.withColumn("decision", F.col("score") - F.col("offset")).where(F.col("decision") < 0)
     return anomaly(
         rows, F.col("value"), F.col("median"), isolation_severity(F.col("decision")),

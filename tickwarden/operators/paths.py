@@ -21,10 +21,11 @@ def _arcs(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return arcs, arcs.join(inner, "next", "left_semi")
 
 
-def shortest_paths(links: DataFrame, pairs: DataFrame, max_hops: int = 6) -> DataFrame:
-    """Cheapest path per pair by weight, within `max_hops`; the smallest path text among equals.
+def shortest_paths(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Cheapest path per pair by weight (not negative), of any length; the smallest path text among equals.
 
-    Expansion is per distinct source, keeping the best row per (source, node) in every round.
+    Expansion is per distinct source, keeping the best row per (source, node), and goes on from the rows that the last
+    round made better until there are none.
     """
     arcs, inner = _arcs(links)
     wanted = pairs.select("source", "target").distinct()
@@ -32,21 +33,20 @@ def shortest_paths(links: DataFrame, pairs: DataFrame, max_hops: int = 6) -> Dat
         "source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops"),
         F.col("source").alias("path"),
     )
-    best = F.min(F.struct(F.round("cost", 9).alias("_c"), "path", "cost", "hops"))
-    for hop in range(1, max_hops):
-        grown = state.where(F.col("hops") == hop - 1).join(inner, "node").select(
+    best = F.min(F.struct(F.round("cost", 9).alias("_c"), "path", "cost", "hops", "fresh"))
+    state, hop = state.withColumn("fresh", F.lit(0)), 0
+    while hop == 0 or not state.where(F.col("fresh") == hop).isEmpty():
+        grown = state.where(F.col("fresh") == hop).join(inner, "node").select(
             "source", F.col("next").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"),
-            F.lit(hop).alias("hops"), F.concat_ws(">", "path", "next").alias("path"),
+            (F.col("hops") + 1).alias("hops"), F.concat_ws(">", "path", "next").alias("path"), F.lit(hop + 1).alias("fresh"),
         )
         state = state.unionByName(grown).groupBy("source", "node").agg(best.alias("b"))
-        state = state.select("source", "node", "b.cost", "b.hops", "b.path")
-        # The next hop starts twice from this state; writing every second one keeps the plan small.
-        if hop % 2 == 0:
-            state = cut(state)
+        state = cut(state.select("source", "node", "b.cost", "b.hops", "b.path", "b.fresh"))
+        hop += 1
     last = wanted.join(arcs.withColumnRenamed("next", "target"), "target").join(state, ["source", "node"])
     last = last.where(F.col("source") != F.col("target")).select(
         "source", "target", (F.col("cost") + F.col("weight")).alias("cost"), (F.col("hops") + 1).alias("hops"),
-        F.concat_ws(">", "path", "target").alias("path"),
+        F.concat_ws(">", "path", "target").alias("path"), "fresh",
     )
     found = last.groupBy("source", "target").agg(best.alias("b"))
     return found.select("source", "target", "b.cost", "b.hops", "b.path")

@@ -19,7 +19,8 @@ from tickwarden.operators.series import best_rows
 
 CHUNK_SIZE, CHUNK_OVERLAP = 500, 50
 SEPARATORS = ("\n\n", "\n", " ", "")
-MAX_QUESTIONS = 4096
+BATCH = 1024  # questions scored together
+SCORED = 2048  # rows scored at a time
 
 
 def _pieces(text: str, separator: str) -> list[str]:
@@ -79,8 +80,8 @@ def chunk_fixed(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OV
     """Fixed-stride chunks in column expressions."""
     stride = size - overlap
     last = F.greatest(F.ceil((F.length("text") - overlap) / stride).cast("int"), F.lit(1))
-    rows = docs.where(F.length("text") > 0).select(key, "source", "text", F.explode(F.sequence(F.lit(0), last - 1)).alias("chunk_no"))
-    return rows.select(key, "source", "chunk_no", F.substring(F.col("text"), F.col("chunk_no") * stride + 1, F.lit(size)).alias("text"))
+    parts = F.transform(F.sequence(F.lit(0), last - 1), lambda n: F.substring(F.col("text"), n * stride + 1, F.lit(size)))
+    return docs.where(F.length("text") > 0).select(key, "source", F.posexplode(parts).alias("chunk_no", "text"))
 
 
 def chunk_counts(chunks: DataFrame) -> DataFrame:
@@ -121,44 +122,52 @@ def relevance(cosine: np.ndarray) -> np.ndarray:
 def top_k(questions: DataFrame, corpus: DataFrame, k: int = 3, query: str = "query_id", key: str = "vec_id") -> DataFrame:
     """The `k` most similar corpus rows per question: (query, key, score, rank). Ties go to the smaller key.
 
-    A batch of questions is small by contract (checked). Every task scores its rows against the whole batch in one
-    matrix product and keeps k rows per question, so only k x questions rows per task are shuffled.
-    Larger batches are worked off in several calls.
+    Questions are dealt by hash into batches of about BATCH; every task scores its rows against one batch after another
+    and keeps k rows per question, so only k rows per question and task are shuffled. A batch is all a task holds.
     """
-    asked = questions.select(query, "embedding").limit(MAX_QUESTIONS + 1).collect()
-    if len(asked) > MAX_QUESTIONS:
-        raise ValueError(f"more than {MAX_QUESTIONS} questions in one batch; split the batch")
-    if not asked:
-        kinds = dict(questions.dtypes), dict(corpus.dtypes)
-        return corpus.sparkSession.createDataFrame([], f"`{query}` {kinds[0][query]}, `{key}` {kinds[1][key]}, score double, rank int")
-    names = [r[query] for r in asked]
-    matrix = np.array([r["embedding"] for r in asked], dtype=float)
-    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            rows = np.stack(pdf["embedding"].to_numpy()).astype(float)
-            rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-            cosine = rows @ matrix.T
-            part = pd.DataFrame({
-                "_q": np.repeat(np.arange(len(names)), len(rows)), key: np.tile(pdf[key].to_numpy(), len(names)),
-                "_c": cosine.T.ravel(),
-            })
-            best = part if best is None else pd.concat([best, part])
-            best["_o"] = best["_c"].round(12)
-            best = best.sort_values(["_q", "_o", key], ascending=[True, False, True]).groupby("_q").head(k)
-        if best is not None:
-            yield pd.DataFrame({query: [names[q] for q in best["_q"]], key: best[key], "score": relevance(best["_c"].to_numpy())})
-
     kinds = dict(questions.dtypes), dict(corpus.dtypes)
-    found = corpus.select(key, "embedding").mapInPandas(run, f"`{query}` {kinds[0][query]}, `{key}` {kinds[1][key]}, score double")
+    schema = f"`{query}` {kinds[0][query]}, `{key}` {kinds[1][key]}, score double"
+    batches = max(1, -(-questions.count() // BATCH))
+    found = None
+    for n in range(batches):
+        asked = questions.where(F.pmod(F.xxhash64(query), F.lit(batches)) == n).select(query, "embedding").collect()
+        if asked or n == 0:
+            part = corpus.select(key, "embedding").mapInPandas(_score(asked, query, key, k), schema)
+            found = part if found is None else found.unionByName(part)
     ranked = best_rows(found, [query], [F.round("score", 9).desc(), F.col(key)], k)
     return ranked.withColumn("score", F.round("score", 4))
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+
+def _score(asked: list, query: str, key: str, k: int):
+    """The task's part of a search: its k best rows for each question of one batch."""
+    names = [r[query] for r in asked]
+    matrix = _unit(np.array([r["embedding"] for r in asked], dtype=float)) if asked else None
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, kept = None, None  # (question, place): the best so far, best first
+        for pdf in parts if asked else ():
+            for at in range(0, len(pdf), SCORED):
+                rows = pdf.iloc[at:at + SCORED]
+                cosine = matrix @ _unit(np.stack(rows["embedding"].to_numpy()).astype(float)).T
+                if keys is None:
+                    keys, kept = np.empty((len(names), 0), dtype=rows[key].dtype), np.empty((len(names), 0))
+                # Keys of any type are compared by their place among those at hand.
+                ordered, places = np.unique(np.concatenate([keys.ravel(), rows[key].to_numpy()]), return_inverse=True)
+                held, own = places[:keys.size].reshape(keys.shape), places[keys.size:]
+                both = np.concatenate([held, np.broadcast_to(own, cosine.shape)], axis=1)
+                kept = np.concatenate([kept, cosine], axis=1)
+                order = np.lexsort((both, -kept.round(12)), axis=1)[:, :k]
+                keys, kept = ordered[np.take_along_axis(both, order, 1)], np.take_along_axis(kept, order, 1)
+        if keys is not None:
+            yield pd.DataFrame({query: np.repeat(np.array(names, dtype=object), keys.shape[1]), key: keys.ravel(), "score": relevance(kept).ravel()})
+
+    return run
+
+
 def incident_questions(anomalies: DataFrame) -> DataFrame:
     """One question per incident, from its first anomaly."""
     first = anomalies.groupBy("incident_id").agg(F.min_by("metric", F.struct("ts", "seq")).alias("metric"))

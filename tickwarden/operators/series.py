@@ -19,19 +19,9 @@ MAX_SERIES_ROWS = 2_000_000
 CHUNK_ROWS = 65_536
 
 
-_sizes: dict[tuple, int] = {}
-
-
 def hottest(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest key: one partial aggregate over the key columns, one number to the driver.
-
-    Remembered per plan. The number only picks between two ways to the same result, so a stale one is harmless.
-    """
-    counted = df.groupBy(*keys).count()
-    mark = (df.sparkSession.sparkContext.applicationId, counted.semanticHash())
-    if mark not in _sizes:
-        _sizes[mark] = int(counted.agg(F.max("count").alias("n")).first()["n"] or 0)
-    return _sizes[mark]
+    """Rows of the largest key: one partial aggregate over the key columns, one number to the driver."""
+    return int(df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()["n"] or 0)
 
 
 def with_position(

@@ -20,17 +20,19 @@ def session(master: str | None = None, shuffle_partitions: int | None = None) ->
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "16g")
+        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach. Only a session without one (tests) gets a fresh local one."""
+    """Folder every executor can reach. Only a local session without one (tests) gets a fresh local one."""
     configured = spark.conf.get(SHARED_DIR, None) or spark.sparkContext.getConf().get(SHARED_DIR, None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError(f"set {SHARED_DIR} to a folder that all executors share")
     fresh = tempfile.mkdtemp(prefix="tickwarden-")
     spark.conf.set(SHARED_DIR, fresh)
     return fresh

@@ -124,19 +124,32 @@ def parse_snapshots(values: DataFrame, column: str = "value") -> DataFrame:
     return values.select(F.from_json(F.col(column), SNAPSHOT).alias("_s")).select("_s.*")
 
 
-def fan_out(sinks: dict[str, Callable[[DataFrame, int], None]], failures: Callable[[str, Exception], None] | None = None):
-    """A `foreachBatch` body that feeds every sink; one failing sink does not stop the others."""
+def fan_out(
+    sinks: dict[str, Callable[[DataFrame, int], None]], failures: Callable[[str, Exception], None] | None = None,
+    dead_letters: str | None = None,
+):
+    """A `foreachBatch` body that feeds every sink; one failing sink does not stop the others.
+
+    A batch that a sink could not take is written to `dead_letters`/sink=name/batch=number, so that it can be fed again.
+    `failures` is told of it. With neither, the first failure is raised once all sinks have been fed, and the batch is
+    run again from the checkpoint.
+    """
     def run(batch: DataFrame, number: int) -> None:
-        kept = batch.persist()
+        kept, first = batch.persist(), None
         try:
             for name, sink in sinks.items():
                 try:
                     sink(kept, number)
-                except Exception as error:  # noqa: BLE001 - a subscriber's failure is reported, not raised
+                except Exception as error:  # noqa: BLE001 - the other sinks come first
+                    first = first or error
+                    if dead_letters:
+                        kept.write.mode("overwrite").parquet(f"{dead_letters}/sink={name}/batch={number}")
                     if failures:
                         failures(name, error)
         finally:
             kept.unpersist()
+        if first and not (failures or dead_letters):
+            raise first
 
     return run
 

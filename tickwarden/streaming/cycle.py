@@ -17,13 +17,14 @@ from tickwarden.streaming.processors import readings
 
 def start_observer(
     snapshots: DataFrame, detectors: Sequence[Detector], sinks: dict[str, Callable[[DataFrame, int], None]],
-    checkpoint: str, period_seconds: int = 60, **trigger,
+    checkpoint: str, period_seconds: int = 60, failures: Callable[[str, Exception], None] | None = None, **trigger,
 ):
     """Start the query: every micro-batch is cleaned, run through the stateless detectors and handed to all sinks.
 
-    Detectors with memory run as their own stateful queries (`stream_ewma_anomalies`, `stream_history`).
+    Detectors with memory run as their own stateful queries (`stream_ewma_anomalies`, `stream_history`). Batches that a
+    sink fails to take are kept beside the checkpoint, under `<checkpoint>-dead-letters`.
     """
-    deliver = fan_out(sinks)
+    deliver = fan_out(sinks, failures, f"{checkpoint.rstrip('/')}-dead-letters")
 
     def cycle(batch: DataFrame, number: int) -> None:
         found = run_ensemble(batch, detectors).withColumn("cycle", F.floor(F.unix_seconds("ts") / period_seconds))

@@ -79,47 +79,62 @@ def stream_history(long: DataFrame, keep: int = 60) -> DataFrame:
     )
 
 
+LEVELS = ("low", "medium", "high", "critical")
+
+
 def stream_lifecycle(cycles: DataFrame, period_seconds: int = 60, min_delta: float = 0.05) -> DataFrame:
     """Open, change, keep and resolve anomalies per (entity, metric).
 
-    `cycles`: ts (watermarked), cycle, entity_id, metric, severity, confidence. An anomaly is resolved when event
-    time has passed the cycle after its last one, so a late row cannot be mistaken for an absent one.
+    `cycles`: ts (watermarked), cycle, entity_id, metric, severity, confidence[, seq]; any number of rows a cycle, in any
+    order. A cycle is closed once the watermark has passed its end; its strongest row counts, the later one on ties, as
+    in `cycle_peaks`. What follows agrees with `emit_changes` and `resolved` on the closed cycles. State holds the open
+    cycles, at most as many as the watermark lags behind, and the last one.
     """
-    def row(key, cycle, severity, confidence, change):
-        return (key[0], key[1], int(cycle), severity, float(confidence), change)
+    names = ["cycle", "severity", "confidence", "seq"]
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        if state.hasTimedOut:
-            cycle, severity, confidence = state.get
-            out.append(row(key, cycle + 1, severity, confidence, "resolved"))
+        last, opened = (None, {})
+        if state.exists:
+            at, severity, confidence, *lists = state.get
+            last = (at, severity, confidence) if at is not None else None
+            opened = {c: (s, f, q) for c, s, f, q in zip(*lists)}
+        if not state.hasTimedOut:
+            for rows in batches:
+                for c, s, f, q in rows[names].itertuples(index=False):
+                    strength = lambda r: (LEVELS.index(r[0]) if r[0] in LEVELS else -1, r[1], r[2])
+                    if c not in opened or strength((s, f, q)) > strength(opened[c]):
+                        opened[int(c)] = (s, float(f), int(q))
+        out, passed = [], state.getCurrentWatermarkMs() // (1000 * period_seconds)  # the first cycle that is open
+        for c in sorted(c for c in opened if c < passed):
+            severity, confidence, _ = opened.pop(c)
+            if last and c > last[0] + 1:
+                out.append((last[0] + 1, last[1], last[2], "resolved"))
+                last = None
+            if not last:
+                change = "new"
+            else:
+                moved = severity != last[1] or round(abs(confidence - last[2]), 6) >= min_delta
+                change = "changed" if moved else "unchanged"
+            out.append((c, severity, confidence, change))
+            last = (c, severity, confidence)
+        if last and last[0] + 1 < passed:
+            out.append((last[0] + 1, last[1], last[2], "resolved"))
+            last = None
+        if last or opened:
+            due = min([*opened, *([last[0] + 1] if last else [])]) + 1
+            held = [*zip(*[(c, *opened[c]) for c in sorted(opened)])] or [(), (), (), ()]
+            state.update((*(last or (None, None, None)), *map(list, held)))
+            state.setTimeoutTimestamp(max(due * period_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
             state.remove()
-        else:
-            held = state.get if state.exists else None
-            for cycle, severity, confidence in _sorted(batches, ["cycle"])[["cycle", "severity", "confidence"]].itertuples(index=False):
-                if held is not None and cycle <= held[0]:
-                    continue
-                if held is not None and cycle > held[0] + 1:
-                    out.append(row(key, held[0] + 1, held[1], held[2], "resolved"))
-                    held = None
-                if held is None:
-                    change = "new"
-                elif severity != held[1] or round(abs(confidence - held[2]), 6) >= min_delta:
-                    change = "changed"
-                else:
-                    change = "unchanged"
-                out.append(row(key, cycle, severity, confidence, change))
-                held = (int(cycle), severity, float(confidence))
-            if held is not None:
-                state.update(held)
-                due = (held[0] + 2) * period_seconds * 1000
-                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         if out:
-            yield pd.DataFrame(out, columns=["entity_id", "metric", "cycle", "severity", "confidence", "change"])
+            yield pd.DataFrame([(key[0], key[1], *row) for row in out], columns=["entity_id", "metric", "cycle", "severity", "confidence", "change"])
 
-    return cycles.groupBy("entity_id", "metric").applyInPandasWithState(
+    rows = cycles if "seq" in cycles.columns else cycles.withColumn("seq", F.unix_micros("ts"))
+    return rows.groupBy("entity_id", "metric").applyInPandasWithState(
         step, "entity_id string, metric string, cycle bigint, severity string, confidence double, change string",
-        "cycle bigint, severity string, confidence double", "append", GroupStateTimeout.EventTimeTimeout,
+        "at bigint, severity string, confidence double, cycles array<bigint>, severities array<string>, confidences array<double>, seqs array<bigint>",
+        "append", GroupStateTimeout.EventTimeTimeout,
     )
 
 
