@@ -100,3 +100,35 @@ def test_components_of_a_long_path_and_a_star(spark):
 def test_hash_is_the_published_one(spark):
     shown = spark.range(1).select(F.xxhash64(F.lit("abc")).alias("h")).first()["h"]
     assert shown & (2**64 - 1) == xxhash.xxh64_intdigest(b"abc", 42)
+
+
+def test_similar_texts_are_found_and_others_left_alone(spark):
+    rnd = random.Random(8)
+    vocabulary = [f"word{i}" for i in range(4000)]
+    base = {i: [rnd.choice(vocabulary) for _ in range(rnd.choice([60, 150, 400]))] for i in range(60)}
+    rows, group = [(i, " ".join(w)) for i, w in base.items()], {i: i for i in base}
+    for i in range(0, 40):
+        w = list(base[i])
+        for _ in range(max(1, len(w) // 90)):
+            w[rnd.randrange(len(w))] = "Changed" + str(rnd.randrange(99))
+        rows.append((1000 + i, " ".join(w)))
+        group[1000 + i] = i
+        if i % 4 == 0:
+            rows.append((2000 + i, "\n".join(base[i]).upper()))
+            group[2000 + i] = i
+    crowd = [rnd.choice(vocabulary) for _ in range(200)]
+    for i in range(400):
+        w = list(crowd)
+        w[i % 200] = f"x{i}"
+        rows.append((5000 + i, " ".join(w)))
+        group[5000 + i] = 5000
+    rows += [(9000, None), (9001, " "), (9002, "two words"), (9003, "two words"), (9004, "two other")]
+    group.update({9000: 9000, 9001: 9000, 9002: 9002, 9003: 9002, 9004: 9004})
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(df).collect()}
+    assert got.keys() == group.keys()
+    assert all(group[i] == group[c] for i, c in got.items())
+    assert sum(group[i] == c for i, c in got.items()) >= 0.97 * len(got)
+    assert all(got[5000 + i] == 5000 for i in range(400))
+    assert [got[i] for i in range(9000, 9005)] == [9000, 9000, 9002, 9002, 9004]
+    assert simhash.similar(df.limit(0)).count() == 0

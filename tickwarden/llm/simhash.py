@@ -53,24 +53,62 @@ RADIUS = 2
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (lowest bit, width) on a ring; one more than differing bits
 
 
+def ring(radius: int) -> tuple[tuple[int, int], ...]:
+    """radius + 1 nearly equal segments of 64 bits."""
+    if radius == RADIUS:
+        return SEGMENTS
+    ends = [64 * i // (radius + 1) for i in range(radius + 2)]
+    return tuple((lo, hi - lo) for lo, hi in zip(ends, ends[1:]))
+
+
 def _segment(value: Column, segment: tuple[int, int]) -> Column:
     return F.shiftrightunsigned(value, segment[0]).bitwiseAND(F.lit((1 << segment[1]) - 1))
 
 
-def chain_ok(difference: Column) -> Column:
-    """Some start whose chains of 1, 2, 3 segments differ in at most length * RADIUS / 3 bits."""
-    count = [F.bit_count(_segment(difference, p)) for p in SEGMENTS]
-    n = len(SEGMENTS)
+def chain_ok(difference: Column, radius: int = RADIUS) -> Column:
+    """Some start whose chains of 1, 2, ... segments differ in at most length * radius / segments bits."""
+    segments = ring(radius)
+    count = [F.bit_count(_segment(difference, p)) for p in segments]
+    n = len(segments)
     out = F.lit(False)
     for i in range(n):
         sums, ok = F.lit(0), F.lit(True)
         for length in range(1, n + 1):
             sums = sums + count[(i + length - 1) % n]
-            ok = ok & (sums <= length * RADIUS // n)
+            ok = ok & (sums <= length * radius // n)
         out = out | ok
     return out
 
 
+def filings(fp: Column, radius: int = RADIUS) -> Column:
+    """array<(key, probe)>: for each start the key of the first two segments, and it with each set bit of the second cleared."""
+    segments = ring(radius)
+
+    def of_start(i: int) -> Column:
+        first, second = segments[i], segments[(i + 1) % len(segments)]
+        own = _segment(fp, second)
+        key = _segment(fp, first) * (1 << second[1]) + own + F.lit(i << 50)
+        bits = F.filter(F.array(*[F.lit(1 << j) for j in range(second[1])]), lambda b: own.bitwiseAND(b) != 0)
+        cleared = F.transform(bits, lambda b: F.struct((key - b).alias("key"), F.lit(1).alias("probe")))
+        return F.concat(F.array(F.struct(key.alias("key"), F.lit(0).alias("probe"))), cleared)
+
+    return F.concat(*[of_start(i) for i in range(len(segments))])
+
+
+def close_pairs(members: DataFrame, radius: int, *by: str) -> DataFrame:
+    """(by, a, b): members of one key that pass the chains and lie within the radius. `members`: by, key, probe, print."""
+    grouped = members.groupBy(*by, "key").agg(F.collect_list(F.struct("probe", "print")).alias("ms"))
+
+    def partners(x: Column, ms: Column) -> Column:
+        difference = lambda y: y["print"].bitwiseXOR(x["print"])
+        near = F.filter(ms, lambda y: ((y["probe"] == 1) | (y["print"] > x["print"])) & (y["print"] != x["print"])
+                        & chain_ok(difference(y), radius) & (F.bit_count(difference(y)) <= radius))
+        return F.transform(near, lambda y: F.struct(x["print"].alias("a"), y["print"].alias("b")))
+
+    filed_here = F.filter("ms", lambda x: x["probe"] == 0)
+    return grouped.select(*by, F.inline(F.flatten(F.transform(filed_here, lambda x: partners(x, F.col("ms"))))))
+
+
 def links(prints: DataFrame) -> DataFrame:
     """(a, b): pairs of distinct fingerprints within two bits, or as many of them as connect the same ones.
 
@@ -86,28 +124,10 @@ def links(prints: DataFrame) -> DataFrame:
     """
     fp, n = F.col("print"), len(SEGMENTS)
 
-    def filings(i: int) -> Column:
-        first, second = SEGMENTS[i], SEGMENTS[(i + 1) % n]
-        own = _segment(fp, second)
-        key = _segment(fp, first) * (1 << second[1]) + own + F.lit(i << 50)
-        bits = F.filter(F.array(*[F.lit(1 << j) for j in range(second[1])]), lambda b: own.bitwiseAND(b) != 0)
-        cleared = F.transform(bits, lambda b: F.struct((key - b).alias("key"), F.lit(1).alias("probe")))
-        return F.concat(F.array(F.struct(key.alias("key"), F.lit(0).alias("probe"))), cleared)
-
-    filed = [filings(i) for i in range(n)]
-    rows = prints.select(fp, F.inline(F.concat(*filed))).repartition("key")
+    rows = prints.select(fp, F.inline(filings(fp))).repartition("key")
     live = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("probe").alias("least")).filter("n > 1 and least = 0").select("key", "n")
     members = cut(rows.join(live, "key"))
-
-    few = members.filter(F.col("n") <= PAIRED).groupBy("key").agg(F.collect_list(F.struct("probe", "print")).alias("ms"))
-
-    def partners(x: Column, ms: Column) -> Column:
-        near = F.filter(ms, lambda y: ((y["probe"] == 1) | (y["print"] > x["print"])) & (y["print"] != x["print"])
-                        & chain_ok(y["print"].bitwiseXOR(x["print"])) & (F.bit_count(y["print"].bitwiseXOR(x["print"])) <= RADIUS))
-        return F.transform(near, lambda y: F.struct(x["print"].alias("a"), y["print"].alias("b")))
-
-    filed_here = F.filter("ms", lambda x: x["probe"] == 0)
-    compared = few.select(F.inline(F.flatten(F.transform(filed_here, lambda x: partners(x, F.col("ms"))))))
+    compared = close_pairs(members.filter(F.col("n") <= PAIRED), RADIUS)
 
     start, zero = F.shiftrightunsigned("key", 50), F.array(F.lit(0).cast("long"))
     rest, flips = F.lit(None).cast("long"), zero
@@ -140,3 +160,95 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     classes = prints.join(of_print, "print", "left").select("print", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component")).alias("component_id"))
     shown = F.lower(F.lpad(F.hex("print"), 16, "0"))
     return printed.join(classes, "print").select(F.col("key").alias(key), shown.alias("fingerprint"), "component_id")
+
+
+def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(key, set_id, prints, shingles): of each text the set of its shingles and PRINTS fingerprints over its words.
+
+    shingles: 32-bit hashes of the different shingles, in order; set_id: their XXH64. A fingerprint has the majority bits
+    over the hashes of the different words, so that one changed word moves it less than all the shingles it stands in.
+    """
+    schema = T.StructType([
+        T.StructField("key", docs.schema[key].dataType), T.StructField("set_id", T.LongType()),
+        T.StructField("prints", T.ArrayType(T.LongType())), T.StructField("shingles", T.ArrayType(T.IntegerType())),
+    ])
+
+    def sketch(t: str | None) -> tuple[int, np.ndarray, np.ndarray]:
+        w = lower_words(t)
+        joined = set(map(b" ".join, zip(*[w[i:] for i in range(width)]))) if len(w) >= width else {b" ".join(w)} if w else set()
+        hashes = np.unique(np.fromiter((xxhash.xxh32_intdigest(s) for s in joined), dtype="<u4", count=len(joined)))
+        words = sorted(set(w))
+        bits = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x, n) for x in words for n in range(PRINTS // 2)), dtype=np.uint8).reshape(len(words), 8 * PRINTS)
+        ones = np.zeros(64 * PRINTS, dtype=np.int64)
+        for at in range(0, len(words), BLOCK // PRINTS):
+            ones += np.unpackbits(bits[at:at + BLOCK // PRINTS], axis=1).sum(axis=0, dtype=np.int64)
+        prints = np.packbits(2 * ones > len(words)).view("<i8")
+        return xxhash.xxh64_intdigest(hashes.tobytes(), SEED), prints, hashes.view("<i4")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                found = [sketch(t) for t in batch.column(1).slice(at, ROWS).to_pylist()]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(at, ROWS), pa.array(np.array([f[0] for f in found], dtype="u8").view("i8")),
+                    pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.int32()))], names=schema.names)
+
+    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(work, schema)
+
+
+PRINTS = 4  # fingerprints a text, each searched by itself
+WIDE = 4  # bits in which two of them may differ
+
+
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(key, component_id) for every row: texts linked where the Jaccard similarity of their shingles is large enough.
+
+    Texts with the same shingles count as one. Others are candidates if one of their PRINTS fingerprints differs in at
+    most WIDE bits, found by the same chains of segments; each candidate's shingles are then compared in full. Texts with
+    an equal fingerprint, and those in a key with more than PAIRED, meet the smallest of them instead of one another, so
+    that a crowd costs in proportion to its size; they have PRINTS chances to do so.
+
+    Texts of fewer words than a shingle are one shingle; null texts and texts without words are alike. component_id is the
+    smallest key of the component; null keys come first where keys are structs and take no part otherwise. Repeated rows
+    are kept. No rows give no rows.
+    """
+    rows = cut(sketches(docs, key, text, width))
+    sets = cut(rows.groupBy("set_id").agg(F.min("key").alias("least"), F.first("prints").alias("prints")))
+    printed = sets.select("set_id", F.posexplode("prints").alias("nth", "print"))
+    least = cut(printed.groupBy("nth", "print").agg(F.min("set_id").alias("first")))
+    equal = printed.join(least, ["nth", "print"]).filter("set_id <> first").select(F.col("first").alias("a"), F.col("set_id").alias("b"))
+
+    fp = F.col("print")
+    filed = least.select("nth", fp, F.inline(filings(fp, WIDE))).repartition("nth", "key")
+    live = filed.groupBy("nth", "key").agg(F.count("*").alias("n"), F.min("probe").alias("p"), F.min(F.when(F.col("probe") == 0, fp)).alias("low"))
+    members = cut(filed.join(live.filter("n > 1 and p = 0").drop("p"), ["nth", "key"]))
+    near = close_pairs(members.filter(F.col("n") <= PAIRED), WIDE, "nth").union(
+        members.filter((F.col("n") > PAIRED) & (fp != F.col("low"))).select("nth", F.col("low").alias("a"), F.col("print").alias("b"))).distinct()
+    place = lambda side: least.select("nth", F.col("print").alias(side), F.col("first").alias("set_" + side))
+    across = near.join(place("a"), ["nth", "a"]).join(place("b"), ["nth", "b"]).select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
+    pairs = cut(equal.union(across).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    # One row of each set: the one with the set's smallest key.
+    chosen = asked.join(sets.select("set_id", F.col("least").alias("chosen")), "set_id")
+    held = rows.join(chosen, "set_id").filter(F.col("key").eqNullSafe(F.col("chosen"))).groupBy("set_id").agg(F.first("shingles").alias("shingles"))
+    held = cut(held)
+    side = lambda name: held.select(F.col("set_id").alias(name), F.col("shingles").alias("s" + name))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for r in range(batch.num_rows):
+                x, y = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("sa", "sb"))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    verified = both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    roots = cut(components(verified))
+    linked = roots.join(sets.select("set_id", "least"), roots["node"] == F.col("set_id"))
+    lowest = linked.groupBy("root").agg(F.min("least").alias("low"))
+    classes = sets.select("set_id", "least").join(linked.join(lowest, "root").select("set_id", "low"), "set_id", "left").select(
+        "set_id", F.when(F.col("low").isNull(), F.col("least")).otherwise(F.col("low")).alias("component_id"))
+    return rows.select("key", "set_id").join(classes, "set_id").select(F.col("key").alias(key), "component_id")
