@@ -452,7 +452,7 @@ def stream_ewma(spark, d):
     return rows.select("entity_id", "metric", "seq", "n_before", F.when(F.col("n_before") > 0, F.round("mean_before", 6)).alias("mean_before"))
 
 
-@query("stream_ewma_anomalies")
+@query("stream_ewma_anomalies", sql("uewh", "SELECT epoch_us(ts) AS ts_us, entity_id, metric, observed, expected, severity, confidence FROM uewh"))
 def stream_ewma_anomalies(spark, d):
     return shown(drain(SP.stream_ewma_anomalies(event_stream(spark, d))))
 

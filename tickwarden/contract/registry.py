@@ -115,6 +115,10 @@ FROM (SELECT ts, entity_id, metric, seq, count(*) AS votes,
       FROM (SELECT * FROM thr UNION ALL SELECT * FROM ewh) GROUP BY ts, entity_id, metric, seq)""",
 }
 
+# The same moving averages over the telemetry without the home nation in its names, as the streams have it.
+VIEWS["uew"] = VIEWS["ew"].replace("FROM tel)", "FROM utel)")
+VIEWS["uewh"] = VIEWS["ewh"].replace("FROM ew ", "FROM uew ")
+
 RANK = "CASE {0} WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END"
 
 
