@@ -20,14 +20,14 @@ from pyspark.sql import types as T
 from tickwarden.llm.words import END, fold, lower_words
 from tickwarden.session import cut
 
-WORDS = 96  # words of a class that the network tells apart
+WORDS = 64  # words of a class that the network tells apart
 CLASSES = 32  # such classes: the most frequent words, in order of frequency
 ENDINGS = 32  # classes of all other words, by their last three bytes; inside, shares of counts
-KNOWN = 1 << 17  # most frequent words whose counts every task holds; other words meet their counts in a join
+KNOWN = 1 << 17  # at most so many of the most frequent words have counts that every task holds; others meet theirs in a join
 STATE = 16  # units of the network, and numbers of an input vector
 WINDOW = 32  # steps through which training goes back
-TRAIN_LANES, SCORE_LANES = 128, 512  # documents read side by side
-BUFFER = 1 << 21  # tokens that are arranged in lanes at a time
+TRAIN_LANES, SCORE_LANES = 256, 512  # documents read side by side
+BUFFER = 1 << 22  # tokens that are arranged in lanes at a time
 ROUNDS = (1, 7)  # eighths of the training documents after which the tasks' networks are averaged
 RATE = 0.005
 FLUSH = 400_000  # different words that a task counts before it passes them on
@@ -93,7 +93,16 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    rows = counts.orderBy(F.col("c").desc(), "token").limit(KNOWN).collect()
+    """Words are known down to the least count level, of steps under five percent, at which there are at most KNOWN."""
+    level = F.floor(F.log2("c") * 16)
+    at, known, least = [], 0, None
+    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
+        if known + r["n"] > KNOWN:
+            break
+        known, least = known + r["n"], r["level"]
+    if least is not None:
+        at = counts.filter(level >= least).collect()
+    rows = sorted(at, key=lambda r: (-r["c"], bytes(r["token"])))
     words = {bytes(r["token"]): i for i, r in enumerate(rows)}
     c = np.array([r["c"] for r in rows], dtype=np.int64)
     ends = np.array([r["ending"] for r in rows], dtype=np.int64)
@@ -133,16 +142,28 @@ class Network:
         steps, lanes = x.shape
         a = (self.p["e"][x.ravel()] @ self.p["w"] + self.p["b"]).reshape(steps, lanes, 3 * STATE)
         u, out = self.p["u"], np.empty((steps, lanes, STATE), dtype=np.float32)
+        whole = keep.all(axis=1)
         for t in range(steps):
-            h = h * keep[t][:, None]
+            if not whole[t]:
+                h = h * keep[t][:, None]
             hu = h @ u
-            zr = 1 / (1 + np.exp(-(a[t, :, :2 * STATE] + hu[:, :2 * STATE])))
+            zr = a[t, :, :2 * STATE]
+            zr += hu[:, :2 * STATE]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
             z, r = zr[:, :STATE], zr[:, STATE:]
-            n = np.tanh(a[t, :, 2 * STATE:] + r * hu[:, 2 * STATE:])
+            n = a[t, :, 2 * STATE:]
+            n += r * hu[:, 2 * STATE:]
+            np.tanh(n, out=n)
             if trace is not None:
                 trace.append((h, hu[:, 2 * STATE:], z, r, n))
-            h = n + z * (h - n)
-            out[t] = h
+            after = out[t]
+            np.subtract(h, n, out=after)
+            after *= z
+            after += n
+            h = after
         return out, h
 
     def output(self, s: np.ndarray, y: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -196,17 +217,22 @@ class Network:
         da = np.empty((steps, lanes, 3 * STATE), dtype=np.float32)
         dhu = np.empty_like(da)
         dh = np.zeros((lanes, STATE), dtype=np.float32)
-        ut = self.p["u"].T
+        ut, whole = self.p["u"].T, keep.all(axis=1)
+        before, hn, z, r, n = (np.stack(part) for part in zip(*trace))
+        by_n, by_z, by_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), hn * r * (1 - r)
         for t in range(steps - 1, -1, -1):
-            h0, hn, z, r, n = trace[t]
             dh = dh + ds[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            da[t, :, :STATE] = dhu[t, :, :STATE] = dh * (h0 - n) * z * (1 - z)
-            da[t, :, STATE:2 * STATE] = dhu[t, :, STATE:2 * STATE] = dn * hn * r * (1 - r)
-            da[t, :, 2 * STATE:] = dn
-            dhu[t, :, 2 * STATE:] = dn * r
-            dh = (dh * z + dhu[t] @ ut) * keep[t][:, None]
-        before = np.stack([tr[0] for tr in trace]).reshape(-1, STATE)
+            dn = da[t, :, 2 * STATE:]
+            np.multiply(dh, by_n[t], out=dn)
+            np.multiply(dh, by_z[t], out=dhu[t, :, :STATE])
+            np.multiply(dn, by_r[t], out=dhu[t, :, STATE:2 * STATE])
+            np.multiply(dn, r[t], out=dhu[t, :, 2 * STATE:])
+            dh = dh * z[t]
+            dh += dhu[t] @ ut
+            if not whole[t]:
+                dh *= keep[t][:, None]
+        da[:, :, :2 * STATE] = dhu[:, :, :2 * STATE]
+        before = before.reshape(-1, STATE)
         grad["u"] = before.T @ dhu.reshape(-1, 3 * STATE)
         flat = da.reshape(-1, 3 * STATE)
         ids = x.ravel()
@@ -295,7 +321,8 @@ class Trainer:
                 m += 0.1 * (g - m)
                 s += 0.001 * (g * g - s)
                 p -= rate * m / (np.sqrt(s / (1 - 0.999**self.t)) + 1e-8)
-                self.mean[k] += max(0.01, 1 / (self.t + 1)) * (p - self.mean[k])
+                if self.t % 4 == 0:
+                    self.mean[k] += max(0.04, 4 / (self.t + 4)) * (p - self.mean[k])
 
 
 def log_likelihoods(net: Network, documents: list[np.ndarray]) -> np.ndarray:
@@ -318,6 +345,16 @@ class Reader:
         self.base = np.log10(v.counts + 0.5)
         self.tail = np.where(np.arange(len(v.counts)) < v.own, 0.0, v.share_in_ending()) if len(v.counts) else np.zeros(0)
 
+    def numbers_of(self, text: str | None) -> np.ndarray:
+        """Input numbers of the text's tokens."""
+        words = lower_words(text)
+        words.append(END)
+        at = np.fromiter(map(self.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        rest = np.flatnonzero(at < 0).tolist()
+        out = self.numbers[at] if len(self.numbers) else np.empty(len(words), dtype=np.int32)
+        out[rest] = [CLASSES * WORDS + ending(words[i]) for i in rest]
+        return out
+
     def read(self, text: str | None) -> tuple[np.ndarray, int, float, float, Counter]:
         """(numbers, known tokens, sum of log10(c + 0.5), sum of ln shares in endings) and the words left to the join."""
         words = lower_words(text)
@@ -354,7 +391,7 @@ def train(docs: DataFrame, key: str, text: str, v: Vocabulary) -> dict[str, np.n
             for batch in batches:
                 for at in range(0, batch.num_rows, 64):
                     for t in batch.column(0).slice(at, 64).to_pylist():
-                        waiting.append(reader.read(t)[0])
+                        waiting.append(reader.numbers_of(t))
                         size += len(waiting[-1])
                         if size >= BUFFER:
                             trainer.read(waiting)
