@@ -35,11 +35,14 @@ def test_rate_limit_ignores_rejected(spark, tmp_path):
 def test_lifecycle_changes(spark, tmp_path):
     rows = [(minute(c), c, "A", "m", s, f) for c, s, f in [(1, "high", 0.70), (2, "high", 0.73), (3, "high", 0.82), (6, "high", 0.82)]]
     start = int(minute(0).timestamp() // 60)
+    # A weaker row of a cycle changes nothing, and a much later one of another key lets the watermark pass.
+    rows += [(minute(2), 2, "A", "m", "low", 0.99), (minute(60), 60, "B", "m", "low", 0.5)]
     rows = [(t, start + c, e, m, s, f) for t, c, e, m, s, f in rows]
     stream = feed(spark, rows, "ts timestamp, cycle bigint, entity_id string, metric string, severity string, confidence double", str(tmp_path / "in"))
     out = drain(SP.stream_lifecycle(stream), str(tmp_path / "w"))
     seen = {(r["cycle"] - start, r["change"]) for r in out.collect()}
     assert {(1, "new"), (2, "unchanged"), (3, "changed"), (4, "resolved"), (6, "new")} <= seen
+    assert seen == {(1, "new"), (2, "unchanged"), (3, "changed"), (4, "resolved"), (6, "new"), (7, "resolved")}
 
 
 def test_observer_stream_and_failing_sink(spark, tmp_path):
