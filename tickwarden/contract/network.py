@@ -164,11 +164,11 @@ SELECT tp, fp, fn, tn, round(p, 4) AS precision, round(r, 4) AS recall, round(CA
 )
 DELAY = """
 SELECT s.scenario_id, s.scenario_type, min(a.ts) IS NOT NULL AS detected, round((epoch_us(min(a.ts)) - epoch_us(any_value(s.start_time))) / 1e6, 1) AS mttd_seconds
-FROM scen s LEFT JOIN (SELECT DISTINCT ts FROM thr WHERE metric <> 'packet_loss_pct') a ON a.ts >= s.start_time AND a.ts <= s.end_time GROUP BY 1, 2"""
+FROM scen s LEFT JOIN (SELECT DISTINCT ts FROM thr) a ON a.ts >= s.start_time AND a.ts <= s.end_time GROUP BY 1, 2"""
 
 
 def delays(spark, d):
-    return EV.time_to_detect(threshold_rows(spark, d).where("metric <> 'packet_loss_pct'"), T.scenarios(spark, d))
+    return EV.time_to_detect(threshold_rows(spark, d), T.scenarios(spark, d))
 
 
 query("time_to_detect", sql("scen thr", DELAY))(delays)
