@@ -9,7 +9,6 @@ from tests.conftest import START, minute
 from tickwarden.functions import text as TX
 from tickwarden.operators import datasets as DS
 from tickwarden.operators import evaluation as EV
-from tickwarden.operators import incidents as IN
 from tickwarden.operators import quality as Q
 from tickwarden.operators import reshape as R
 from tickwarden.operators import retrieval as RG
@@ -153,20 +152,6 @@ def test_schedule_keeps_its_distance(spark, links, nodes):
     assert len({r["scenario_type"] for r in rows}) == 5
 
 
-def test_incident_records(spark):
-    rows = IN.incidents(spark.range(3000)).cache()
-    share = rows.agg(F.avg(F.col("compound").cast("int")), F.avg(F.col("partial_observability").cast("int")), F.countDistinct("primary")).first()
-    assert 0.07 < share[0] < 0.13 and 0.12 < share[1] < 0.20 and share[2] == 15
-    for r in rows.where("NOT compound AND NOT partial_observability").limit(300).collect():
-        for name, lo, hi in IN.templates()[r["primary"]]["ranges"]:
-            assert lo - 1e-4 <= r["metrics"][name] <= hi + 1e-4
-    hidden = rows.where("partial_observability").collect()
-    assert all(r["missing_metrics"] and not set(r["missing_metrics"]) & set(r["metrics"]) and "latency_ms" in r["metrics"] for r in hidden)
-    assert IN.incidents(spark.range(3000).repartition(5)).select("id", "outcome").exceptAll(rows.select("id", "outcome")).count() == 0
-    chat = IN.incident_conversations(rows).first()
-    assert [m["role"] for m in chat["messages"]] == ["system", "user", "assistant"]
-
-
 def test_conversations_round_trip(spark, tmp_path):
     rows = spark.createDataFrame(
         [("ddos_surge", "rate_limit", "effective", "CR1_cpu", "busy", 0.5, {f"m{i:02d}": float(i) for i in range(20)}), ("x", "", "effective", "r", "d", 0.1, {})],

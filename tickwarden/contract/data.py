@@ -14,7 +14,6 @@ from tickwarden.functions import text as TX
 from tickwarden.functions.severity import clamp, node_status
 from tickwarden.operators import datasets as DS
 from tickwarden.operators import detect as D
-from tickwarden.operators import incidents as IN
 from tickwarden.operators import quality as Q
 from tickwarden.operators import reshape as R
 from tickwarden.operators import retrieval as RG
@@ -398,24 +397,6 @@ def fault_overlay(spark, d):
     return DS.overlay(rows, T.scenarios(spark, d), T.links(spark, d))
 
 
-@query("incident_records")
-def incident_records(spark, d):
-    """One incident record per error event, drawn from its id."""
-    ids = T.table(spark, d, "events").where("event_type = 'error'").select(F.col("event_id").alias("id"))
-    return IN.incidents(ids).withColumn("metrics", F.to_json("metrics")).withColumn("missing_metrics", F.array_join("missing_metrics", ","))
-
-
-@query("incident_conversations")
-def incident_conversations(spark, d):
-    ids = T.table(spark, d, "events").where("event_type = 'error'").select(F.col("event_id").alias("id"))
-    return IN.incident_conversations(IN.incidents(ids)).select("id", F.to_json("messages").alias("messages"), F.to_json("metadata").alias("metadata"))
-
-
-@query("incident_distribution")
-def incident_distribution(spark, d):
-    return IN.distribution(IN.incidents(T.table(spark, d, "events").select(F.col("event_id").alias("id"))))
-
-
 @query("evaluation_report")
 def evaluation_report(spark, d):
     """Train on the first 20 days, observe the rest, score against the scenarios of that time."""
