@@ -198,6 +198,7 @@ def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 PRINTS = 4  # fingerprints a text, each searched by itself
 WIDE = 4  # bits in which two of them may differ
+CROWD = 32  # members of a key in that search up to which they are compared with each other
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -205,7 +206,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
 
     Texts with the same shingles count as one. Others are candidates if one of their PRINTS fingerprints differs in at
     most WIDE bits, found by the same chains of segments; each candidate's shingles are then compared in full. Texts with
-    an equal fingerprint, and those in a key with more than PAIRED, meet the smallest of them instead of one another, so
+    an equal fingerprint, and those in a key with more than CROWD, meet the smallest of them instead of one another, so
     that a crowd costs in proportion to its size; they have PRINTS chances to do so.
 
     Texts of fewer words than a shingle are one shingle; null texts and texts without words are alike. component_id is the
@@ -222,8 +223,8 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     filed = least.select("nth", fp, F.inline(filings(fp, WIDE))).repartition("nth", "key")
     live = filed.groupBy("nth", "key").agg(F.count("*").alias("n"), F.min("probe").alias("p"), F.min(F.when(F.col("probe") == 0, fp)).alias("low"))
     members = cut(filed.join(live.filter("n > 1 and p = 0").drop("p"), ["nth", "key"]))
-    near = close_pairs(members.filter(F.col("n") <= PAIRED), WIDE, "nth").union(
-        members.filter((F.col("n") > PAIRED) & (fp != F.col("low"))).select("nth", F.col("low").alias("a"), F.col("print").alias("b"))).distinct()
+    near = close_pairs(members.filter(F.col("n") <= CROWD), WIDE, "nth").union(
+        members.filter((F.col("n") > CROWD) & (fp != F.col("low"))).select("nth", F.col("low").alias("a"), F.col("print").alias("b"))).distinct()
     place = lambda side: least.select("nth", F.col("print").alias(side), F.col("first").alias("set_" + side))
     across = near.join(place("a"), ["nth", "a"]).join(place("b"), ["nth", "b"]).select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
     pairs = cut(equal.union(across).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
