@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,65 +30,69 @@ def tokens(text: str | None) -> list[str]:
 
 
 class Counts:
-    """In how many texts of one class each word and each pair (left word, word) stands."""
-
-    def __init__(self, texts: list[list[str]]) -> None:
-        self.words: Counter = Counter()
-        self.pairs: Counter = Counter()
-        for words in texts:
-            self.words.update(set(words))
-            self.pairs.update(set(zip(["", *words], words)))
-        self.left: Counter = Counter()
-        for (h, _), n in self.pairs.items():
-            self.left[h] += n
-        self.all = max(1, sum(self.words.values()))
-
-
-def differ(a: int, all_a: int, b: int, all_b: int) -> bool:
-    """Whether counts a of all_a and b of all_b surely have different shares, by the likelihood ratio."""
-    share = (a + b) / (all_a + all_b)
-    return 2 * sum(n * math.log(n / (share * whole)) for n, whole in ((a, all_a), (b, all_b)) if n) > SURE
+    """In how many texts of one class each word and each pair (left word, word) stands. Words are numbers below `width`."""
+
+    def __init__(self, texts: list[np.ndarray], width: int) -> None:
+        none = [np.zeros(0, dtype=np.int64)]
+        self.words = np.bincount(np.concatenate([*map(np.unique, texts), *none]), minlength=width)
+        pairs = np.concatenate([*(np.unique(np.r_[0, t[:-1]] * width + t) for t in texts if len(t)), *none])
+        self.pairs, self.times = np.unique(pairs, return_counts=True)
+        self.left = np.bincount(self.pairs // width, weights=self.times, minlength=width)
+        self.all = max(1, int(self.words.sum()))
 
+    def times_of(self, pairs: np.ndarray) -> np.ndarray:
+        if not len(self.pairs):
+            return np.zeros(len(pairs))
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pairs, self.times[at], 0).astype(float)
 
-def shares(a: int, all_a: int, b: int, all_b: int, lower_a: float, lower_b: float, backoff: float) -> tuple[float, float]:
-    """Discounted shares of both classes, each filled up with its lower order at one shared backoff weight."""
-    return (max(a - DISCOUNT, 0.0) / all_a + backoff * lower_a, max(b - DISCOUNT, 0.0) / all_b + backoff * lower_b)
+
+def differ(a: np.ndarray, all_a: np.ndarray, b: np.ndarray, all_b: np.ndarray) -> np.ndarray:
+    """Where counts a of all_a and b of all_b surely have different shares, by the likelihood ratio."""
+    share = (a + b) / (all_a + all_b)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        parts = [np.where(n > 0, n * np.log(n / (share * whole)), 0.0) for n, whole in ((a, all_a), (b, all_b))]
+    return 2 * (parts[0] + parts[1]) > SURE
 
 
 class Model:
     """ln(toxic / ordinary) of words and pairs as sorted arrays, and a logistic curve over the normalised sum.
 
-    Pairs back off to words, words to the shared number of different pairs that they end. Where the classes do not surely differ in
-    an expression, both take the shared count for it, so it says nothing; a rare one says only what its parts say.
+    Pairs back off to words, words to the shared number of different pairs that they end. Where the classes do not surely
+    differ in an expression, both take the shared count for it, so it says nothing; a rare one says only what its parts
+    say.
     """
 
     def __init__(self, toxic: list[list[str]], ordinary: list[list[str]]) -> None:
-        t, o = Counts(toxic), Counts(ordinary)
-        both = Counter(w for _, w in t.pairs.keys() | o.pairs.keys())
-        places = max(1, sum(both.values()))
-        backoff = DISCOUNT * len(both) / places
-        lower: dict[str, tuple[float, float]] = {}
-        for w, n in both.items():
-            if differ(t.words[w], t.all, o.words[w], o.all):
-                shared = max(n - DISCOUNT, 0.0) / places + backoff / (len(both) + 1)
-                lower[w] = shares(t.words[w], t.all, o.words[w], o.all, shared, shared, backoff)
-        pair: dict[tuple[str, str], float] = {}
-        for h, w in t.pairs.keys() | o.pairs.keys():
-            a, b, all_a, all_b = t.pairs[h, w], o.pairs[h, w], t.left[h], o.left[h]
-            if a + b > SURE / 8 and all_a and all_b and differ(a, all_a, b, all_b):
-                shared = max(both[w] - DISCOUNT, 0.0) / places + backoff / (len(both) + 1)
-                x, y = shares(a, all_a, b, all_b, *lower.get(w, (shared, shared)), backoff)
-                pair[h, w] = math.log(x / y)
-        used = sorted({w for w in lower} | {w for p in pair for w in p if w})
-        self.ids = {w: i + 2 for i, w in enumerate(used)}
+        number: dict[str, int] = {"": 0}
+        told = [[np.array([number.setdefault(w, len(number)) for w in text], dtype=np.int64) for text in texts] for texts in (toxic, ordinary)]
+        width, names = len(number), list(number)
+        t, o = (Counts(texts, width) for texts in told)
+        pairs = np.union1d(t.pairs, o.pairs)
+        ends = np.bincount(pairs % width, minlength=width)
+        places, kinds = max(1, len(pairs)), int((ends > 0).sum())
+        backoff = DISCOUNT * kinds / places
+        shared = np.maximum(ends - DISCOUNT, 0) / places + backoff / (kinds + 1)
+        sure = (ends > 0) & differ(t.words, t.all, o.words, o.all)
+        low_t, low_o = (np.where(sure, np.maximum(c.words - DISCOUNT, 0) / c.all + backoff * shared, shared) for c in (t, o))
+        a, b, h, w = t.times_of(pairs), o.times_of(pairs), pairs // width, pairs % width
+        often = (a + b > SURE / 8) & (t.left[h] > 0) & (o.left[h] > 0)
+        a, b, h, w = a[often], b[often], h[often], w[often]
+        kept = differ(a, t.left[h], b, o.left[h])
+        a, b, h, w = a[kept], b[kept], h[kept], w[kept]
+        pair = np.log((np.maximum(a - DISCOUNT, 0) / t.left[h] + backoff * low_t[w]) / (np.maximum(b - DISCOUNT, 0) / o.left[h] + backoff * low_o[w]))
+
+        used = np.unique(np.concatenate([np.flatnonzero(sure), h[h > 0], w])).tolist()
+        self.ids = {names[i]: n + 2 for n, i in enumerate(used)}
         self.width = len(used) + 2
         self.word = np.zeros(self.width, dtype=np.float32)
-        for w, (x, y) in lower.items():
-            self.word[self.ids[w]] = math.log(x / y)
-        name = {**self.ids, "": START}
-        keys = sorted((name[h] * self.width + name[w], v) for (h, w), v in pair.items())
-        self.pairs = np.array([k for k, _ in keys], dtype=np.int64)
-        self.pair = np.array([v for _, v in keys], dtype=np.float32)
+        self.word[2:] = np.log(low_t[used] / low_o[used])
+        place = np.zeros(width, dtype=np.int64)
+        place[used] = np.arange(2, self.width)
+        place[0] = START
+        keys = place[h] * self.width + place[w]
+        order = np.argsort(keys)
+        self.pairs, self.pair = keys[order], pair[order].astype(np.float32)
         self.curve = np.zeros(3)
 
     def measure(self, texts: list[list[str]]) -> np.ndarray:
