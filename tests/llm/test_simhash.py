@@ -132,3 +132,19 @@ def test_similar_texts_are_found_and_others_left_alone(spark):
     assert all(got[5000 + i] == 5000 for i in range(400))
     assert [got[i] for i in range(9000, 9005)] == [9000, 9000, 9002, 9002, 9004]
     assert simhash.similar(df.limit(0)).count() == 0
+
+
+def test_similar_finds_appended_and_cut_passages(spark):
+    rnd = random.Random(9)
+    vocabulary = [f"word{i}" for i in range(6000)]
+    rows, wanted = [], {"0.80": [], "0.85": [], "0.90": []}
+    for i in range(240):
+        w = [rnd.choice(vocabulary) for _ in range(rnd.choice([80, 300, 1200]))]
+        band = ["0.80", "0.85", "0.90"][i % 3]
+        n = int(len(w) * (1 / (float(band) + 0.02) - 1))
+        passage = [f"more{i}x{j}" for j in range(n)]
+        other = [w + passage, passage + w, w[:len(w) - int(len(w) * (0.98 - float(band)))]][i // 3 % 3]
+        rows += [(i, " ".join(w), "x", 1), (1000 + i, " ".join(other), "x", 1)]
+        wanted[band].append(i)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {band: sum(got[1000 + i] == i for i in ids) for band, ids in wanted.items()} == {band: 80 for band in wanted}

@@ -163,79 +163,54 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
 
 
 def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, set_id, prints, shingles): of each text the set of its shingles and PRINTS fingerprints over its words.
+    """(key, set_id, bands, further, shingles): of each text the set of its shingles and keys of its MinHash bands.
 
-    shingles: 32-bit hashes of the different shingles, in order; set_id: their XXH64. A fingerprint has the majority bits
-    over the hashes of the different words, so that one changed word moves it less than all the shingles it stands in.
+    shingles: 32-bit hashes of the different shingles, in order; set_id: their XXH64. bands and further are BANDS keys
+    each, of disjoint groups of BAND minima; a text without words has none.
     """
     schema = T.StructType([
-        T.StructField("key", docs.schema[key].dataType), T.StructField("set_id", T.LongType()),
-        T.StructField("prints", T.ArrayType(T.LongType())), T.StructField("shingles", T.ArrayType(T.IntegerType())),
+        T.StructField("key", docs.schema[key].dataType), T.StructField("set_id", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())),
+        T.StructField("further", T.ArrayType(T.LongType())), T.StructField("shingles", T.ArrayType(T.IntegerType())),
     ])
+    count = 2 * BANDS * BAND
 
-    def sketch(t: str | None) -> tuple[int, np.ndarray, np.ndarray]:
+    def sketch(t: str | None, factors: np.ndarray, shifts: np.ndarray) -> tuple[int, list[int], np.ndarray]:
         w = lower_words(t)
         joined = set(map(b" ".join, zip(*[w[i:] for i in range(width)]))) if len(w) >= width else {b" ".join(w)} if w else set()
         hashes = np.unique(np.fromiter((xxhash.xxh32_intdigest(s) for s in joined), dtype="<u4", count=len(joined)))
-        words = sorted(set(w))
-        bits = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x, n) for x in words for n in range(PRINTS // 2)), dtype=np.uint8).reshape(len(words), 8 * PRINTS)
-        ones = np.zeros(64 * PRINTS, dtype=np.int64)
-        for at in range(0, len(words), BLOCK // PRINTS):
-            ones += np.unpackbits(bits[at:at + BLOCK // PRINTS], axis=1).sum(axis=0, dtype=np.int64)
-        prints = np.packbits(2 * ones > len(words)).view("<i8")
-        return xxhash.xxh64_intdigest(hashes.tobytes(), SEED), prints, hashes.view("<i4")
+        least = np.full(count, 2**64 - 1, dtype="<u8")
+        for at in range(0, len(hashes), BLOCK // count):
+            part = hashes[at:at + BLOCK // count].astype("<u8")
+            np.minimum(least, (factors * part + shifts).min(axis=1), out=least)
+        bands = (least >> np.uint64(32)).astype("<u4").reshape(2 * BANDS, BAND)
+        keys = [xxhash.xxh64_intdigest(b.tobytes(), n) for n, b in enumerate(bands)] if len(hashes) else []
+        return xxhash.xxh64_intdigest(hashes.tobytes(), SEED), keys, hashes.view("<i4")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn = np.random.default_rng(SEED).integers(0, 2**64, (2, count, 1), dtype="<u8")
+        factors, shifts = drawn[0] | np.uint64(1), drawn[1]
+        longs = lambda lists: pa.array([np.array(x, dtype="u8").view("i8") for x in lists], pa.list_(pa.int64()))
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
-                found = [sketch(t) for t in batch.column(1).slice(at, ROWS).to_pylist()]
+                found = [sketch(t, factors, shifts) for t in batch.column(1).slice(at, ROWS).to_pylist()]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(at, ROWS), pa.array(np.array([f[0] for f in found], dtype="u8").view("i8")),
-                    pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.int32()))], names=schema.names)
+                    longs(f[1][:BANDS] for f in found), longs(f[1][BANDS:] for f in found), pa.array([f[2] for f in found], pa.list_(pa.int32()))], names=schema.names)
 
     return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(work, schema)
 
 
-PRINTS = 4  # fingerprints a text, each searched by itself
-WIDE = 4  # bits in which two of them may differ
-CROWD = 32  # members of a key in that search up to which they are compared with each other
+BAND, BANDS = 5, 24  # minima a key, keys a text: two of similarity 0.8 share a key but for (1 - 0.8^5)^24 = 0.00007 of them
 
 
-def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(key, component_id) for every row: texts linked where the Jaccard similarity of their shingles is large enough.
+def shared(filed: DataFrame) -> DataFrame:
+    """Rows of keys that more than one set has."""
+    return filed.join(filed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key")
 
-    Texts with the same shingles count as one. Others are candidates if one of their PRINTS fingerprints differs in at
-    most WIDE bits, found by the same chains of segments; each candidate's shingles are then compared in full. Texts with
-    an equal fingerprint, and those in a key with more than CROWD, meet the smallest of them instead of one another, so
-    that a crowd costs in proportion to its size; they have PRINTS chances to do so.
 
-    Texts of fewer words than a shingle are one shingle; null texts and texts without words are alike. component_id is the
-    smallest key of the component; null keys come first where keys are structs and take no part otherwise. Repeated rows
-    are kept. No rows give no rows.
-    """
-    rows = cut(sketches(docs, key, text, width))
-    sets = cut(rows.groupBy("set_id").agg(F.min("key").alias("least"), F.first("prints").alias("prints")))
-    printed = sets.select("set_id", F.posexplode("prints").alias("nth", "print"))
-    least = cut(printed.groupBy("nth", "print").agg(F.min("set_id").alias("first")))
-    equal = printed.join(least, ["nth", "print"]).filter("set_id <> first").select(F.col("first").alias("a"), F.col("set_id").alias("b"))
-
-    fp = F.col("print")
-    filed = least.select("nth", fp, F.inline(filings(fp, WIDE))).repartition("nth", "key")
-    live = filed.groupBy("nth", "key").agg(F.count("*").alias("n"), F.min("probe").alias("p"), F.min(F.when(F.col("probe") == 0, fp)).alias("low"))
-    members = cut(filed.join(live.filter("n > 1 and p = 0").drop("p"), ["nth", "key"]))
-    near = close_pairs(members.filter(F.col("n") <= CROWD), WIDE, "nth").union(
-        members.filter((F.col("n") > CROWD) & (fp != F.col("low"))).select("nth", F.col("low").alias("a"), F.col("print").alias("b"))).distinct()
-    place = lambda side: least.select("nth", F.col("print").alias(side), F.col("first").alias("set_" + side))
-    across = near.join(place("a"), ["nth", "a"]).join(place("b"), ["nth", "b"]).select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
-    pairs = cut(equal.union(across).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    # One row of each set: the one with the set's smallest key.
-    chosen = asked.join(sets.select("set_id", F.col("least").alias("chosen")), "set_id")
-    held = rows.join(chosen, "set_id").filter(F.col("key").eqNullSafe(F.col("chosen"))).groupBy("set_id").agg(F.first("shingles").alias("shingles"))
-    held = cut(held)
+def similar_pairs(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """The (a, b) whose shingles, compared in full, are similar enough."""
     side = lambda name: held.select(F.col("set_id").alias(name), F.col("shingles").alias("s" + name))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,8 +221,36 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
                 keep.append(common >= similarity * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    verified = both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
-    roots = cut(components(verified))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+
+
+def _pairs(x: DataFrame, y: DataFrame, others: Column, similarity: float) -> DataFrame:
+    """(a, b), a < b: members of one key of which neither has too few shingles for the similarity."""
+    near = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size")
+    met = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & others & near)
+    return met.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"))
+
+
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(key, component_id) for every row: texts linked where the Jaccard similarity of their shingles is large enough.
+
+    Texts with the same shingles count as one. Others are candidates if they share one of their BANDS keys; each
+    candidate's shingles are then compared in full.
+
+    Texts of fewer words than a shingle are one shingle; null texts and texts without words are alike. component_id is the
+    smallest key of the component; null keys come first where keys are structs and take no part otherwise. Repeated rows
+    are kept. No rows give no rows.
+    """
+    rows = cut(sketches(docs, key, text, width))
+    sets = cut(rows.groupBy("set_id").agg(F.min("key").alias("least"), F.first("bands").alias("bands"), F.first("further").alias("further"), F.first(F.size("shingles")).alias("size")))
+    members = cut(shared(sets.select("set_id", "size", F.explode("bands").alias("key"))))
+    # One row of each set: the one with the set's smallest key.
+    chosen = members.select("set_id").distinct().join(sets.select("set_id", F.col("least").alias("chosen")), "set_id")
+    held = rows.join(chosen, "set_id").filter(F.col("key").eqNullSafe(F.col("chosen"))).groupBy("set_id").agg(F.first("shingles").alias("shingles"))
+    held = cut(held)
+
+    pairs = cut(_pairs(members, members, F.col("x.set_id") < F.col("y.set_id"), similarity).distinct())
+    roots = cut(components(similar_pairs(pairs, held, similarity)))
     linked = roots.join(sets.select("set_id", "least"), roots["node"] == F.col("set_id"))
     lowest = linked.groupBy("root").agg(F.min("least").alias("low"))
     classes = sets.select("set_id", "least").join(linked.join(lowest, "root").select("set_id", "low"), "set_id", "left").select(
