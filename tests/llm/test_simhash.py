@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -148,3 +149,31 @@ def test_similar_finds_appended_and_cut_passages(spark):
         wanted[band].append(i)
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert {band: sum(got[1000 + i] == i for i in ids) for band, ids in wanted.items()} == {band: 80 for band in wanted}
+
+
+def test_similar_tells_copies_of_one_word_set_apart(spark):
+    rnd = random.Random(10)
+    vocabulary = [f"word{i}" for i in range(300)]
+    rows = []
+    for i in range(120):
+        w = rnd.sample(vocabulary, 300)
+        rows += [(i, " ".join(w), "x", 1), (1000 + i, " ".join(w[:-2] + w[:-3:-1]), "x", 1)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i] == got[1000 + i] == i for i in range(120))
+
+
+@pytest.mark.parametrize("crowd", [simhash.CROWD, 1])
+def test_similar_finds_families_that_share_a_crowd(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rnd = random.Random(11)
+    passage = [f"word{i}" for i in range(200)]
+    rows = []
+    for family in range(12):
+        own = [f"own{family}x{i}" for i in range(60)]
+        for copy in range(150):
+            w = passage + own
+            for _ in range(rnd.randrange(4)):
+                w[rnd.randrange(len(w))] = f"x{family}x{copy}"
+            rows.append((1000 * family + copy, " ".join(w), "x", 1))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(c == i // 1000 * 1000 for i, c in got.items())
