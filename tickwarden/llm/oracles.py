@@ -89,3 +89,29 @@ f AS (SELECT s FROM e WHERE turn = (SELECT max(turn) FROM e)),
 q AS (SELECT p.*, round(1 / (1 + exp(-{_LOGIT})), 6) AS quality, p.n_words < 10 OR 100 * p.n_repeat_words > 20 * p.n_words AS base_failed FROM v p, f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND quality >= 0.5 AS kept, quality FROM q
 """
+
+_GAP = "(list_dot_product(x, x) - 2 * list_dot_product(x, e) + list_dot_product(e, e))::BIGINT"
+
+
+def _code_round(n: int) -> str:
+    """Nearest entries by the codebooks b{n - 1}, then the codebooks b{n} that follow from them."""
+    return f"""
+a{n} AS (SELECT rid, part, min({_GAP} * 64 + entry) % 64 AS entry, any_value(x) AS x FROM p JOIN b{n - 1} USING (part) GROUP BY rid, part),
+s{n} AS (SELECT part, entry, j, sum(c)::BIGINT AS s, count(*) AS n
+        FROM (SELECT part, entry, unnest(x)::BIGINT AS c, unnest(range(len(x))) AS j FROM a{n}) GROUP BY part, entry, j),
+m{n} AS (SELECT part, entry, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY j) AS e FROM s{n} GROUP BY part, entry),
+b{n} AS (SELECT part, entry, coalesce(m.e, o.e) AS e FROM b{n - 1} o LEFT JOIN m{n} m USING (part, entry)),"""
+
+
+CODES = f"""
+WITH k AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, [floor(256 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT rid, part, v[part * len(v) // 16 + 1:(part + 1) * len(v) // 16] AS x FROM k, range(16) t(part)),
+f AS (SELECT min(rid) AS rid, row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS entry FROM k GROUP BY vec_id),
+b0 AS (SELECT part, entry, x AS e FROM f JOIN p USING (rid) WHERE entry < 64),{_code_round(1)}{_code_round(2)}
+z AS (SELECT rid, part, min({_GAP} * 64 + entry) AS best FROM p JOIN b2 USING (part) GROUP BY rid, part),
+c AS (SELECT rid, string_agg(printf('%02x', (best % 64)::INT), '' ORDER BY part) AS code, sum(best // 64)::BIGINT AS error FROM z GROUP BY rid),
+h AS (SELECT sha256(string_agg(array_to_string([i::BIGINT for i in e], ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM c JOIN k USING (rid), h
+"""

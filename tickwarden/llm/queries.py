@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwarden.llm import html, langid, lm, mixing, oracles, packing, quality, simhash, topk, toxicity, urls
+from tickwarden.llm import codes, html, langid, lm, mixing, oracles, packing, quality, simhash, topk, toxicity, urls
 from tickwarden.llm.words import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,8 @@ PLACE_RULES = [
 @query("op10_url_filters", oracles.URLS)
 def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), PLACE_RULES + urls.UNWANTED_RULES)
+
+
+@query("op11_vector_codes", oracles.CODES)
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encode(table(spark, sf_dir, "embeddings"))
