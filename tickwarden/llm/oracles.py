@@ -115,3 +115,17 @@ c AS (SELECT rid, string_agg(printf('%02x', (best % 64)::INT), '' ORDER BY part)
 h AS (SELECT sha256(string_agg(array_to_string([i::BIGINT for i in e], ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
 SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM c JOIN k USING (rid), h
 """
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+JACCARD = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT rid, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                                  ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)] END) AS gram FROM d),
+n AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+e AS (SELECT c.a, c.b FROM (SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM g x JOIN g y ON x.gram = y.gram AND x.rid <> y.rid GROUP BY x.rid, y.rid) c
+      JOIN n na ON na.rid = c.a JOIN n nb ON nb.rid = c.b WHERE 100 * c.c >= 90 * (na.n + nb.n - c.c)),
+r AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT r.a, min(o.doc_id) AS component_id FROM r JOIN d o ON o.rid = r.b GROUP BY r.a)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id FROM d JOIN m ON m.a = d.rid LEFT JOIN n ON n.rid = d.rid
+"""
