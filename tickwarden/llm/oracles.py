@@ -129,3 +129,22 @@ r AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.
 m AS (SELECT r.a, min(o.doc_id) AS component_id FROM r JOIN d o ON o.rid = r.b GROUP BY r.a)
 SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id FROM d JOIN m ON m.a = d.rid LEFT JOIN n ON n.rid = d.rid
 """
+
+PHRASES = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, size, unnest([array_to_string(w[i:i + size - 1], ' ') for i in range(1, len(w) - size + 2)]) AS phrase
+      FROM w, range(1, 6) s(size) WHERE len(w) >= size),
+c AS (SELECT lang, size, phrase, count(*) AS a FROM g GROUP BY lang, size, phrase HAVING count(*) >= 100),
+p AS (SELECT DISTINCT x.lang, x.phrase FROM c y,
+        LATERAL (SELECT y.lang AS lang, unnest([y.phrase[strpos(y.phrase, ' ') + 1:], array_to_string(string_split(y.phrase, ' ')[:y.size - 1], ' ')]) AS phrase) i
+        JOIN c x ON x.lang = i.lang AND x.phrase = i.phrase WHERE y.size > 2 AND x.a = y.a),
+k AS (SELECT c.*, unnest(range(1, size)) AS k FROM c ANTI JOIN p USING (lang, phrase) WHERE size > 1),
+s AS (SELECT k.lang, k.phrase, k.a, k.k, x.a AS l, y.a AS r, n, ((1000::HUGEINT * k.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+      FROM k JOIN t USING (lang) JOIN c x ON x.lang = k.lang AND x.phrase = array_to_string(string_split(k.phrase, ' ')[:k.k], ' ')
+      JOIN c y ON y.lang = k.lang AND y.phrase = array_to_string(string_split(k.phrase, ' ')[k.k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwarden.llm import codes, html, jaccard, langid, lm, mixing, oracles, packing, quality, simhash, topk, toxicity, urls
+from tickwarden.llm import codes, html, jaccard, langid, lm, mixing, oracles, packing, phrases, quality, simhash, topk, toxicity, urls
 from tickwarden.llm.words import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,11 @@ def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.encode(table(spark, sf_dir, "embeddings"))
 
 
+@query("op12_phrase_mining", oracles.PHRASES)
+def phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 @query("op13_jaccard_join", oracles.JACCARD)
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
