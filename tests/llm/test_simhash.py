@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tickwarden.llm import graph, simhash
+from tickwarden.llm import graph, linking, simhash
 
 SCHEMA = "doc_id long, text string, print string, key int"
 
@@ -162,9 +162,9 @@ def test_similar_tells_copies_of_one_word_set_apart(spark):
     assert all(got[i] == got[1000 + i] == i for i in range(120))
 
 
-@pytest.mark.parametrize("crowd", [simhash.CROWD, 1])
-def test_similar_finds_families_that_share_a_crowd(spark, monkeypatch, crowd):
-    monkeypatch.setattr(simhash, "CROWD", crowd)
+@pytest.mark.parametrize("block", [linking.BLOCK, 40])
+def test_similar_finds_families_that_share_a_crowd(spark, monkeypatch, block):
+    monkeypatch.setattr(linking, "BLOCK", block)
     rnd = random.Random(11)
     passage = [f"word{i}" for i in range(200)]
     rows = []

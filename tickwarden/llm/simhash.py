@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickwarden.llm.graph import components
+from tickwarden.llm.linking import connect, parity
 from tickwarden.llm.words import lower_words
 from tickwarden.session import cut
 
@@ -163,18 +164,18 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
 
 
 def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, set_id, bands, shingles): of each text the set of its shingles and keys of its MinHash bands.
+    """(key, set_id, bands, bits, shingles): of each text the set of its shingles and keys of its MinHash bands.
 
-    shingles: 32-bit hashes of the different shingles, in order; set_id: their XXH64. bands are BANDS
-    keys of disjoint groups of BAND minima; a text without words has none.
+    shingles: 32-bit hashes of the different shingles, in order; set_id: their XXH64; bits: their parity bitmap. bands are
+    BANDS keys of disjoint groups of BAND minima; a text without words has none.
     """
     schema = T.StructType([
         T.StructField("key", docs.schema[key].dataType), T.StructField("set_id", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())),
-        T.StructField("shingles", T.ArrayType(T.IntegerType())),
+        T.StructField("bits", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.IntegerType())),
     ])
     count = BANDS * BAND
 
-    def sketch(t: str | None, factors: np.ndarray, shifts: np.ndarray) -> tuple[int, list[int], np.ndarray]:
+    def sketch(t: str | None, factors: np.ndarray, shifts: np.ndarray) -> tuple[int, list[int], bytes, np.ndarray]:
         w = lower_words(t)
         joined = set(map(b" ".join, zip(*[w[i:] for i in range(width)]))) if len(w) >= width else {b" ".join(w)} if w else set()
         hashes = np.unique(np.fromiter((xxhash.xxh32_intdigest(s) for s in joined), dtype="<u4", count=len(joined)))
@@ -184,7 +185,7 @@ def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
             np.minimum(least, (factors * part + shifts).min(axis=1), out=least)
         bands = (least >> np.uint64(32)).astype("<u4").reshape(BANDS, BAND)
         keys = [xxhash.xxh64_intdigest(b.tobytes(), n) for n, b in enumerate(bands)] if len(hashes) else []
-        return xxhash.xxh64_intdigest(hashes.tobytes(), SEED), keys, hashes.view("<i4")
+        return xxhash.xxh64_intdigest(hashes.tobytes(), SEED), keys, parity(hashes.astype("<u8")), hashes.view("<i4")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drawn = np.random.default_rng(SEED).integers(0, 2**64, (2, count, 1), dtype="<u8")
@@ -195,7 +196,7 @@ def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 found = [sketch(t, factors, shifts) for t in batch.column(1).slice(at, ROWS).to_pylist()]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(at, ROWS), pa.array(np.array([f[0] for f in found], dtype="u8").view("i8")),
-                    longs(f[1] for f in found), pa.array([f[2] for f in found], pa.list_(pa.int32()))], names=schema.names)
+                    longs(f[1] for f in found), pa.array([f[2] for f in found], pa.binary()), pa.array([f[3] for f in found], pa.list_(pa.int32()))], names=schema.names)
 
     return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(work, schema)
 
@@ -208,8 +209,8 @@ def shared(filed: DataFrame) -> DataFrame:
     return filed.join(filed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key")
 
 
-def similar_pairs(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
-    """The (a, b) whose shingles, compared in full, are similar enough."""
+def similar_pairs(pairs: DataFrame, held: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The (a, b) whose shingles, compared in full, are similar enough; similarity is a fraction."""
     side = lambda name: held.select(F.col("set_id").alias(name), F.col("shingles").alias("s" + name))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,102 +219,33 @@ def similar_pairs(pairs: DataFrame, held: DataFrame, similarity: float) -> DataF
             for r in range(batch.num_rows):
                 x, y = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("sa", "sb"))
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= similarity * (len(x) + len(y) - common))
+                keep.append(similarity[1] * common >= similarity[0] * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
-def _pairs(x: DataFrame, y: DataFrame, others: Column, similarity: float) -> DataFrame:
-    """(a, b), a < b: members of one key of which neither has too few shingles for the similarity."""
-    near = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size")
-    met = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & others & near)
-    return met.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"))
-
-
-TURNS = 3  # times a crowded key's members meet one of them before the key is parted, or compared whatever it costs
-CROWD = 32  # pairs a member up to which a key's unconnected members are compared with each other
-
-
-def link(members: DataFrame, held: DataFrame, similarity: float, roots: DataFrame | None = None, done: list[DataFrame] | None = None) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
-    """(roots, compared pairs, rest): components of the sets by all similar pairs that share a key of `members`.
-
-    In each turn the members of a key lie in components. If the pairs across these are few for their number, all are
-    compared and the key is settled; else all members meet one, a different one each turn, which joins most of a group
-    of copies. The first call, without roots, lets each key do so first and gives back the members of keys that are
-    still crowded after TURNS; a later call compares all pairs across components that these have.
-    """
-    first, done, rest = roots is None, list(done or []), None
-    for turn in range(TURNS + 1):
-        placed = members.withColumn("comp", F.col("set_id"))
-        if roots is not None:
-            placed = members.join(roots, F.col("set_id") == F.col("node"), "left").select(*members.columns, F.coalesce("root", "set_id").alias("comp"))
-        placed = cut(placed)
-        c = F.col("c")
-        keys = placed.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(
-            F.sum("c").alias("n"), ((F.sum("c") * F.sum("c") - F.sum(c * c)) / 2).alias("across"), F.max(F.struct("c", "comp"))["comp"].alias("top"))
-        few = F.lit(True) if turn == TURNS and not first else F.col("across") <= (1 if roots is None else CROWD * F.col("n"))
-        live = cut(placed.join(keys.filter("across > 0").select("key", "top", few.alias("few")), "key"))
-        whole, crowded = live.filter("few"), live.filter("not few")
-        left = bool(crowded.limit(1).count())
-        outside = F.col("x.comp") != F.col("y.comp")
-        pairs = _pairs(whole.filter("comp <> top"), whole, outside & ((F.col("y.comp") == F.col("y.top")) | (F.col("x.set_id") < F.col("y.set_id"))), similarity)
-        if left and turn < TURNS:
-            hubs = crowded.groupBy("key").agg(F.min(F.struct(F.xxhash64("set_id", F.lit(turn)), "set_id", "size", "comp")).alias("hub"))
-            pairs = pairs.union(_pairs(crowded, hubs.select("key", "hub.set_id", "hub.size", "hub.comp"), outside, similarity))
-        pairs = pairs.distinct()
-        for d in done:
-            pairs = pairs.join(d, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        done.append(pairs)
-        edges = similar_pairs(pairs, held, similarity)
-        if roots is not None:
-            edges = edges.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = cut(components(edges))
-        members = crowded.select("set_id", "size", "key")
-        if not left:
-            break
-    else:
-        rest = members if first else None
-    return roots, done, rest
-
-
-def rare(members: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
-    """(set_id, size, key): each set under its rarest shingles, so many that two similar sets have one of them in common.
-
-    Shared passages are frequent among the members and so come last. No similar pair is left out: if two sets had none of
-    these shingles in common, those that remain of one were too few.
-    """
-    each = held.join(members.select("set_id", "size").distinct(), "set_id").select("set_id", "size", F.explode(F.col("shingles").cast("array<bigint>")).alias("key"))
-    often = each.groupBy("key").agg(F.count("*").alias("n"))
-    ordered = each.join(often, "key").groupBy("set_id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("shingles"))
-    needed = (F.col("size") - F.ceil(similarity * F.col("size") - 1e-6) + 1).cast("int")
-    return ordered.select("set_id", "size", F.explode(F.slice("shingles", F.lit(1), needed)["key"]).alias("key"))
-
-
-def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     """(key, component_id) for every row: texts linked where the Jaccard similarity of their shingles is large enough.
 
-    Texts with the same shingles count as one. Others are candidates if they share one of their BANDS keys; each
-    candidate's shingles are then compared in full. Members of a key that are connected already need no comparison, so
-    that a group of copies costs in proportion to its size (`link`); what is left of a crowded key is filed anew under
-    its members' rarest shingles (`rare`), and what these leave is compared whatever it costs.
+    Texts with the same shingles count as one. Others are candidates if they share one of their BANDS keys; a candidate's
+    shingles are compared in full unless its parity bitmap rules the similarity out. Members of a key that are connected
+    already need no comparison, so that a group of copies costs in proportion to its size; no pair of a key is left out
+    otherwise (`linking.connect`).
 
     Texts of fewer words than a shingle are one shingle; null texts and texts without words are alike. component_id is the
     smallest key of the component; null keys come first where keys are structs and take no part otherwise. Repeated rows
     are kept. No rows give no rows.
     """
     rows = cut(sketches(docs, key, text, width))
-    sets = cut(rows.groupBy("set_id").agg(F.min("key").alias("least"), F.first("bands").alias("bands"), F.first(F.size("shingles")).alias("size")))
-    members = cut(shared(sets.select("set_id", "size", F.explode("bands").alias("key"))))
+    sets = cut(rows.groupBy("set_id").agg(F.min("key").alias("least"), F.first("bands").alias("bands")))
+    filed = cut(shared(sets.select("set_id", F.explode("bands").alias("key"))))
     # One row of each set: the one with the set's smallest key.
-    chosen = members.select("set_id").distinct().join(sets.select("set_id", F.col("least").alias("chosen")), "set_id")
-    held = rows.join(chosen, "set_id").filter(F.col("key").eqNullSafe(F.col("chosen"))).groupBy("set_id").agg(F.first("shingles").alias("shingles"))
+    chosen = filed.select("set_id").distinct().join(sets.select("set_id", F.col("least").alias("chosen")), "set_id")
+    held = rows.join(chosen, "set_id").filter(F.col("key").eqNullSafe(F.col("chosen"))).groupBy("set_id").agg(
+        F.first(F.size("shingles")).alias("size"), F.first("bits").alias("bits"), F.first("shingles").alias("shingles"))
     held = cut(held)
-
-    roots, done, rest = link(members, held, similarity)
-    if rest is not None:
-        roots, _, _ = link(cut(shared(rare(rest, held, similarity))), held, similarity, roots, done)
+    roots = connect(filed.select("key", "set_id"), held.select("set_id", "size", "bits"), similarity, lambda pairs: similar_pairs(pairs, held, similarity))
     linked = roots.join(sets.select("set_id", "least"), roots["node"] == F.col("set_id"))
     lowest = linked.groupBy("root").agg(F.min("least").alias("low"))
     classes = sets.select("set_id", "least").join(linked.join(lowest, "root").select("set_id", "low"), "set_id", "left").select(
