@@ -8,14 +8,13 @@ import numpy as np
 
 from tickwarden.llm import packing
 
-SCHEMA = "doc_id long, text string, length string, ids int"
+SCHEMA = "doc_id long, text string, length string, ids int, start int, left string, key long"
 
 
 def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.vocabulary_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -24,7 +23,10 @@ def test_encoder_gives_the_ids_of_the_file(monkeypatch):
     rnd = random.Random(3)
     texts = ["", " ", "a  b", " \n x", "don't we'll 12ab", "<|endoftext|>", "中文字 テキスト", "\u0085x\xa0 y", "x" * 5000, "\U0001f600 hi", "á́"]
     texts += ["".join(rnd.choice(" \n\t\xa0a1.'é　ßЖ") for _ in range(rnd.randrange(60))) for _ in range(1500)]
-    for chunk in (1 << 20, 5):
+    added = ["<|endoftext|>", "<|endoftext|", " ", "  ", "a", "\n", "b.", "é"]
+    texts += ["a <|endoftext|> b", *("".join(rnd.choice(added) for _ in range(rnd.randrange(1, 12))) for _ in range(1500))]
+    assert mine.ids("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+    for chunk in (1 << 20, 5, 1):
         monkeypatch.setattr(packing, "CHUNK", chunk)
         for t in texts:
             assert mine.ids(t).tolist() == encode(t)
@@ -43,7 +45,7 @@ def test_pack_keeps_every_id_in_one_gapless_place(spark):
     encode, rnd = plain(), random.Random(4)
     rows = [(0, None), (1, ""), (2, "x " * 9000), (None, "no key"), (3, "same"), (3, "same")]
     rows += [(i, " ".join(rnd.choice(["alpha", "beta", "gamma,", "ü"]) for _ in range(rnd.randrange(1, 900)))) for i in range(10, 400)]
-    df = spark.createDataFrame([(i, t, "x", 7) for i, t in rows], SCHEMA).repartition(5, "doc_id")
+    df = spark.createDataFrame([(i, t, "x", 7, 1, "y", 2) for i, t in rows], SCHEMA).repartition(5, "doc_id")
     got = [r.asDict() for r in packing.pack(df, limit=4, with_ids=True).collect()]
     texts = {}
     for i, t in rows:

@@ -43,10 +43,11 @@ def byte_names() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of whole texts as `tokenizers` gives them for a byte-level vocabulary file, special strings taken as text.
+    """Ids of whole texts as `tokenizers` gives them for a byte-level vocabulary file, added tokens as their own ids.
 
     Texts of the characters in which `tiktoken` parts a text the same way get their ids from it, with the merges of the
-    same file, in a fifth of the time. All others go through `tokenizers`.
+    same file, in a fifth of the time. All others go through `tokenizers`, and so do texts that hold the string of one of
+    the file's added tokens.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,18 +56,21 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.added = re.compile("|".join(map(re.escape, sorted(special))) or "(?!)")
+        self.cuttable = not any(" " in t for t in special)
         names = byte_names()
         ranks = {bytes(names[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if token not in special}
         self.fast = tiktoken.Encoding("bytes", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
 
-    @staticmethod
-    def _chunks(text: str) -> Iterator[str]:
+    def _chunks(self, text: str) -> Iterator[str]:
         """Stretches of about CHUNK characters, cut where a space stands alone between characters that are no white space.
 
-        Such a space always begins a part, so the ids of the stretches are those of the text.
+        Such a space always begins a part and lies in no added token, so the ids of the stretches are those of the text.
         """
+        if not self.cuttable:
+            yield text
+            return
         at = 0
         while at < len(text):
             end = text.find(" ", at + CHUNK)
@@ -80,7 +84,8 @@ class Encoder:
         """All ids of the text as unsigned 32-bit integers; None has none."""
         out = [np.empty(0, dtype="<u4")]
         for chunk in self._chunks(text or ""):
-            found = self.tokenizer.encode(chunk, add_special_tokens=False).ids if OTHER.search(chunk) else self.fast.encode_ordinary(chunk)
+            slow = OTHER.search(chunk) or self.added.search(chunk)
+            found = self.tokenizer.encode(chunk, add_special_tokens=False).ids if slow else self.fast.encode_ordinary(chunk)
             out.append(np.array(found, dtype="<u4"))
         return np.concatenate(out)
 
