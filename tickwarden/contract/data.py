@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -21,10 +22,11 @@ from tickwarden.operators.evaluation import dataset_summary
 from tickwarden.operators.intervals import label_times
 from tickwarden.plans import evaluation as PE
 from tickwarden.schemas import METRICS
-from tickwarden.session import cut
+from tickwarden.session import cut, shared_dir
 from tickwarden.sources import io
 from tickwarden.sources import tables as T
 from tickwarden.streaming import processors as SP
+from tickwarden.streaming import observe as SO
 from tickwarden.streaming.cycle import drain
 
 # -- quality -----------------------------------------------------------------------------------------------------
@@ -490,16 +492,56 @@ def stream_monitor(spark, d):
 
 
 @query("stream_approvals", sql("utel", """
-SELECT 'A' || a.seq AS action_id, epoch_us(p.ts) AS approved_us FROM utel a JOIN utel p ON p.metric = 'cpu_pct' AND p.entity_id = a.entity_id
-AND p.ts >= a.ts AND p.ts <= a.ts + INTERVAL 24 HOUR WHERE a.metric = 'throughput_gbps'"""))
+SELECT 'A' || a.seq AS action_id, epoch_us(p.ts) AS approved_us, 'approved' AS status FROM utel a JOIN utel p ON p.metric = 'cpu_pct' AND p.entity_id = a.entity_id
+AND p.ts >= a.ts AND p.ts <= a.ts + INTERVAL 24 HOUR WHERE a.metric = 'throughput_gbps'
+UNION ALL SELECT 'A' || a.seq, 0, 'expired' FROM utel a WHERE a.metric = 'throughput_gbps'
+AND NOT EXISTS (SELECT 1 FROM utel p WHERE p.metric = 'cpu_pct' AND p.entity_id = a.entity_id AND p.ts >= a.ts AND p.ts <= a.ts + INTERVAL 24 HOUR)
+AND a.ts + INTERVAL 24 HOUR + INTERVAL 5 MINUTE < (SELECT least(max(ts) FILTER (metric = 'throughput_gbps'), max(ts) FILTER (metric = 'cpu_pct')) FROM utel)"""))
 def stream_approvals(spark, d):
-    """Purchases wait up to a day for a signup of the same user as approval."""
+    """Purchases wait up to a day for a signup of the same user as approval; those that the watermark has passed expire."""
     held = event_stream(spark, d).where("metric = 'throughput_gbps'").select(F.col("entity_id").alias("action_id"), "ts", "seq")
     said = event_stream(spark, d).where("metric = 'cpu_pct'").select(F.col("entity_id").alias("action_id"), "ts", F.col("seq").alias("operator"))
-    rows = drain(SP.stream_approvals(held.withColumn("ts", F.col("ts")), said, 24))
+    rows = drain(SP.stream_approvals(held, said, 24))
     own = T.table(spark, d, "events").where("event_type = 'purchase'").select(F.concat(F.lit("U"), "user_id").alias("action_id"), "ts", "event_id")
-    return rows.where("status = 'approved'").join(own, ["action_id", "ts"]).select(
-        F.concat(F.lit("A"), "event_id").alias("action_id"), F.unix_micros("approved_ts").alias("approved_us"))
+    return rows.join(own, ["action_id", "ts"]).select(
+        F.concat(F.lit("A"), "event_id").alias("action_id"), F.coalesce(F.unix_micros("approved_ts"), F.lit(0)).alias("approved_us"), "status")
+
+
+def arriving_stream(spark, d):
+    """The events as they arrive in micro-batches of five days, some one or two batches later, some twice."""
+    rows = T.table(spark, d, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("U"), F.col("user_id")).alias("entity_id"),
+        F.when(F.col("event_type") == "signup", "node").otherwise("link").alias("entity_type"),
+        I.lookup(T.EVENT_METRIC, F.col("event_type")).alias("metric"), "value", F.col("event_id").alias("seq"))
+    first = rows.agg(F.min(F.unix_date(F.to_date("ts")))).scalar()
+    later = F.when(F.col("seq") % 23 == 0, 2).when(F.col("seq") % 29 == 0, 1).otherwise(0)
+    rows = rows.withColumn("batch", F.floor((F.unix_date(F.to_date("ts")) - first) / 5) + later)
+    rows = rows.withColumn("_copy", F.explode(F.when(F.col("seq") % 19 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("_copy")
+    folder = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    io.write_batches(rows, folder, "batch", files=4)
+    schema = rows.drop("batch").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(folder).withWatermark("ts", "2 days")
+
+
+@query("stream_late", sql("arr marks", """
+SELECT seq, epoch_us(ts) <= mark * 1000 AS late, count(*) AS copies FROM arr JOIN marks USING (batch) GROUP BY ALL"""))
+def stream_late(spark, d):
+    """Which readings the watermark had passed when they came, over eight micro-batches."""
+    return drain(SP.mark_late(arriving_stream(spark, d))).groupBy("seq", "late").agg(F.count("*").alias("copies"))
+
+
+@query("stream_observe", sql("aens arr", f"""WITH peaks AS (
+SELECT epoch_us(ts) // 86400000000 AS cycle, entity_id, metric, max_by({{'observed': observed, 'severity': severity, 'confidence': confidence, 'detector': detector, 'seq': seq}},
+       {{'r': {RANK.format('severity')}, 'c': confidence, 's': seq}}) AS b FROM aens GROUP BY ALL),
+cyc AS (SELECT cycle, entity_id, metric, b.observed AS observed, b.severity AS severity, b.confidence AS confidence, b.detector AS detector FROM peaks
+        WHERE cycle < (SELECT (max(epoch_us(ts) // 1000) - 172800000) // 86400000 FROM arr))
+SELECT c.*, CASE WHEN p.severity IS NULL THEN 'new' WHEN c.severity <> p.severity OR round(abs(c.confidence - p.confidence), 6) >= 0.05 THEN 'changed' ELSE 'unchanged' END AS change
+FROM cyc c LEFT JOIN cyc p ON p.cycle = c.cycle - 1 AND p.entity_id = c.entity_id AND p.metric = c.metric"""))
+def stream_observe(spark, d):
+    """Daily cycles of thresholds and moving averages with their changes, from readings that come late, out of order and twice."""
+    folder = f"{shared_dir(spark)}/observe-{uuid.uuid4().hex}"
+    SO.stream_observe(arriving_stream(spark, d), None, folder, period_seconds=86400, predict=False).awaitTermination()
+    return SO.observed(spark, folder).select("cycle", "entity_id", "metric", "observed", "severity", "confidence", "detector", "change")
 
 
 @query("active_scenarios", sql("scen", """

@@ -119,6 +119,25 @@ FROM (SELECT ts, entity_id, metric, seq, count(*) AS votes,
 VIEWS["uew"] = VIEWS["ew"].replace("FROM tel)", "FROM utel)")
 VIEWS["uewh"] = VIEWS["ewh"].replace("FROM ew ", "FROM uew ")
 
+# The events as they reach a stream: in batches of five days, some one or two batches later, some twice. A batch's
+# watermark is the latest time of earlier batches less two days; what it has passed is late.
+VIEWS["arr"] = """
+SELECT u.*, (epoch_us(ts) // 86400000000 - (SELECT min(epoch_us(ts) // 86400000000) FROM utel)) // 5
+            + CASE WHEN seq % 23 = 0 THEN 2 WHEN seq % 29 = 0 THEN 1 ELSE 0 END AS batch
+FROM utel u, LATERAL (SELECT unnest(CASE WHEN u.seq % 19 = 0 THEN [1, 2] ELSE [1] END)) AS copies(copy)"""
+VIEWS["marks"] = """
+SELECT batch, coalesce(max(latest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 172800000, 0) AS mark
+FROM (SELECT batch, max(epoch_us(ts) // 1000) AS latest FROM arr GROUP BY batch)"""
+VIEWS["acc"] = """
+SELECT DISTINCT ts, seq, value, entity_id, entity_type, metric FROM arr JOIN marks USING (batch) WHERE epoch_us(ts) > mark * 1000"""
+VIEWS["aew"] = VIEWS["ew"].replace("FROM tel)", "FROM acc)")
+VIEWS["aewh"] = VIEWS["ewh"].replace("FROM ew ", "FROM aew ")
+VIEWS["alim"] = """
+SELECT *, CASE metric WHEN 'utilization_pct' THEN 85.0::DOUBLE WHEN 'packet_loss_pct' THEN 1.0::DOUBLE WHEN 'cpu_pct' THEN 90.0::DOUBLE
+          WHEN 'latency_ms' THEN 12.5::DOUBLE END AS "limit" FROM acc"""
+VIEWS["athr"] = VIEWS["thr"].replace("FROM lim ", "FROM alim ")
+VIEWS["aens"] = VIEWS["ens"].replace("FROM thr UNION ALL SELECT * FROM ewh", "FROM athr UNION ALL SELECT * FROM aewh")
+
 RANK = "CASE {0} WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END"
 
 

@@ -9,6 +9,7 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from tickwarden.functions.ids import lookup
 from tickwarden.functions.severity import (
     observed_severity, report_confidence, report_value, severity_rank, sigma_severity,
 )
+from tickwarden.operators.scan import ewma_before
 from tickwarden.operators.series import CHUNK_ROWS, MAX_SERIES_ROWS, chunked, hottest, with_position
 from tickwarden.schemas import DEFAULT_LATENCY_MS, LATENCY_FACTOR, THRESHOLDS
 
@@ -79,28 +81,25 @@ def halo_rows(alpha: float) -> int:
 
 
 def _ewma_step(alpha: float):
-    """Streaming recurrence over rows sorted by (series, chunk, position); state survives batch borders."""
-    keep = 1.0 - alpha
+    """Averages of rows sorted by (series, chunk, position); the last series of a batch goes on in the next one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, n, mean, var = None, 0, 0.0, 0.0
         for pdf in batches:
-            means, variances, counts = [], [], []
-            for key, start, x in zip(pdf["_key"], pdf["_start"], pdf["value"]):
-                if key != current:
-                    current, n, mean, var = key, start, x, 0.0
-                    first = True
-                means.append(mean)
-                variances.append(var)
-                counts.append(n)
-                if first:
-                    first = False
-                else:
-                    diff = x - mean
-                    mean += alpha * diff
-                    var = keep * (var + alpha * diff * diff)
-                n += 1
-            pdf["n_before"], pdf["mean_before"], pdf["var_before"] = counts, means, variances
+            if pdf.empty:
+                continue
+            keys, start = pdf["_key"].to_numpy(), pdf["_start"].to_numpy()
+            new = np.ones(len(keys), dtype=bool)
+            new[1:] = keys[1:] != keys[:-1]
+            goes_on = keys[0] == current
+            firsts = np.flatnonzero(new)
+            begin = np.where(np.arange(len(firsts)) == 0, n, start[firsts]) if goes_on else start[firsts]
+            new[0] = not goes_on
+            means, variances, (mean, var) = ewma_before(pdf["value"].to_numpy(dtype=float), new, alpha, mean, var)
+            of = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(keys))))
+            pdf["n_before"] = begin[of] + np.arange(len(keys)) - firsts[of]
+            pdf["mean_before"], pdf["var_before"] = means, variances
+            current, n = keys[-1], int(pdf["n_before"].iloc[-1]) + 1
             yield pdf.drop(columns=["_key", "_start"])
 
     return run

@@ -173,3 +173,14 @@ def report_lines(report: DataFrame) -> DataFrame:
         F.concat(F.lit("  Safety pass rate      : "), pct("pass_rate")),
     )
     return report.select(F.explode(lines).alias("value"))
+
+
+def write_batches(rows: DataFrame, folder: str, batch: str, files: int = 4) -> list:
+    """Write rows into `folder` in the order of their batch number, `files` files each, for a replay as a stream.
+
+    Read with `maxFilesPerTrigger` = `files`, every batch becomes one micro-batch. Returns the batch numbers.
+    """
+    numbers = [r[0] for r in rows.select(batch).distinct().orderBy(batch).collect()]
+    for number in numbers:
+        rows.where(F.col(batch) == F.lit(number)).drop(batch).repartition(files).write.mode("append").parquet(folder)
+    return numbers

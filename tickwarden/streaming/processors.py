@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tickwarden.operators.detect import ewma_hits
 from tickwarden.operators.outcomes import worsened
 from tickwarden.operators.quality import sanitize
+from tickwarden.operators.scan import ewma_before
 
 WATERMARK = "5 minutes"
 
@@ -34,20 +36,11 @@ def stream_ewma(long: DataFrame, span: int = 20) -> DataFrame:
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = _sorted(batches, ["ts", "seq"])
         n, mean, var = state.get if state.exists else (0, 0.0, 0.0)
-        counts, means, variances = [], [], []
-        for x in rows["value"]:
-            if n == 0:
-                mean, var = x, 0.0
-            counts.append(n)
-            means.append(mean)
-            variances.append(var)
-            if n:
-                diff = x - mean
-                mean += alpha * diff
-                var = (1 - alpha) * (var + alpha * diff * diff)
-            n += 1
-        state.update((n, float(mean), float(var)))
-        yield rows.assign(n_before=counts, mean_before=means, var_before=variances)
+        fresh = np.zeros(len(rows), dtype=bool)
+        fresh[0] = n == 0
+        means, variances, (mean, var) = ewma_before(rows["value"].to_numpy(dtype=float), fresh, alpha, mean, var)
+        state.update((n + len(rows), mean, var))
+        yield rows.assign(n_before=np.arange(n, n + len(rows)), mean_before=means, var_before=variances)
 
     names = ["ts", "entity_id", "entity_type", "metric", "value", "seq"]
     rows = long.select(*names)
@@ -213,6 +206,29 @@ def run_counters(rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def late(us: np.ndarray, watermark_ms: int) -> np.ndarray:
+    """Which times, in microseconds, the watermark has passed."""
+    return us <= watermark_ms * 1000
+
+
+def mark_late(rows: DataFrame, keys: Sequence[str] = ("entity_id", "metric")) -> DataFrame:
+    """All rows of a watermarked stream with `late`: whether the watermark had passed their time when they came.
+
+    Rows of one key are looked at together and nothing is kept. Stateful steps leave exactly the late rows out, so that
+    this is their side output: `late` rows can go to a table of their own.
+    """
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", late boolean"
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs()
+        for pdf in batches:
+            us = pdf["_us"].to_numpy()
+            yield pdf.drop(columns="_us").assign(late=late(us, mark))
+
+    marked = rows.withColumn("_us", F.unix_micros("ts"))
+    return marked.groupBy(*keys).applyInPandasWithState(step, schema, "nothing boolean", "append", GroupStateTimeout.NoTimeout)
+
+
 def late_rows(query) -> int:
     """Rows a running query has dropped behind its watermark."""
     return sum(op["numRowsDroppedByWatermark"] for progress in query.recentProgress for op in progress["stateOperators"])
