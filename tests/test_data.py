@@ -123,33 +123,23 @@ def day_of(spark, links, nodes, minutes=120):
     return a.unionByName(b)
 
 
-def test_overlay_faults(spark, links, nodes):
-    wide = day_of(spark, links, nodes)
+def test_covered_rows_have_role_and_place(spark, links, nodes):
+    long = R.to_long(day_of(spark, links, nodes, 120)).withColumn("seq", F.unix_micros("ts"))
     plan = scenario_rows(spark, [
         ("s1", "fiber_cut", minute(10), minute(30), "critical", None, "AGG3-EDGE3"),
         ("s2", "hardware_degradation", minute(60), minute(80), "medium", "CR2", None),
-        ("s3", "ddos_surge", minute(90), minute(100), "critical", "EDGE1", None),
+        ("s3", "ddos_surge", minute(200), minute(210), "critical", "EDGE1", None),
     ])
-    one = DS.overlay(wide, plan, links).cache()
-    assert one.count() == wide.count()
-    cut = one.where(F.col("entity_id") == "AGG3-EDGE3").where(F.col("timestamp").between(F.lit(minute(10)), F.lit(minute(30))))
-    assert {(r["utilization_pct"], r["packet_loss_pct"]) for r in cut.collect()} == {(0.0, 100.0)} and cut.count() == 21
-    beside = one.where("entity_id = 'AGG3-AGG4' AND overlaid").agg(F.min("utilization_pct"), F.count("*")).first()
-    assert beside[0] >= 65 and beside[1] == 21
-    ramp = [r["cpu_pct"] for r in one.where("entity_id = 'CR2' AND overlaid").orderBy("timestamp").collect()]
-    assert len(ramp) == 21 and ramp[0] < 54 and ramp[-1] > 84
-    assert one.where("entity_id = 'EDGE1' AND overlaid").agg(F.min("cpu_pct")).first()[0] >= 88
-    again = DS.overlay(wide.repartition(7), plan, links)
-    assert again.exceptAll(one).count() == 0
-    same = one.where(~F.col("overlaid")).drop("overlaid")
-    assert same.exceptAll(wide).count() == 0
-
-
-def test_schedule_keeps_its_distance(spark, links, nodes):
-    rows = DS.schedule(spark, START, 24 * 60, 8, links, nodes, 60).orderBy("start_time").collect()
-    starts = [r["start_time"] for r in rows]
-    assert len(rows) == 8 and all((b - a).total_seconds() >= 3600 for a, b in zip(starts, starts[1:]))
-    assert len({r["scenario_type"] for r in rows}) == 5
+    rows = DS.covered(long, plan, links)
+    roles = {(r["scenario_id"], r["role"], r["entity_id"]) for r in rows.select("scenario_id", "role", "entity_id").distinct().collect()}
+    ends = lambda *wanted: {"-".join(sorted((r["source"], r["target"]))) for r in links.collect() if {r["source"], r["target"]} & set(wanted)}
+    assert roles == (
+        {("s1", "root", "AGG3-EDGE3"), ("s2", "root", "CR2")} | {("s1", "sibling", x) for x in ends("AGG3", "EDGE3") - {"AGG3-EDGE3"}}
+        | {("s2", "attached", x) for x in ends("CR2")})
+    one = rows.where("scenario_id = 's1' AND role = 'root'").orderBy("ts", "seq", "metric").collect()
+    metrics = len({r["metric"] for r in one})
+    assert len(one) == 21 * metrics and min(r["share"] for r in one) == 0.0 and max(r["share"] for r in one) == 1.0
+    assert {r["ts"].minute for r in one} == set(range(10, 31))
 
 
 def test_conversations_round_trip(spark, tmp_path):
@@ -205,7 +195,10 @@ def test_planted_faults_are_found(spark, links, nodes):
         ("s1", "ddos_surge", minute(200), minute(229), "critical", "EDGE4", None), ("s2", "fiber_cut", minute(260), minute(290), "critical", None, "AGG2-EDGE2"),
         ("s3", "congestion_cascade", minute(235), minute(246), "high", None, "AGG1-CR1"),
     ])
-    long = R.to_long(DS.overlay(wide, plan, links).drop("overlaid")).withColumn("seq", F.unix_micros("ts")).cache()
+    calm = R.to_long(wide).withColumn("seq", F.unix_micros("ts"))
+    hit = DS.covered(calm, plan, links).where("role = 'root'").select("ts", "entity_id", "metric", F.lit(True).alias("hit"))
+    broken = F.when(F.col("metric").isin("cpu_pct", "utilization_pct"), 96.0).when(F.col("metric") == "latency_ms", F.col("value") * 4).otherwise(F.col("value"))
+    long = calm.join(hit, ["ts", "entity_id", "metric"], "left").withColumn("value", F.when(F.col("hit"), broken).otherwise(F.col("value"))).select(*calm.columns).cache()
     out = evaluate(long.where(F.col("ts") < F.lit(minute(180))), long.where(F.col("ts") >= F.lit(minute(180))), plan, nodes, links, trees=20, active=True)
     row = out.report.first()
     assert row["scenarios_detected"] == 3 and row["recall"] == 1.0 and row["f1"] >= 0.7612

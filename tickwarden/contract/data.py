@@ -392,11 +392,19 @@ def learning_chunks(spark, d):
 # -- datasets ----------------------------------------------------------------------------------------------------
 
 
-@query("fault_overlay")
+@query("fault_overlay", sql("scen tel inc", """
+WITH roles AS (
+  SELECT scenario_id, start_time, end_time, CASE WHEN on_node THEN u ELSE l END AS entity_id, 'root' AS role FROM scen
+  UNION ALL SELECT s.scenario_id, s.start_time, s.end_time, i.link_id, 'attached' FROM scen s JOIN inc i ON i.node_id = s.u WHERE on_node
+  UNION ALL SELECT DISTINCT s.scenario_id, s.start_time, s.end_time, b.link_id, 'sibling' FROM scen s JOIN inc a ON a.link_id = s.l JOIN inc b ON b.node_id = a.node_id
+    AND b.link_id <> a.link_id WHERE NOT on_node)
+SELECT r.scenario_id, r.role, t.entity_id, t.metric, t.seq, round(CASE WHEN count(*) OVER w > 1
+    THEN (row_number() OVER (PARTITION BY r.scenario_id, t.entity_id ORDER BY t.ts, t.seq) - 1) / (count(*) OVER w - 1) ELSE 0 END::DOUBLE, 6) AS share
+FROM roles r JOIN tel t ON t.entity_id = r.entity_id AND t.ts >= r.start_time AND t.ts <= r.end_time WINDOW w AS (PARTITION BY r.scenario_id, t.entity_id)"""))
 def fault_overlay(spark, d):
-    rows = T.telemetry(spark, d).groupBy(F.col("ts").alias("timestamp"), "entity_id", "entity_type").pivot("metric", list(METRICS)).agg(F.min_by("value", "seq"))
-    rows = rows.withColumns({"capacity_gbps": F.lit(40.0), "latency_baseline_ms": F.lit(20.0)})
-    return DS.overlay(rows, T.scenarios(spark, d), T.links(spark, d))
+    """Which readings the scenarios cover, in what role, and how far into the window."""
+    rows = DS.covered(T.telemetry(spark, d), T.scenarios(spark, d), T.links(spark, d))
+    return rows.select("scenario_id", "role", "entity_id", "metric", "seq", F.round("share", 6).alias("share"))
 
 
 @query("evaluation_report")

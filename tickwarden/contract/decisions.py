@@ -381,8 +381,8 @@ def counters(spark, d):
 query("opinion_summary", sql("", """
 WITH o AS (SELECT conv_id, turn, list_extract(['reliability', 'performance', 'cost_sla'], turn % 3 + 1) || ':' ||
     CASE role WHEN 'user' THEN 'support' WHEN 'assistant' THEN 'oppose' ELSE 'conditional' END AS stance FROM conversations)
-SELECT conv_id::VARCHAR AS action_id, printf('Debate concluded with decision ''modify'' (consensus=%.2f). Specialist positions: %s. Judge rationale: %s',
-       0.5::DOUBLE, array_to_string(list(stance ORDER BY turn), ', '), 'canary first') AS summary FROM o GROUP BY 1"""))(
+SELECT conv_id::VARCHAR AS action_id, printf('Decided: modify, agreement %.2f. Voices: %s. Because: %s', 0.5::DOUBLE, array_to_string(list(stance ORDER BY turn), ', '), 'canary first') AS summary
+FROM o GROUP BY 1"""))(
     lambda spark, d: opinions(spark, d).select("action_id", "summary")
 )
 
@@ -394,7 +394,12 @@ def opinions(spark, d):
     return O.opinion_summary(said, decided)
 
 
-@query("opinion_transcripts")
+@query("opinion_transcripts", sql("", """
+WITH o AS (SELECT conv_id, turn, printf('[%s] %s, %.2f sure', list_extract(['reliability', 'performance', 'cost sla'], turn % 3 + 1),
+    CASE role WHEN 'user' THEN 'support' WHEN 'assistant' THEN 'oppose' ELSE 'conditional' END, (length(text) % 100 / 100.0)::DOUBLE) || coalesce(chr(10) || text, '') AS part
+  FROM conversations)
+SELECT conv_id::VARCHAR AS action_id, array_to_string(list(part ORDER BY turn), chr(10) || chr(10)) || chr(10) || chr(10) || '[decision] modify, agreement 0.50' || chr(10) || 'canary first' AS transcript
+FROM o GROUP BY 1"""))
 def opinion_transcripts(spark, d):
     return opinions(spark, d).select("action_id", "transcript")
 
@@ -411,13 +416,12 @@ def example_rows(spark, d):
 
 
 query("sft_messages", sql("act outc", """
-SELECT 'Scenario: ' || o.scenario_type || chr(10) || 'Anomaly description: Change after ' || o.action_type || chr(10) || 'Root cause hypothesis: ' || o.action_id || '_utilization (confidence=0.75)' || chr(10)
-  || 'Pre-action metrics:' || chr(10) || printf('  link.latency_ms: %.3f', round(pre_latency + 1e-9, 3)) || chr(10) || printf('  link.packet_loss_pct: %.3f', round(pre_loss + 1e-9, 3)) || chr(10)
-  || printf('  link.utilization_pct: %.3f', round(pre_util + 1e-9, 3)) || chr(10) || chr(10) || 'What is the recommended remediation action?' AS user_text,
-  'Recommended action: ' || o.action_type || chr(10) || 'Rationale: Given ' || o.scenario_type || ' with root cause ''' || o.action_id || '_utilization'', the ' || o.action_type
-  || ' action addresses the primary congestion/fault vector. Confidence: 0.75.' || chr(10) || CASE outcome WHEN 'effective' THEN 'This action was effective and resolved the issue.'
-     WHEN 'partially_effective' THEN 'This action partially resolved the issue.' WHEN 'ineffective' THEN 'Note: this action was ineffective — a different approach may be needed.'
-     ELSE 'Note: this action was harmful — avoid it in similar scenarios.' END AS assistant_text, outcome
+SELECT 'Incident type: ' || o.scenario_type || chr(10) || 'Seen: Change after ' || o.action_type || chr(10) || 'Suspected origin: ' || o.action_id || '_utilization (0.75 sure)' || chr(10)
+  || 'Metrics before any action:' || chr(10) || printf('  link.latency_ms: %.3f', round(pre_latency + 1e-9, 3)) || chr(10) || printf('  link.packet_loss_pct: %.3f', round(pre_loss + 1e-9, 3)) || chr(10)
+  || printf('  link.utilization_pct: %.3f', round(pre_util + 1e-9, 3)) || chr(10) || chr(10) || 'Which action do you propose?' AS user_text,
+  'Proposal: ' || o.action_type || chr(10) || 'Reason: ' || o.scenario_type || ' starting at ' || o.action_id || '_utilization is met with ' || o.action_type || ', 0.75 sure.' || chr(10)
+  || CASE outcome WHEN 'effective' THEN 'Afterwards the readings were back to normal.' WHEN 'partially_effective' THEN 'Afterwards some readings were better, others were not.'
+     WHEN 'ineffective' THEN 'Afterwards nothing had improved; try something else.' ELSE 'Afterwards things were worse; do not repeat this here.' END AS assistant_text, outcome
 FROM outc o JOIN act a USING (action_id)"""))(
     lambda spark, d: DS.conversations(example_rows(spark, d)).select(
         F.col("messages")[1]["content"].alias("user_text"), F.col("messages")[2]["content"].alias("assistant_text"), F.col("metadata")["outcome"].alias("outcome"))

@@ -1,29 +1,15 @@
-"""Labelled datasets: fault overlays on telemetry, schedules, conversation examples, incident records."""
+"""Labelled datasets: telemetry rows that given scenarios cover, and conversation examples."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickwarden.functions.severity import clamp
-from tickwarden.functions.text import OUTCOME_NOTES, chat
 from tickwarden.functions.ids import lookup
+from tickwarden.functions.text import OUTCOME_NOTES, chat
 from tickwarden.operators.intervals import interval_join
 from tickwarden.operators.series import with_position
 from tickwarden.operators.topology import incidence, sibling_links
-from tickwarden.schemas import METRICS, SCENARIO_TYPES
-
-# Default duration in minutes and severity of each scenario type.
-DURATION = {
-    "congestion_cascade": 45, "hardware_degradation": 120, "ddos_surge": 30, "misconfiguration": 60, "fiber_cut": 90,
-}
-SEVERITY = {
-    "congestion_cascade": "high", "hardware_degradation": "medium", "ddos_surge": "critical",
-    "misconfiguration": "medium", "fiber_cut": "critical",
-}
 
 
 def draw(seed: int, *parts: Column) -> Column:
@@ -31,178 +17,38 @@ def draw(seed: int, *parts: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 40)) / float(1 << 40)
 
 
-# -- overlay -----------------------------------------------------------------------------------------------------
-
-Change = Callable[[Callable[[str], Column], Column, Callable[[str, float, float], Column]], dict[str, Column]]
-
-
-def _pct(x: Column) -> Column:
-    return clamp(x, 0.0, 100.0)
-
-
-def _cascade_root(v, ramp, u):
-    util = _pct(v("utilization_pct") + u("util", 40, 55))
-    return {
-        "utilization_pct": util, "latency_ms": v("latency_ms") * u("lat", 2.5, 4.0),
-        "packet_loss_pct": _pct(v("packet_loss_pct") + u("loss", 1.5, 4.0)),
-        "throughput_gbps": util / 100.0 * v("capacity_gbps"),
-    }
-
-
-def _cascade_near(v, ramp, u):
-    return {
-        "utilization_pct": _pct(v("utilization_pct") + u("util", 10, 22)),
-        "latency_ms": v("latency_ms") * u("lat", 1.3, 1.8),
-    }
-
-
-def _hardware_node(v, ramp, u):
-    return {
-        "cpu_pct": _pct(v("cpu_pct") + ramp * 35),
-        "temperature_c": clamp(v("temperature_c") + ramp * 18, 20.0, 90.0),
-        "memory_pct": _pct(v("memory_pct") + ramp * 20),
-        "buffer_drops": v("buffer_drops") + F.floor(ramp * 15),
-    }
-
-
-def _hardware_link(v, ramp, u):
-    return {"latency_ms": v("latency_ms") * (1 + ramp * 0.6), "packet_loss_pct": _pct(v("packet_loss_pct") + ramp * 0.8)}
-
-
-def _ddos_node(v, ramp, u):
-    return {"cpu_pct": u("cpu", 88, 100), "buffer_drops": v("buffer_drops") + F.floor(u("drops", 200, 800))}
+# -- coverage ----------------------------------------------------------------------------------------------------
 
+def scenario_roles(scenarios: DataFrame, links: DataFrame) -> DataFrame:
+    """(scenario_id, start_time, end_time, entity_id, role): each scenario's root, and the links that meet it.
 
-def _ddos_link(v, ramp, u):
-    util = u("util", 92, 100)
-    return {
-        "utilization_pct": util, "packet_loss_pct": u("loss", 5, 18), "latency_ms": v("latency_ms") * u("lat", 3, 6),
-        "throughput_gbps": util / 100.0 * v("capacity_gbps"),
-    }
-
-
-def _misconfigured(v, ramp, u):
-    jitter, spike = u("jit", 0, 1), u("spike", 0, 1)
-    factor = F.when(jitter < 0.4, 1.0).when(jitter < 0.7, 1.5).when(jitter < 0.85, 3.0).when(jitter < 0.9, 5.0).otherwise(1.2)
-    extra = F.when(spike < 0.75, 0.0).when(spike < 0.95, 8.0).otherwise(15.0)
-    return {
-        "latency_ms": v("latency_ms") * factor,
-        "packet_loss_pct": _pct(v("packet_loss_pct") + u("loss", 0.5, 2.0) + extra),
-        "utilization_pct": _pct(v("utilization_pct") + u("util", 5, 15)),
-    }
-
-
-def _cut_link(v, ramp, u):
-    return {
-        "utilization_pct": F.lit(0.0), "throughput_gbps": F.lit(0.0),
-        "packet_loss_pct": F.lit(100.0), "latency_ms": F.lit(0.0),
-    }
-
-
-def _cut_sibling(v, ramp, u):
-    return {
-        "utilization_pct": _pct(v("utilization_pct") + u("util", 20, 35)),
-        "latency_ms": v("latency_ms") * u("lat", 1.5, 2.2),
-    }
-
-
-# (scenario type, role of the entity) -> change; register an entry to add a scenario type.
-OVERLAYS: dict[tuple[str, str], Change] = {
-    ("congestion_cascade", "root"): _cascade_root,
-    ("congestion_cascade", "sibling"): _cascade_near,
-    ("hardware_degradation", "root"): _hardware_node,
-    ("hardware_degradation", "attached"): _hardware_link,
-    ("ddos_surge", "root"): _ddos_node,
-    ("ddos_surge", "attached"): _ddos_link,
-    ("misconfiguration", "root"): _misconfigured,
-    ("fiber_cut", "root"): _cut_link,
-    ("fiber_cut", "sibling"): _cut_sibling,
-}
-
-
-def overlay_targets(scenarios: DataFrame, links: DataFrame) -> DataFrame:
-    """(scenario, entity, role): the root, links attached to a root node, links beside a root link."""
-    base = scenarios.select("scenario_id", "scenario_type", "start_time", "end_time", "root_cause_node", "root_cause_link")
-    keep = ["scenario_id", "scenario_type", "start_time", "end_time"]
-    root = base.select(*keep, F.coalesce("root_cause_node", "root_cause_link").alias("entity_id"), F.lit("root").alias("role"))
-    ends = incidence(links).select(F.col("node_id").alias("root_cause_node"), "link_id")
-    attached = base.join(ends, "root_cause_node").select(*keep, F.col("link_id").alias("entity_id"), F.lit("attached").alias("role"))
-    cut = base.where(F.col("root_cause_link").isNotNull())
-    beside = sibling_links(cut.select(F.col("root_cause_link").alias("link_id")), links).withColumnRenamed("target_link", "root_cause_link")
-    sibling = cut.join(beside, "root_cause_link").select(*keep, F.col("link_id").alias("entity_id"), F.lit("sibling").alias("role"))
-    rows = root.unionByName(attached).unionByName(sibling)
-    known = reduce(lambda a, b: a | b, [(F.col("scenario_type") == t) & (F.col("role") == r) for t, r in OVERLAYS])
-    return rows.where(known & F.col("entity_id").isNotNull())
-
-
-def overlay(wide: DataFrame, scenarios: DataFrame, links: DataFrame, seed: int = 42) -> DataFrame:
-    """Apply every scenario to wide telemetry in one pass; overlapping scenarios fold in start order.
-
-    Draws are hashes of (seed, scenario, entity, time), so a run is repeatable whatever the partitioning.
+    Links at a root node are `attached`; links that share an end with a root link are its `sibling`s.
     """
-    targets = overlay_targets(scenarios, links)
-    rows = wide.withColumnRenamed("timestamp", "ts")
-    hits = interval_join(rows.select("ts", "entity_id"), targets, "start_time", "end_time", on=["entity_id"])
-    placed = with_position(hits, ["scenario_id", "entity_id"], ["ts"])
-    sizes = placed.groupBy("scenario_id", "entity_id").agg(F.count("*").alias("_n"))
-    ramp = F.when(F.col("_n") > 1, F.col("pos") / (F.col("_n") - 1)).otherwise(0.0)
-    placed = placed.join(sizes, ["scenario_id", "entity_id"]).withColumn("ramp", ramp)
-    entry = F.struct("start_time", "scenario_id", "scenario_type", "role", "ramp")
-    per_row = placed.groupBy("ts", "entity_id").agg(F.array_sort(F.collect_list(entry)).alias("_hits"))
-    joined = rows.join(per_row, ["ts", "entity_id"], "left")
-    present = [m for m in METRICS if m in wide.columns]
-    start = F.struct(*[F.col(m).cast("double").alias(m) for m in present])
-
-    def apply(state: Column, hit: Column) -> Column:
-        value = lambda name: state[name] if name in present else F.col(name)
-        uniform = lambda tag, lo, hi: lo + (hi - lo) * draw(
-            seed, hit["scenario_id"], F.col("entity_id"), F.col("ts"), F.lit(tag)
-        )
-        changed = {m: state[m] for m in present}
-        for (kind, role), change in OVERLAYS.items():
-            test = (hit["scenario_type"] == kind) & (hit["role"] == role)
-            for name, column in change(value, hit["ramp"], uniform).items():
-                if name in present:
-                    changed[name] = F.when(test & state[name].isNotNull(), column.cast("double")).otherwise(changed[name])
-        return F.struct(*[changed[m].alias(m) for m in present])
-
-    after = F.when(F.col("_hits").isNull(), start).otherwise(F.aggregate("_hits", start, apply))
-    out = joined.withColumn("_after", after)
-    for m in present:
-        out = out.withColumn(m, F.col("_after")[m])
-    return out.withColumn("overlaid", F.col("_hits").isNotNull()).drop("_after", "_hits").withColumnRenamed("ts", "timestamp").select(
-        *wide.columns, "overlaid"
+    names = ["scenario_id", "start_time", "end_time"]
+    role = lambda rows, entity, name: rows.select(*names, F.col(entity).alias("entity_id"), F.lit(name).alias("role"))
+    of_node = scenarios.where(F.col("root_cause_node").isNotNull()).select(*names, F.col("root_cause_node").alias("node_id"))
+    of_link = scenarios.where(F.col("root_cause_link").isNotNull() & F.col("root_cause_node").isNull()).select(*names, F.col("root_cause_link").alias("target_link"))
+    siblings = sibling_links(of_link.select(F.col("target_link").alias("link_id")).distinct(), links)
+    return (
+        role(of_node, "node_id", "root")
+        .unionByName(role(of_link, "target_link", "root"))
+        .unionByName(role(of_node.join(incidence(links).select("node_id", "link_id"), "node_id"), "link_id", "attached"))
+        .unionByName(role(of_link.join(siblings.select("target_link", "link_id").distinct(), "target_link"), "link_id", "sibling"))
     )
 
 
-def schedule(
-    spark: SparkSession, start, minutes: int, n: int, links: DataFrame, nodes: DataFrame, gap_minutes: int = 60, seed: int = 42
-) -> DataFrame:
-    """`n` scenarios whose starts lie at least `gap_minutes` apart, types in turn, roots drawn by hash."""
-    slots = max(1, minutes // (2 * gap_minutes))
-    rows = spark.range(slots).orderBy(draw(seed, F.col("id")), "id").limit(n)
-    rows = with_position(rows.withColumn("_k", F.lit(0)), ["_k"], ["id"], known=min(n, slots)).drop("_k")
-    kinds = F.array(*[F.lit(s) for s in SCENARIO_TYPES])
-    rows = rows.withColumns({
-        "scenario_type": F.element_at(kinds, (F.col("pos") % len(SCENARIO_TYPES) + 1).cast("int")),
-        "_start": F.col("id") * (2 * gap_minutes) + F.floor(draw(seed, F.col("id"), F.lit("at")) * (gap_minutes + 1)),
-    })
-    numbered = lambda df, key: with_position(df.select(F.col(key).alias("_root")).distinct().withColumn("_k", F.lit(0)), ["_k"], ["_root"]).drop("_k")
-    pick = lambda df, key: F.floor(draw(seed, F.col("id"), F.lit(key)) * df.agg(F.count_distinct(key)).scalar())
-    rows = rows.withColumns({"_l": pick(links, "link_id"), "_n": pick(nodes, "node_id")})
-    rows = rows.join(numbered(links, "link_id").select(F.col("pos").alias("_l"), F.col("_root").alias("_link")), "_l")
-    rows = rows.join(numbered(nodes, "node_id").select(F.col("pos").alias("_n"), F.col("_root").alias("_node")), "_n")
-    on_node = F.col("scenario_type").isin("hardware_degradation", "ddos_surge")
-    begin = F.timestamp_add("MINUTE", F.col("_start").cast("int"), F.lit(start).cast("timestamp"))
-    return rows.select(
-        F.format_string("S%05d", "pos").alias("scenario_id"), "scenario_type", begin.alias("start_time"),
-        F.timestamp_add("MINUTE", lookup(DURATION, F.col("scenario_type")), begin).alias("end_time"),
-        lookup(SEVERITY, F.col("scenario_type")).alias("severity"),
-        F.concat_ws(" on ", "scenario_type", F.when(on_node, F.col("_node")).otherwise(F.col("_link"))).alias("root_cause"),
-        F.when(on_node, F.col("_node")).alias("root_cause_node"), F.when(~on_node, F.col("_link")).alias("root_cause_link"),
-        F.when(on_node, F.array("_node")).otherwise(F.slice(F.split("_link", "-"), 1, 2)).alias("affected_nodes"),
-        F.when(on_node, F.array().cast("array<string>")).otherwise(F.array("_link")).alias("affected_links"),
-    )
+def covered(long: DataFrame, scenarios: DataFrame, links: DataFrame) -> DataFrame:
+    """The readings inside each scenario's window of the entities that have a role in it.
+
+    Adds scenario_id, role and `share`, the reading's place among those of its entity and scenario: from 0 for the first
+    to 1 for the last one, 0 for a single one.
+    """
+    hits = interval_join(long, scenario_roles(scenarios, links), "start_time", "end_time", on=["entity_id"]).drop("start_time", "end_time")
+    keys = ["scenario_id", "entity_id"]
+    placed = with_position(hits, keys, ["ts", "seq", "metric"])
+    sizes = placed.groupBy(*keys).agg(F.count("*").alias("_n"))
+    share = F.when(F.col("_n") > 1, F.col("pos") / (F.col("_n") - 1)).otherwise(0.0)
+    return placed.join(sizes, keys).withColumn("share", share).select(*long.columns, "scenario_id", "role", "share")
 
 
 # -- conversations -----------------------------------------------------------------------------------------------
@@ -220,15 +66,12 @@ def conversations(outcomes: DataFrame) -> DataFrame:
     """
     rows = outcomes.where((F.col("action_type") != "") & (F.col("root_cause") != ""))
     user = F.format_string(
-        "Scenario: %s\nAnomaly description: %s\nRoot cause hypothesis: %s (confidence=%.2f)\n"
-        "Pre-action metrics:\n%s\n\nWhat is the recommended remediation action?",
+        "Incident type: %s\nSeen: %s\nSuspected origin: %s (%.2f sure)\nMetrics before any action:\n%s\n\nWhich action do you propose?",
         "scenario_type", "description", "root_cause", "confidence", metric_lines(F.col("pre_metrics")),
     )
     assistant = F.format_string(
-        "Recommended action: %s\nRationale: Given %s with root cause '%s', the %s action addresses the primary "
-        "congestion/fault vector. Confidence: %.2f.\n%s",
-        "action_type", "scenario_type", "root_cause", "action_type", "confidence",
-        lookup(OUTCOME_NOTES, F.col("outcome"), ""),
+        "Proposal: %s\nReason: %s starting at %s is met with %s, %.2f sure.\n%s",
+        "action_type", "scenario_type", "root_cause", "action_type", "confidence", lookup(OUTCOME_NOTES, F.col("outcome"), ""),
     )
     metadata = F.create_map(
         F.lit("outcome"), "outcome", F.lit("scenario_type"), "scenario_type", F.lit("action_type"), "action_type"

@@ -1,26 +1,27 @@
-"""Labelled dataset: overlay faults, label times, split at a cutoff, write tables and metadata."""
+"""Labelled dataset from telemetry and its scenarios: label times, split at a cutoff, write tables and metadata."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickwarden.operators.datasets import overlay
+from tickwarden.operators.datasets import covered
 from tickwarden.operators.intervals import label_times
-from tickwarden.operators.reshape import split_at
+from tickwarden.operators.reshape import split_at, to_long
 from tickwarden.sources.io import scenario_document, write_document, write_splits
 
 
-def labelled(wide: DataFrame, scenarios: DataFrame, links: DataFrame, cutoff, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(telemetry with faults and split, ground truth per time, scenarios with split)."""
-    telemetry = split_at(overlay(wide, scenarios, links, seed).drop("overlaid"), "timestamp", cutoff)
+def labelled(wide: DataFrame, scenarios: DataFrame, cutoff) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(telemetry with split, ground truth per time, scenarios with split)."""
     truth = label_times(wide.select(F.col("timestamp").alias("ts")), scenarios)
-    return telemetry, truth, split_at(scenarios, "start_time", cutoff)
+    return split_at(wide, "timestamp", cutoff), truth, split_at(scenarios, "start_time", cutoff)
 
 
-def build(wide: DataFrame, scenarios: DataFrame, links: DataFrame, cutoff, folder: str, seed: int = 42, **facts: int) -> None:
-    """Write telemetry by split, labels and the scenario document under `folder`."""
-    telemetry, truth, placed = labelled(wide, scenarios, links, cutoff, seed)
+def build(wide: DataFrame, scenarios: DataFrame, links: DataFrame, cutoff, folder: str, **facts: int) -> None:
+    """Write telemetry by split, labels, the readings each scenario covers and the scenario document under `folder`."""
+    telemetry, truth, placed = labelled(wide, scenarios, cutoff)
     write_splits(telemetry, f"{folder}/telemetry")
     truth.withColumn("affected_entities", F.to_json("affected_entities")).write.parquet(f"{folder}/ground_truth")
-    write_document(scenario_document(placed, seed=seed, **facts), f"{folder}/scenarios")
+    long = to_long(wide).withColumn("seq", F.unix_micros("ts"))
+    covered(long, scenarios, links).write.parquet(f"{folder}/covered")
+    write_document(scenario_document(placed, **facts), f"{folder}/scenarios")
