@@ -41,7 +41,7 @@ def test_worked_safety_examples(spark, nodes, links):
     assert out["B"]["violations"] == ["max_link_utilization", "no_cascading_overload"] and "BLOCKED" in out["B"]["proof"]
     assert out["C"]["is_safe"] and out["E"]["is_safe"]
     assert out["D"]["violations"] == ["customer_isolation", "rollback_path_exists"]
-    worst = {r["action_id"]: (r["worst_link"], r["worst_util"]) for r in S.worst_link(given, spare=1).collect()}
+    worst = {r["action_id"]: (r["worst_link"], r["worst_util"]) for r in S.worst_link(given).collect()}
     assert worst["B"] == ("AGG2-CR1", 91.0) and worst["E"] == ("AGG1-CR1", 82.0) and worst["C"] == ("AGG2-CR1", 70.0)
 
 

@@ -138,3 +138,25 @@ def test_customer_impact_counts_a_node_once(spark, nodes):
     regions = TP.target_regions(rows, nodes, "key")
     actions = spark.createDataFrame([("h",), ("g",)], "key string")
     assert [r["key"] for r in TP.not_blocked(actions, regions, ["west"], "key").collect()] == ["h"]
+
+
+def test_second_paths_against_search(spark):
+    import random
+
+    from tickwarden.operators.paths import second_paths
+
+    rnd = random.Random(4)
+    edges = sorted({tuple(sorted(rnd.sample(range(14), 2))) for _ in range(17)}) + [(20 + i, 20 + (i + 1) % 9) for i in range(9)] + [(30, 31)]
+    links = spark.createDataFrame([(f"{a}-{b}", str(a), str(b)) for a, b in edges], "link_id string, source string, target string")
+
+    def around(link, limit):
+        a, b = link
+        seen, front = {a}, {a}
+        for _ in range(limit):
+            front = {y for x in front for p in edges if p != link and x in p for y in p} - seen
+            seen |= front
+        return b in seen
+
+    for limit, kinds in ((2, 1), (6, 2), (8, 2)):
+        got = {r["link_id"]: r["second"] for r in second_paths(links, limit).collect()}
+        assert got == {f"{a}-{b}": around((a, b), limit) for a, b in edges} and len(set(got.values())) == kinds

@@ -224,6 +224,38 @@ SELECT action_id, round(worst, 3) AS worst_util FROM netw"""))(
 )
 
 
+def rule_verdicts(actions, links, rules, history=None):
+    given = S.SafetyInput(actions, None, None, None, links, history)
+    return S.verify(given, rules).select("action_id", "is_safe", F.array_join("violations", ",").alias("violations"))
+
+
+@query("rate_limit_verdicts", sql("utel", """
+SELECT 'E' || e.seq AS action_id, count(p.ts) < 3 AS is_safe, CASE WHEN count(p.ts) < 3 THEN '' ELSE 'rate_limit_cap' END AS violations
+FROM (SELECT * FROM utel WHERE metric = 'packet_loss_pct') e LEFT JOIN (SELECT ts FROM utel WHERE metric <> 'packet_loss_pct') p
+ON p.ts <= e.ts AND p.ts >= e.ts - INTERVAL 10 MINUTE GROUP BY e.seq"""))
+def rate_limit_verdicts(spark, d):
+    """An action at every error, with all other events as the actions executed before it."""
+    rows = T.user_telemetry(spark, d)
+    actions = rows.where("metric = 'packet_loss_pct'").select(
+        F.concat(F.lit("E"), "seq").alias("action_id"), "ts", F.lit("rate_limit").alias("action_type"), F.lit(None).cast("string").alias("target_link"),
+        F.col("entity_id").alias("target_node"), F.lit(None).cast("map<string,string>").alias("parameters"))
+    return rule_verdicts(actions, None, {"rate_limit_cap": S.rate_limit_cap}, rows.where("metric <> 'packet_loss_pct'").select("ts"))
+
+
+@query("rollback_verdicts", sql("links", """
+WITH arcs AS (SELECT link_id, source AS a, target AS b FROM links UNION ALL SELECT link_id, target, source FROM links),
+walk AS (SELECT link_id, source AS node, target, 0 AS hop FROM links
+  UNION SELECT w.link_id, a.b, w.target, w.hop + 1 FROM walk w JOIN arcs a ON a.a = w.node AND a.link_id <> w.link_id WHERE w.hop < 6 AND w.node <> w.target)
+SELECT 'R/' || link_id AS action_id, bool_or(node = target) AS is_safe, CASE WHEN bool_or(node = target) THEN '' ELSE 'rollback_path_exists' END AS violations FROM walk GROUP BY 1""", recursive=True))
+def rollback_verdicts(spark, d):
+    """Taking each link of the network away: safe where its ends stay joined within six hops."""
+    links = cut(T.links(spark, d))
+    actions = links.select(
+        F.concat(F.lit("R/"), "link_id").alias("action_id"), F.lit("config_rollback").alias("action_type"), F.col("link_id").alias("target_link"),
+        F.lit(None).cast("string").alias("target_node"), F.lit(None).cast("map<string,string>").alias("parameters"))
+    return rule_verdicts(actions, links, {"rollback_path_exists": S.rollback_path_exists})
+
+
 @query("verdict_proofs")
 def verdict_proofs(spark, d):
     return S.explain(S.verify(safety_input(spark, d)))

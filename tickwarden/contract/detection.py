@@ -267,8 +267,9 @@ def rolling_forecasts(spark, d):
 
 @query("linear_forecast")
 def linear_forecast(spark, d):
-    long = T.telemetry(spark, d)
-    series = long.select("ts", F.lit("network").alias("entity_id"), "metric", "value", "seq")
+    """One forecast per nation's link metric: the user links of a nation are read as one series, long enough to learn from."""
+    long = T.telemetry(spark, d).where("entity_type = 'link'")
+    series = long.select("ts", F.substring_index("entity_id", "-", 1).alias("entity_id"), "metric", "value", "seq")
     return FC.forecast_linear(series, FC.fit_linear(series)).select(
         "entity_id", "metric", "peak", "will_congest", "minutes_until", "confidence", "uncertainty", "high_uncertainty"
     )

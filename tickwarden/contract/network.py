@@ -345,14 +345,20 @@ RANKED = """SELECT incident_id, rank::INT AS rank, candidate AS root_cause, roun
   SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY round(score, 9) DESC, candidate) AS rank FROM score) WHERE rank <= 5"""
 
 
+# Incidents without a candidate: their most severe anomaly, the first on a tie.
+FALLBACK = f"""
+UNION ALL SELECT incident_id, 1, b, 0.42::DOUBLE, 1 FROM (
+  SELECT s.scenario_id AS incident_id, max_by(t.entity_id || '_' || {SHORT.format('t.metric')}, {{'r': {RANK.format('t.severity')}, 't': -epoch_us(t.ts), 's': -t.seq}}) AS b
+  FROM scen s JOIN thr t ON t.ts >= s.start_time AND t.ts <= s.end_time GROUP BY 1) WHERE incident_id NOT IN (SELECT incident_id FROM score)"""
+
+
 def ranked(spark, d, observed):
     rows = C.root_causes(incidents(spark, d), graph(spark, d), allow_observed_roots=observed)
-    return rows.where("description NOT LIKE 'No upstream%'").select(
-        "incident_id", "rank", "root_cause", "confidence", F.size("evidence").cast("long").alias("explained"))
+    return rows.select("incident_id", "rank", "root_cause", "confidence", F.size("evidence").cast("long").alias("explained"))
 
 
-query("root_cause_rank", sql("links nodes inc scen thr", f"WITH {SEARCH}, {scored('true')} {RANKED}"))(lambda spark, d: ranked(spark, d, True))
-query("root_cause_parity", sql("links nodes inc scen thr", f"""WITH {SEARCH}, {scored('(r.incident_id, r.node) NOT IN (SELECT incident_id, variable FROM seen)')} {RANKED}"""))(
+query("root_cause_rank", sql("links nodes inc scen thr", f"WITH {SEARCH}, {scored('true')} {RANKED}{FALLBACK}"))(lambda spark, d: ranked(spark, d, True))
+query("root_cause_parity", sql("links nodes inc scen thr", f"""WITH {SEARCH}, {scored('(r.incident_id, r.node) NOT IN (SELECT incident_id, variable FROM seen)')} {RANKED}{FALLBACK}"""))(
     lambda spark, d: ranked(spark, d, False)
 )
 

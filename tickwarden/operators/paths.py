@@ -80,3 +80,30 @@ def path_counts(links: DataFrame, pairs: DataFrame, max_hops: int = 6) -> DataFr
     counted = simple_paths(links, pairs, max_hops).groupBy("source", "target").agg(F.count("*").alias("paths"))
     wanted = pairs.select("source", "target").distinct()
     return wanted.join(counted, ["source", "target"], "left").select("source", "target", F.coalesce("paths", F.lit(0)).alias("paths"))
+
+
+def second_paths(links: DataFrame, max_hops: int = 6) -> DataFrame:
+    """(link_id, second): whether the ends of each link are joined by another path of at most `max_hops` links.
+
+    The shortest way around a link is looked for hop by hop, from one end of each link to the other without the link
+    itself. A (link, node) pair is visited once, so that rows are bounded by links x nodes in reach and no path is written
+    out. A link at a node without another link needs no search.
+    """
+    arcs = cut(links.select("link_id", F.col("source").alias("node"), F.col("target").alias("next")).unionByName(
+        links.select("link_id", F.col("target").alias("node"), F.col("source").alias("next"))))
+    inner = arcs.groupBy("node").agg(F.count_distinct("link_id").alias("d")).where("d > 1").select("node")
+    ends = links.select("link_id", "source", "target")
+    asked = ends.join(inner.withColumnRenamed("node", "source"), "source", "left_semi").join(inner.withColumnRenamed("node", "target"), "target", "left_semi")
+    frontier = cut(asked.select("link_id", "target", F.col("source").alias("node")))
+    steps = arcs.select(F.col("link_id").alias("by"), "node", "next")
+    visited, found = frontier.select("link_id", "node"), None
+    for _ in range(max_hops):
+        grown = frontier.join(steps, "node").where("by <> link_id").select("link_id", "target", F.col("next").alias("node")).distinct()
+        grown = cut(grown.join(visited, ["link_id", "node"], "left_anti"))
+        arrived = grown.where("node = target").select("link_id")
+        found = arrived if found is None else found.unionByName(arrived)
+        frontier = cut(grown.join(arrived, "link_id", "left_anti"))
+        if frontier.isEmpty():
+            break
+        visited = visited.unionByName(frontier.select("link_id", "node"))
+    return ends.select("link_id").join(found.withColumn("second", F.lit(True)), "link_id", "left").select("link_id", F.coalesce("second", F.lit(False)).alias("second"))

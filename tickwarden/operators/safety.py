@@ -11,12 +11,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickwarden.operators.paths import path_counts
+from tickwarden.operators.paths import second_paths
 from tickwarden.operators.series import chunked, hottest, with_position
 from tickwarden.operators.whatif import action_link
+from tickwarden.session import cut
 
 # Limits.
 UTIL_LIMIT, CASCADE_LIMIT = 85.0, 80.0
@@ -128,8 +129,6 @@ def running_sum(
     df: DataFrame, keys: list[str], order: list[str], value: str, name: str, max_rows: int = 200_000, chunk_rows: int = 65_536
 ) -> DataFrame:
     """Running sum per key. Above `max_rows` per key: per-chunk sums, then an offset per chunk."""
-    from pyspark.sql import Window
-
     size = hottest(df, keys)
     if size <= max_rows:
         return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
@@ -179,11 +178,9 @@ def rollback_path_exists(given: SafetyInput) -> DataFrame:
     """Actions that take a link away need two paths between its ends; reroute and rate limit keep the link."""
     keeps = F.col("action_type").isin("reroute", "rate_limit")
     rest = given.actions.where(~keeps & F.col("target_link").isNotNull()).select("action_id", F.col("target_link").alias("link_id"))
-    pairs = rest.join(given.links.select("link_id", "source", "target"), "link_id")
-    counts = path_counts(given.links, pairs.select("source", "target"))
-    counted = pairs.join(counts, ["source", "target"])
-    detail = F.format_string("%s→%s: %d paths", "source", "target", "paths")
-    return counted.select("action_id", (F.col("paths") >= MIN_PATHS).alias("ok"), detail.alias("detail"))
+    ways = rest.join(given.links.select("link_id", "source", "target"), "link_id").join(second_paths(given.links), "link_id")
+    detail = F.format_string("%s→%s: %s", "source", "target", F.when(F.col("second"), "another path remains").otherwise("no other path"))
+    return ways.select("action_id", F.col("second").alias("ok"), detail.alias("detail"))
 
 
 def default_constraints() -> dict[str, Constraint]:
@@ -242,28 +239,25 @@ def explain(verdicts: DataFrame) -> DataFrame:
     return verdicts.select("action_id", F.coalesce("proof", F.lit("No proof available.")).alias("explanation"))
 
 
-def worst_link(given: SafetyInput, spare: int = 64) -> DataFrame:
+def worst_link(given: SafetyInput) -> DataFrame:
     """(action_id, worst_link, worst_util) after each action.
 
-    The network is ranked once; the first ranked link an action does not change competes with the ones it does.
-    The ranking is cut at one more than the most links any action changes (at least `spare`), which cannot hide it.
+    The network is ranked once. The highest rank that an action leaves alone is the first gap in the ranks it changes:
+    sorted, these equal their own places up to there. That one competes with the links it does change.
     """
     changed = _changed(given)
-    most = changed.groupBy("action_id").count().agg(F.max("count").alias("n")).first()["n"] or 0
-    top = _utilization(given).orderBy(F.desc("current"), "link_id").limit(max(int(most) + 1, spare))
-    order = F.array_sort(F.collect_list(F.struct((-F.col("current")).alias("v"), "link_id")))
-    ranked = top.agg(order.alias("r")).scalar()
-    own = changed.groupBy("action_id").agg(
-        F.collect_set("link_id").alias("ids"),
-        F.max(F.struct(F.col("predicted").alias("v"), F.col("link_id"))).alias("own"),
+    ranked = _utilization(given).withColumns({"_all": F.lit(0), "_down": -F.col("current")})
+    ranked = cut(with_position(ranked, ["_all"], ["_down", "link_id"]).select("link_id", "current", "pos"))
+    places = changed.join(ranked.select("link_id", "pos"), "link_id")
+    place = F.row_number().over(Window.partitionBy("action_id").orderBy("pos")) - 1
+    own = places.withColumn("_place", place).groupBy("action_id").agg(
+        F.count_if(F.col("pos") == F.col("_place")).alias("gap"), F.max(F.struct(F.col("predicted").alias("v"), F.col("link_id"))).alias("own"),
     )
-    rows = given.actions.select("action_id").join(own, "action_id", "left")
-    rows = rows.withColumns({"ids": F.coalesce("ids", F.array().cast("array<string>")), "_ranked": ranked})
-    rest = F.try_element_at(F.filter("_ranked", lambda e: ~F.array_contains(F.col("ids"), e["link_id"])), F.lit(1))
-    mine = F.coalesce(F.col("own.v"), F.lit(-1.0)) >= F.coalesce(-rest["v"], F.lit(-1.0))
+    rows = given.actions.select("action_id").join(own, "action_id", "left").withColumn("gap", F.coalesce("gap", F.lit(0)))
+    rest = ranked.select(F.col("pos").alias("gap"), F.col("link_id").alias("_link"), F.col("current").alias("_util"))
+    rows = rows.join(rest, "gap", "left")
+    mine = F.coalesce(F.col("own.v"), F.lit(-1.0)) >= F.coalesce("_util", F.lit(-1.0))
     return rows.select(
-        "action_id", F.when(mine, F.col("own.link_id")).otherwise(rest["link_id"]).alias("worst_link"),
-        F.when(mine, F.col("own.v")).otherwise(-rest["v"]).alias("worst_util"),
+        "action_id", F.when(mine, F.col("own.link_id")).otherwise(F.col("_link")).alias("worst_link"),
+        F.when(mine, F.col("own.v")).otherwise(F.col("_util")).alias("worst_util"),
     )
-
-
