@@ -75,3 +75,22 @@ def test_large_components_stay_exact():
     a = np.array([[2**40 + 1, 3]], dtype=np.int64)
     b = np.array([[2**20 + 1, 5]], dtype=np.int64)
     assert topk.products(a, b)[0, 0] == (2**40 + 1) * (2**20 + 1) + 15
+
+
+def test_many_query_blocks_meet_vector_blocks_by_equality(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    monkeypatch.setattr(topk, "BUCKET", 40)
+    rnd = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rnd.normal(size=6) * rnd.choice([0.05, 1, 8])]) for i in range(4000)]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") >= 0, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    v = np.floor(64 * np.array([r[1] for r in rows])).astype(np.int64)
+    scores = v @ v.T
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for i in range(0, 4000, 37):
+        best = sorted((-int(s), j) for j, s in enumerate(scores[i]) if j != i)[:3]
+        assert got[i] == [(j, -s) for s, j in best]
+    assert len(got) == 4000

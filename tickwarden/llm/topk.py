@@ -14,6 +14,7 @@ from tickwarden.session import cut
 BUCKET = 4096  # vectors in one block of a length bucket, about
 QUERIES = 512  # queries in one block, about
 LENGTHS = 64  # length buckets
+RANGES = 16  # ranges of the length that queries need
 SEEDS = 4096  # longest vectors that give each query its first lower bound
 SLACK = 1e-9  # against rounding in the bounds; products themselves are exact
 COORDINATE_FROM = 0.2  # local cosine from which a coordinate prunes better than length alone
@@ -34,25 +35,39 @@ def quantised(vectors: DataFrame, key: str, vector: str, scale: int = 64) -> Dat
     return rows.select("id", padded.alias("v"), "norm")
 
 
-def _blocks(rows: DataFrame, by: list[str]) -> DataFrame:
-    """One row a block: its ids, its components end to end and its longest length."""
-    got = rows.groupBy(*by).agg(F.collect_list(F.struct("id", "v")).alias("r"), F.max("norm").alias("longest"))
-    return got.select(F.col("r.id").alias("ids"), F.flatten("r.v").alias("flat"), "longest")
-
-
 def _part(count: Column, most: int) -> Column:
     return F.pmod(F.xxhash64("id"), F.ceil(count / F.lit(float(most))).cast("long"))
 
 
-def vector_blocks(rows: DataFrame) -> DataFrame:
-    """Vectors of similar length, in blocks of about BUCKET; many of equal length are dealt out by a hash of the id."""
-    steps = [i / LENGTHS for i in range(1, LENGTHS)]
-    edges = rows.agg(F.percentile_approx("norm", steps, 10000)).first()[0] or []
-    bucket = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e < F.col("norm"))) if edges else F.lit(0)
-    placed = rows.withColumn("bucket", bucket)
-    counts = placed.groupBy("bucket").agg(F.count("*").alias("n"))
-    fine = placed.join(counts, "bucket").withColumn("part", _part(F.col("n"), BUCKET))
-    return _blocks(fine, ["bucket", "part"])
+def _bucket(rows: DataFrame, by: str, buckets: int) -> Column:
+    """Number of the range of `by` that a row falls into, of up to `buckets` that hold about as many rows each."""
+    edges = rows.agg(F.percentile_approx(by, [i / buckets for i in range(1, buckets)], 10000)).first()[0] or []
+    return F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e < F.col(by))) if edges else F.lit(0)
+
+
+def vector_blocks(rows: DataFrame) -> tuple[DataFrame, list[tuple[int, int, float]]]:
+    """(blocks, buckets): vectors of similar length, in blocks of about BUCKET; and each bucket's number, blocks and longest.
+
+    Blocks are keyed by (bucket, part); many vectors of equal length are dealt out by a hash of the id.
+    """
+    placed = rows.withColumn("bucket", _bucket(rows, "norm", LENGTHS))
+    counts = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.max("norm").alias("top"))
+    known = [(r["bucket"], -(-r["n"] // BUCKET), r["top"]) for r in counts.collect()]  # LENGTHS rows at most
+    fine = placed.join(counts.select("bucket", "n"), "bucket").withColumn("part", _part(F.col("n"), BUCKET))
+    got = fine.groupBy("bucket", "part").agg(F.collect_list(F.struct("id", "v")).alias("r"), F.max("norm").alias("longest"))
+    return got.select("bucket", "part", F.col("r.id").alias("ids"), F.flatten("r.v").alias("flat"), "longest"), known
+
+
+def query_blocks(asked: DataFrame) -> DataFrame:
+    """(q_ids, q_flat, bounds, need): queries that need similar lengths, in blocks of about QUERIES.
+
+    A block needs what its least demanding query does, so one such query opens blocks for its like only.
+    """
+    placed = asked.withColumn("range", _bucket(asked, "need", RANGES))
+    counts = placed.groupBy("range").agg(F.count("*").alias("n"))
+    fine = placed.join(counts, "range").withColumn("part", _part(F.col("n"), QUERIES))
+    got = fine.groupBy("range", "part").agg(F.collect_list(F.struct("id", "v", "bound")).alias("r"), F.min("need").alias("need"))
+    return got.select(F.col("r.id").alias("q_ids"), F.flatten("r.v").alias("q_flat"), F.col("r.bound").alias("bounds"), "need")
 
 
 def _matrix(ids: pa.ListScalar, flat: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +138,7 @@ def search_block(q_ids, q, bounds, v_ids, v, k: int) -> Iterator[tuple[int, np.n
 def top_k(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that `queries` (a condition on `id`) holds for, its k best others.
 
-    Every query block meets every vector block whose length can still reach the bound of one of its queries. Within a
+    Every query block meets the vector blocks whose length can still reach the bound of one of its queries. Within a
     pair, a query's bound becomes a cosine that the block's longest vector would need: above 1 the block is out; a low
     one prunes by length alone; else the feasible range of the query's largest coordinate picks the candidates. All
     candidates get their exact product, so pruning never changes a result. First bounds come from the SEEDS longest
@@ -135,9 +150,6 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id",
     """
     spark = vectors.sparkSession
     rows = cut(quantised(vectors, key, vector, scale))
-    asked = rows.filter(queries)
-    n = asked.count()
-    q_blocks = _blocks(asked.withColumn("part", _part(F.lit(max(n, 1)), QUERIES)), ["part"])
     seeds = rows.orderBy(F.col("norm").desc(), "id").limit(SEEDS).select("id", "v").collect()
     seed_ids = np.array([r["id"] for r in seeds], dtype=np.int64)
     seed_rows = np.array([r["v"] for r in seeds], dtype=np.int64).reshape(len(seeds), len(seeds[0]["v"]) if seeds else 0)
@@ -146,8 +158,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id",
     def first_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, seeds_ = sent.value
         for batch in batches:
-            for r in range(batch.num_rows):
-                q_ids, q = _matrix(batch.column("ids")[r], batch.column("flat")[r])
+            for at in range(0, batch.num_rows, QUERIES):
+                part = batch.slice(at, QUERIES)
+                q_ids = part.column("id").to_numpy()
+                q = part.column("v").flatten().to_numpy().reshape(len(q_ids), -1)
                 scores = products(q, seeds_)
                 bounds = np.full(len(q), -np.inf)
                 for i in range(len(q)):
@@ -157,12 +171,15 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id",
                 q_len = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
                 with np.errstate(divide="ignore", invalid="ignore"):
                     need = np.where((bounds > 0) & (q_len > 0), bounds / q_len * (1 - SLACK), -1.0)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("ids").slice(r, 1), batch.column("flat").slice(r, 1), pa.array([bounds]), pa.array([float(need.min(initial=np.inf))])],
-                    names=["q_ids", "q_flat", "bounds", "need"])
-
-    bounded = cut(q_blocks.mapInArrow(first_bounds, "q_ids array<long>, q_flat array<long>, bounds array<double>, need double"))
-    pairs = bounded.join(cut(vector_blocks(rows)), F.col("need") <= F.col("longest"))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(bounds), pa.array(need)], names=["id", "v", "bound", "need"])
+
+    asked = rows.filter(queries).select("id", "v").mapInArrow(first_bounds, "id long, v array<long>, bound double, need double")
+    blocks, known = vector_blocks(rows)
+    buckets = F.array(*[F.struct(F.lit(n).alias("bucket"), F.lit(parts).alias("parts"), F.lit(top).alias("top")) for n, parts, top in known or [(0, 1, 0.0)]])
+    # Each query block names the vector blocks of all buckets that reach its need, and meets them by equality.
+    near = query_blocks(cut(asked)).withColumn("_b", F.explode(F.filter(buckets, lambda e: e["top"] >= F.col("need"))))
+    near = near.select("*", F.col("_b.bucket").alias("bucket"), F.explode(F.sequence(F.lit(0), F.col("_b.parts") - 1)).alias("part")).drop("_b")
+    pairs = near.join(cut(blocks), ["bucket", "part"]).filter(F.col("need") <= F.col("longest"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
