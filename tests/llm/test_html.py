@@ -80,3 +80,11 @@ def test_gradients_match_differences():
         down, _ = model.step(x, n, y)
         values[at] = kept
         assert abs((up - down) / 2e-4 - grad[name][at]) < 1e-3 * max(1.0, abs(grad[name][at]))
+
+
+def test_all_words_of_a_long_block_count():
+    words = [f"w{i}" for i in range(3000)]
+    page = lambda w: html.blocks("<p>" + " ".join(w) + "</p>")
+    one, other = html.vectors(page(words)), html.vectors(page(words[:2000] + ["tail"] * 1000))
+    share = slice(html.PATHS, html.PATHS + html.WORDS)
+    assert abs(one[0, share].sum() - 3000 / 3001) < 1e-4 and not np.allclose(one[0, share], other[0, share])

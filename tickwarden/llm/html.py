@@ -5,8 +5,10 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,6 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|
 PATHS, WORDS, EXTRA = 512, 64, 4
 WIDTH = PATHS + WORDS + EXTRA
 HIDDEN = 16
-READ = 64  # words of a block that its vector reads; its text stays whole
 
 
 @dataclass
@@ -138,6 +139,11 @@ def _slot(token: str, width: int) -> int:
     return zlib.crc32(token.encode("utf-8", "replace")) % width
 
 
+@lru_cache(1 << 17)
+def _word_slot(word: str) -> int:
+    return _slot(word, WORDS)
+
+
 _slots: dict[str, int] = {}
 
 
@@ -152,9 +158,10 @@ def vectors(page: list[Block]) -> np.ndarray:
                     _slots.clear()
                 _slots[t] = _slot(t, PATHS)
             x[i, _slots[t]] = 1.0
-        words = b.text[:16 * READ].lower().split()[:READ]
-        for w in words:
-            x[i, PATHS + _slot(w, WORDS)] += 1.0 / (1 + len(words))
+        words = Counter(b.text.lower().split())
+        share = 1.0 / (1 + words.total())
+        for w, n in words.items():
+            x[i, PATHS + (_word_slot(w) if len(w) < 64 else _slot(w, WORDS))] += n * share
         x[i, -EXTRA:] = np.log1p(len(b.text)) / 8, b.linked / len(b.text), i / len(page), 1.0
     return x
 
@@ -338,7 +345,7 @@ class Labeller:
 
 
 def fit(pages: DataFrame, key: str = "page_id", html: str = "html", rows: int = 400, variants: int = 8) -> Labeller:
-    """Train on a bounded sample of pages: `rows` pages of up to 60,000 characters, as they are and varied.
+    """Train on a bounded sample of pages: `rows` pages of up to 60,000 characters and 200 blocks, as they are and varied.
 
     Pages have no labels. Those with an article or main element are labelled by it; then their elements get other tags
     and names and more side matter is mixed in, so that the network must go by names, words and neighbours. Without such
