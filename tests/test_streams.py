@@ -1,5 +1,7 @@
 import json
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tests.conftest import minute
@@ -68,3 +70,37 @@ def test_logs_prune_by_day(spark, tmp_path):
     io.append_log(rows, str(tmp_path / "log"))
     assert io.read_log(spark, str(tmp_path / "log")).count() == 4
     assert io.read_log(spark, str(tmp_path / "log"), "2024-01-02").agg(F.min("n"), F.count("*")).first()[:] == (2, 2)
+
+
+def test_lost_job_and_dead_letters_neither_lose_nor_double_rows(spark, tmp_path):
+    rows = [(minute(i), f"E{i % 3}", "node", "cpu_pct", float(i), i) for i in range(24)]
+    stream = feed(spark, rows, LONG, str(tmp_path / "in"), files=4)
+    table, other, state = (str(tmp_path / n) for n in ("table", "other", "state"))
+    lost, dead = [], str(tmp_path / "dead")
+
+    def run(body, checkpoint):
+        stream.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+    def dies_after_writing(batch, number):
+        io.batch_table(table)(batch, number)
+        if number == 1 and not lost:
+            lost.append(number)
+            raise RuntimeError("lost")
+
+    with pytest.raises(StreamingQueryException):
+        run(io.fan_out({"table": dies_after_writing}), state)
+    run(io.fan_out({"table": dies_after_writing}), state)
+    assert lost == [1]
+    assert sorted(r["seq"] for r in spark.read.parquet(table).collect()) == list(range(24))
+
+    def refuses(batch, number):
+        if number in (1, 2):
+            raise RuntimeError("refused")
+        io.batch_table(other)(batch, number)
+
+    run(io.fan_out({"other": refuses}, dead_letters=dead), str(tmp_path / "again"))
+    assert spark.read.parquet(other).count() < 24
+    for _ in range(2):
+        assert io.feed_again(spark, dead, "other", io.batch_table(other)) == [1, 2]
+    back = spark.read.parquet(other)
+    assert sorted(r["seq"] for r in back.collect()) == list(range(24)) and back.columns == [*stream.columns, "batch"]

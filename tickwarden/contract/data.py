@@ -95,6 +95,58 @@ SELECT entity_id, metric, epoch_us(ts) AS ts_us FROM ens WHERE confidence > 0.9
 )
 
 
+def event_rows(events):
+    """Events as readings of the user they belong to."""
+    return events.select(
+        F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("U"), F.col("user_id")).alias("entity_id"),
+        F.when(F.col("event_type") == "signup", "node").otherwise("link").alias("entity_type"),
+        I.lookup(T.EVENT_METRIC, F.col("event_type")).alias("metric"), "value", F.col("event_id").alias("seq"),
+    )
+
+
+query("validate_anomaly_records", sql("ens", """
+SELECT * FROM (SELECT 'confidence' AS reason, count(*) FILTER (observed / 300.0::DOUBLE > 1) AS n FROM ens
+UNION ALL SELECT 'target', count(*) FILTER (expected > 100) FROM ens) WHERE n > 0"""))(
+    lambda spark, d: broken(Q.validate(
+        ensemble_rows(spark, d).withColumns({
+            "node_id": F.when((F.col("expected") <= 100) & ~I.is_link(F.col("entity_id")), F.col("entity_id")),
+            "link_id": F.when((F.col("expected") <= 100) & I.is_link(F.col("entity_id")), F.col("entity_id")),
+            "confidence": F.col("observed") / 300.0}), Q.anomaly_rules()))
+)
+
+
+@query("sanitised_snapshots", sql("utel", """
+SELECT epoch_us(ts) AS ts_us, entity_id, entity_type, metric, value FROM utel WHERE value BETWEEN 5 AND 400"""))
+def sanitised_snapshots(spark, d):
+    """Snapshots with an unknown metric; times above 400 cannot be read, values below 5 are no numbers."""
+    rows = event_rows(T.table(spark, d, "events"))
+    text = F.when(F.col("value") > 400, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    metrics = F.create_map("metric", F.when(F.col("value") < 5, float("nan")).otherwise(F.col("value")), F.lit("colour"), F.lit(1.0))
+    side = lambda kind: F.when(F.col("entity_type") == kind, F.create_map("entity_id", metrics)).alias(kind + "s")
+    return Q.sanitize(rows.select(text.alias("timestamp"), side("node"), side("link"))).select(micros(), "entity_id", "entity_type", "metric", "value")
+
+
+@query("baseline_from_csv", sql("utel", "SELECT epoch_us(ts) AS ts_us, entity_id, entity_type, metric, value FROM utel"))
+def baseline_from_csv(spark, d):
+    """Flat telemetry written as CSV, read back, accepted as a baseline and taken apart into readings."""
+    rows = event_rows(T.table(spark, d, "events"))
+    wide = rows.select(F.col("ts").alias("timestamp"), "entity_id", "entity_type", *[F.when(F.col("metric") == m, F.col("value")).alias(m) for m in METRICS])
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    io.write_telemetry(wide, path)
+    return R.to_long(Q.check_baseline(io.read_telemetry(spark, path, "csv"))).select(micros(), "entity_id", "entity_type", "metric", "value")
+
+
+@query("audit_log", sql("thr", """
+SELECT epoch_us(ts) AS ts_us, entity_id, metric, severity FROM thr WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-21'"""))
+def audit_log(spark, d):
+    """Anomalies appended to a log in two runs; sixteen days are read."""
+    path = f"{shared_dir(spark)}/audit-{uuid.uuid4().hex}"
+    rows = cut(threshold_rows(spark, d))
+    for part in ("severity = 'critical'", "severity <> 'critical'"):
+        io.append_log(rows.where(part), path)
+    return io.read_log(spark, path, "2024-01-05", "2024-01-20").select(micros(), "entity_id", "metric", "severity")
+
+
 def order_actions(spark, d):
     return T.table(spark, d, "orders").select(
         F.concat(F.lit("A"), "o_orderkey").alias("action_id"), I.lookup(T.PRIORITY_ACTION, F.col("o_orderpriority")).alias("action_type"),
@@ -424,11 +476,7 @@ def event_stream(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return events.select(
-        F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("U"), F.col("user_id")).alias("entity_id"),
-        F.when(F.col("event_type") == "signup", "node").otherwise("link").alias("entity_type"),
-        I.lookup(T.EVENT_METRIC, F.col("event_type")).alias("metric"), "value", F.col("event_id").alias("seq"),
-    ).withWatermark("ts", SP.WATERMARK)
+    return event_rows(events).withWatermark("ts", SP.WATERMARK)
 
 
 STREAM_EWMA = sql("utel", """
@@ -531,6 +579,16 @@ def arriving_stream(spark, d):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(folder).withWatermark("ts", "2 days")
 
 
+@query("stream_delivery", sql("arr", "SELECT seq, entity_id, metric, value FROM arr"))
+def stream_delivery(spark, d):
+    """All arrivals, late and repeated ones too, kept by batch number."""
+    folder = f"{shared_dir(spark)}/delivery-{uuid.uuid4().hex}"
+    body = io.fan_out({"table": io.batch_table(f"{folder}/table")})
+    writer = arriving_stream(spark, d).writeStream.foreachBatch(body).option("checkpointLocation", f"{folder}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/table").select("seq", "entity_id", "metric", "value")
+
+
 @query("stream_late", sql("arr marks", """
 SELECT seq, epoch_us(ts) <= mark * 1000 AS late, count(*) AS copies FROM arr JOIN marks USING (batch) GROUP BY ALL"""))
 def stream_late(spark, d):

@@ -30,6 +30,12 @@ def read_telemetry(spark: SparkSession, path: str, form: str = "parquet") -> Dat
     return reader.option("header", True).csv(path) if form == "csv" else reader.parquet(path)
 
 
+def write_telemetry(wide: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Flat telemetry as CSV with a header, columns as `read_telemetry` expects them, times to the microsecond."""
+    rows = wide.select(*[F.col(f.name) if f.name in wide.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TELEMETRY_WIDE])
+    rows.write.mode(mode).option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").csv(path)
+
+
 def read_scenarios(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """Scenario rows of a nested metadata document, optionally of one split."""
     doc = spark.read.schema(_SCENARIO_DOC).option("multiLine", True).json(path)
@@ -154,6 +160,27 @@ def fan_out(
     return run
 
 
+def batch_table(folder: str) -> Callable[[DataFrame, int], None]:
+    """A sink for `fan_out`: every batch is a part of the table under its number.
+
+    A batch that runs again, after a lost job or out of the dead letters, replaces what it wrote before, so that no row
+    is lost or doubled. Read the folder as Parquet; `batch` is a column of it.
+    """
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return sink
+
+
+def feed_again(spark: SparkSession, dead_letters: str, name: str, sink: Callable[[DataFrame, int], None]) -> list[int]:
+    """Feed a sink the batches it could not take, oldest first; returns their numbers. Only numbers reach the driver."""
+    kept = spark.read.option("basePath", dead_letters).parquet(f"{dead_letters}/sink={name}")
+    numbers = [r["batch"] for r in kept.select("batch").distinct().orderBy("batch").collect()]
+    for number in numbers:
+        sink(kept.where(F.col("batch") == number).drop("sink", "batch"), number)
+    return numbers
+
+
 def report_lines(report: DataFrame) -> DataFrame:
     """Readable lines of a one-row evaluation report."""
     pct = lambda c: F.coalesce(F.format_string("%.1f%%", F.col(c) * 100), F.lit("—"))
