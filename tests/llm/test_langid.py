@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import random
 
-import numpy as np
 
 from tickwarden.llm import langid
 
@@ -44,32 +43,72 @@ def test_nothing_learned_and_no_rows(spark):
 
 
 def brute_phrases(sample, text):
-    """Greedy phrases by substring search, the blocks of a text apart."""
-    count = 0
-    for at in range(0, len(text), langid.BLOCK):
-        block, i = text[at:at + langid.BLOCK], 0
-        while i < len(block):
-            n = 0
-            while i + n < len(block) and block[i:i + n + 1] in sample:
-                n += 1
-            i += max(1, n)
-            count += 1
+    """Greedy phrases by substring search in the whole text."""
+    count, i = 0, 0
+    while i < len(text):
+        n = 0
+        while i + n < len(text) and text[i:i + n + 1] in sample:
+            n += 1
+        i += max(1, n)
+        count += 1
     return count
 
 
-def test_phrases_match_substring_search():
+def costs(model, texts):
+    """Phrases of each text, read through the batches of the model."""
+    seen = {}
+    parse = model._parse
+
+    def kept(whole, owner, totals, states, goes_on):
+        seen["totals"] = totals
+        return parse(whole, owner, totals, states, goes_on)
+
+    model._parse = kept
+    list(model.predict(texts))
+    return seen["totals"][0].astype(int).tolist()
+
+
+def cleaned(text, kinds):
+    return "".join(map(chr, langid.plain(text, kinds)))
+
+
+def test_phrases_match_substring_search(monkeypatch):
+    monkeypatch.setattr(langid, "LANES", 7)  # texts go on in the next batch of blocks
     rnd = random.Random(9)
     kinds = langid._letters()
-    sample = "".join(rnd.choice("abcd ") for _ in range(400))
-    language = langid.Language("x", sample, kinds)
-    plain = "".join(map(chr, langid.plain(sample, kinds)))
+    sample = "".join(rnd.choice("abcd ") for _ in range(3000))
+    model = langid.Model((("x", sample),))
+    texts = ["".join(rnd.choice("abcde ") for _ in range(n)) + "a" for n in (0, 4, 300, 510, 511, 512, 1500, 9000, 40)]
+    texts += [sample[100:2900], sample + sample[::-1] + sample, "ab cd " * 1500, "a" * 3000, sample[5:600] + "é" + sample[7:1200]]
+    assert costs(model, texts) == [brute_phrases(cleaned(sample, kinds), cleaned(t, kinds)) for t in texts]
+    assert costs(model, [sample[100:2900]])[0] == 1  # one phrase over six blocks
+
+
+def test_all_letters_of_a_large_script_are_told_apart():
+    rnd = random.Random(4)
+    kinds = langid._letters()
+    letters = [chr(0x4E00 + i) for i in range(3000)] + list("ab ")
+    sample = "".join(rnd.choice(letters) for _ in range(9000))
     model = langid.Model((("x", sample),))
-    for n in (1, 5, 300, 511, 512, 513, 1500):
-        t = "".join(map(chr, langid.plain("".join(rnd.choice("abcde ") for _ in range(n)) + "a", kinds)))
-        totals, blocks = np.zeros((1, 1)), [langid.points(t)[k:k + langid.BLOCK] for k in range(0, len(t), langid.BLOCK)]
-        model._parse(blocks, [0] * len(blocks), totals)
-        assert totals[0, 0] == brute_phrases(plain, t)
-    assert language.length == len(plain)
+    texts = [sample[k:k + 40] + "".join(rnd.choice(letters) for _ in range(30)) + sample[k // 2:k // 2 + 700] for k in range(0, 8000, 400)]
+    texts += ["".join(rnd.choice(letters) for _ in range(1300)), chr(0x9000) * 5 + sample[:20]]
+    assert costs(model, texts) == [brute_phrases(cleaned(sample, kinds), cleaned(t, kinds)) for t in texts]
+
+
+def test_two_languages_of_one_large_script(spark):
+    rnd = random.Random(8)
+    words = {k: ["".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(2)) for _ in range(400)] for k in ("one", "two")}
+    rows = [(i, "".join(rnd.choice(words[k]) for _ in range(30)), k, "", 0) for i in range(160) for k in [("one", "two")[i % 2]]]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = langid.identify(df, langid.fit(langid.training_rows(df))).select("row.lang", "lang_pred").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.98 * len(got)
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    rnd = random.Random(3)
+    df = spark.createDataFrame([(i, text(rnd, lang, 9000 if lang == "aa" else 40), lang, "", 0) for i in range(12) for lang in ("aa", "bb")], SCHEMA)
+    samples = langid.fit(langid.training_rows(df))
+    assert [s[0] for s in samples] == ["aa", "bb"] and all(len(s[1]) > 500 for s in samples)
 
 
 def test_automaton_reads_exactly_the_substrings():

@@ -19,8 +19,9 @@ from tickwarden.llm.words import fold
 
 SAMPLE = 30_000  # characters of labelled text a language
 TOTAL = 240_000  # characters of all languages together; with more languages each gets less
-ALPHABET = 64  # codes a language tells apart: 0 for what is no letter, 1 for letters not among its most frequent
-BLOCK = 512  # no phrase runs across the border of two blocks of a text
+LONGEST = 3_000  # of one labelled text; longer ones give a piece
+DENSE = 64  # codes with a column of the table: 0 for what is no letter, 1 for letters that the sample lacks, 62 letters
+BLOCK = 512  # characters of a text that one lane parses
 LANES = 2048  # blocks parsed side by side
 PHRASE = 1 << 29  # added to a table entry for each phrase that ends there
 UNKNOWN = "und"
@@ -83,39 +84,93 @@ def automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 class Language:
-    """Codes of the characters, and one table that says for (state, code) where to go on and whether a phrase ended."""
+    """Codes of the sample's letters, and where each state of its automaton goes on, with a mark for phrases that end.
+
+    The most frequent letters have columns in a table; the moves of all others are sorted by (state, code).
+    """
 
     def __init__(self, name: str, text: str, kinds: np.ndarray) -> None:
         p = plain(text, kinds)
-        common = [c for c, _ in sorted(Counter(p[p != 32].tolist()).items(), key=lambda x: (-x[1], x[0]))[:ALPHABET - 2]]
+        letters = [c for c, _ in sorted(Counter(p[p != 32].tolist()).items(), key=lambda x: (-x[1], x[0]))]
         self.name, self.length = name, max(2, len(p))
-        self.codes = np.where(kinds > 0, 1, 0).astype(np.uint8)
-        self.codes[common] = np.arange(2, 2 + len(common), dtype=np.uint8)
+        self.codes = np.where(kinds > 0, 1, 0).astype(np.uint16)
+        self.codes[letters] = np.arange(2, 2 + len(letters), dtype=np.uint16)
         move = automaton(self.codes[p].tolist())
-        start = np.full(ALPHABET, 2 * PHRASE, dtype=np.int32)  # the phrase so far, and a letter that is one by itself
+        start = np.full(DENSE, 2 * PHRASE, dtype=np.int32)  # the phrase so far, and a letter that is one by itself
+        self.alone = np.zeros(2 + len(letters), dtype=np.int32)
         for c, to in move[0].items():
-            if c != 1:  # letters it does not know never match
-                start[c] = PHRASE + to * ALPHABET
+            self.alone[c] = to * DENSE
+            if c < DENSE:
+                start[c] = PHRASE + to * DENSE
         table = np.tile(start, (len(move), 1))
         table[0] -= PHRASE  # there is no phrase yet
+        far = []
         for state, moves in enumerate(move):
             for c, to in moves.items():
-                if c != 1:
-                    table[state, c] = to * ALPHABET
+                if c < DENSE:
+                    table[state, c] = to * DENSE
+                else:
+                    far.append((state * DENSE << 16 | c, to * DENSE))
         self.table = table.ravel()
-
-    def phrases(self, blocks: np.ndarray, active: np.ndarray) -> np.ndarray:
-        """Phrases of each column of `blocks` (step, lane); at step t only the first active[t] lanes still have text."""
-        state = np.zeros(blocks.shape[1], dtype=np.int32)
-        count = np.zeros(blocks.shape[1], dtype=np.int32)
+        self.far, self.far_to = np.array(sorted(far), dtype=np.int64).reshape(-1, 2).T.copy()
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Where each lane goes from its state with its code, plus PHRASE for each phrase that ends there."""
+        if not len(self.far):
+            return self.table.take(state + code)
+        far = np.flatnonzero(code >= DENSE)
+        went = self.table.take(state + np.where(code < DENSE, code, 1))
+        if len(far):
+            s, c = state[far], code[far]
+            keys = s.astype(np.int64) << 16 | c
+            at = np.minimum(np.searchsorted(self.far, keys), len(self.far) - 1)
+            went[far] = np.where(self.far[at] == keys, self.far_to[at], self.alone[c] + np.where(s > 0, PHRASE, 0))
+        return went
+
+    def phrases(self, blocks: np.ndarray, active: np.ndarray, lengths: np.ndarray, lane: np.ndarray, joined: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases that end inside, state at the end) of each block of whole texts, parsed as if they were not cut.
+
+        `blocks` is (step, lane); at step t only the first active[t] lanes still have text; block k is in lane[k] and
+        goes on where block k - 1 ends if joined[k]; block 0 starts in state `first`. All blocks are parsed from the empty state at
+        first. Then each joined one is parsed again from the state in which the block before it ends, until it meets the
+        first parse, from where both agree; blocks after one that ends otherwise than before take another turn.
+        """
         codes = self.codes[blocks]
+        state = np.zeros(blocks.shape[1], dtype=np.int32)
+        state[lane[0]] = first
+        count = np.zeros(blocks.shape[1], dtype=np.int16)
+        states, counts = np.zeros(blocks.shape, dtype=np.int32), np.zeros(blocks.shape, dtype=np.int16)
         for t, n in enumerate(active):
             if n == 0:
                 break
-            went = self.table.take(state[:n] + codes[t, :n])
-            count[:n] += went >> 29
-            state[:n] = went & (PHRASE - 1)
-        return count + (state > 0)
+            went = self.step(state[:n], codes[t, :n])
+            count[:n] += (went >> 29).astype(np.int16)
+            np.bitwise_and(went, PHRASE - 1, out=state[:n])
+            states[t, :n], counts[t, :n] = state[:n], count[:n]
+        whole, end = count[lane].astype(np.int64), state[lane]
+        plain_whole, plain_end = whole.copy(), end.copy()
+        todo = np.flatnonzero(joined)
+        todo = todo[end[todo - 1] > 0]
+        while len(todo):
+            before = end[todo].copy()
+            live, s, n = todo, end[todo - 1], np.zeros(len(todo), dtype=np.int64)
+            for t in range(BLOCK):
+                at = lane[live]
+                went = self.step(s, codes[t, at])
+                n, s = n + (went >> 29), went & (PHRASE - 1)
+                met, over = s == states[t, at], lengths[live] == t + 1
+                done = met | over
+                if done.any():
+                    who = live[done]
+                    whole[who] = np.where(met[done], n[done] + plain_whole[who] - counts[t, at[done]], n[done])
+                    end[who] = np.where(met[done], plain_end[who], s[done])
+                    live, s, n = live[~done], s[~done], n[~done]
+                    if not len(live):
+                        break
+            after = todo[end[todo] != before] + 1
+            after = after[after < len(lane)]
+            todo = after[joined[after]]
+        return whole, end
 
 
 class Model:
@@ -126,9 +181,10 @@ class Model:
     def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
         """(language, score) of each text; texts are parsed some LANES blocks at a time."""
         found: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
-        whole, owner, waiting = [], [], 0
+        whole, owner = [], []
         totals = np.zeros((len(self.languages), len(texts)))
         sizes = np.zeros(len(texts))
+        states = [0] * len(self.languages)
         for i, t in enumerate(texts):
             if t and (self.kinds[points(t)] == 2).any():
                 p = plain(t, self.kinds)
@@ -136,12 +192,11 @@ class Model:
                 for at in range(0, len(p), BLOCK):
                     whole.append(p[at:at + BLOCK])
                     owner.append(i)
-                    waiting += 1
-                    if waiting >= LANES:
-                        self._parse(whole, owner, totals)
-                        whole, owner, waiting = [], [], 0
-        if waiting:
-            self._parse(whole, owner, totals)
+                    if len(whole) == LANES:
+                        states = self._parse(whole, owner, totals, states, at + BLOCK < len(p))
+                        whole, owner = [], []
+        if whole:
+            self._parse(whole, owner, totals, states, False)
         if not self.languages:
             return iter(found)
         bits = np.array([math.log2(x.length) for x in self.languages])[:, None]
@@ -153,17 +208,27 @@ class Model:
             found[i] = self.languages[order[0]].name, float(second / (best + second))
         return iter(found)
 
-    def _parse(self, whole: list[np.ndarray], owner: list[int], totals: np.ndarray) -> None:
+    def _parse(self, whole: list[np.ndarray], owner: list[int], totals: np.ndarray, states: list[int], goes_on: bool) -> list[int]:
+        """Add the phrases of the blocks to `totals`; `states` are those before the first block, the result those after
+        the last one where its text goes on, else 0."""
         lengths = np.array([len(w) for w in whole])
         order = np.argsort(-lengths, kind="stable")
+        lane = np.empty_like(order)
+        lane[order] = np.arange(len(order))
         blocks = np.zeros((len(whole), BLOCK), dtype="<u4")
-        for lane, k in enumerate(order):
-            blocks[lane, :lengths[k]] = whole[k]
+        for k, w in enumerate(whole):
+            blocks[lane[k], :lengths[k]] = w
         blocks = np.ascontiguousarray(blocks.T)
         active = np.searchsorted(-lengths[order], -np.arange(BLOCK), side="left")
-        who = np.array(owner)[order]
+        who = np.array(owner)
+        joined = np.r_[False, who[1:] == who[:-1]]
+        last = np.r_[~joined[1:], not goes_on]
+        after = []
         for n, language in enumerate(self.languages):
-            totals[n] += np.bincount(who, weights=language.phrases(blocks, active), minlength=totals.shape[1])
+            count, end = language.phrases(blocks, active, lengths, lane, joined, states[n])
+            totals[n] += np.bincount(who, weights=count + (last & (end > 0)), minlength=totals.shape[1])
+            after.append(int(end[-1]) if goes_on else 0)
+        return after
 
 
 _models: dict[int, Model] = {}
@@ -179,9 +244,12 @@ def model(samples: tuple[tuple[str, str], ...]) -> Model:
 
 
 def fit(labelled: DataFrame) -> tuple[tuple[str, str], ...]:
-    """(language, sample text) in order, from (label, key, text): SAMPLE characters a language, TOTAL in all."""
+    """(language, sample text) in order, from (label, key, text): SAMPLE characters a language, TOTAL in all.
+
+    Texts of more than LONGEST characters give a piece of that length, so a language of long texts only is learned too.
+    """
     got: dict[str, str] = {}
-    for label, _, text in sample(labelled.filter("label is not null"), None, rows=400, characters=SAMPLE, longest=SAMPLE):
+    for label, _, text in sample(labelled.filter("label is not null"), None, rows=400, characters=SAMPLE, longest=LONGEST, pieces=True):
         got[label] = got.get(label, "") + text + "\n"
     most = min(SAMPLE, TOTAL // max(1, len(got)))
     return tuple((name, got[name][:most]) for name in sorted(got))

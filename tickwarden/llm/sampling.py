@@ -2,30 +2,64 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SALT = 20
+SPARE = 4  # times the rows wanted that the cut by hash leaves of a large label, on average
+
 
+def _cuts(sizes: dict[object, int], most: int) -> list[tuple[object, int]]:
+    """(label, highest hash) such that about SPARE * most rows of each label stay below; all of a label of fewer rows."""
+    return [(label, -(1 << 63) + min((1 << 64) - 1, (SPARE * most << 64) // n)) for label, n in sizes.items()]
 
-def sample(texts: DataFrame, labels: DataFrame | None, rows: int, characters: int, longest: int) -> list[tuple[object, object, str]]:
+
+def sample(
+    texts: DataFrame, labels: DataFrame | None, rows: int, characters: int, longest: int, pieces: bool = False
+) -> list[tuple[object, object, str]]:
     """(label, key, text) of up to `rows` different texts a label, in the order of a hash of the key.
 
-    `texts` has key and text, `labels` key and label; without `labels`, `texts` has the label itself. Texts longer than
-    `longest` characters and null or empty ones are left out of the sample; a label's texts stop once `characters` are
-    reached. So at most labels * (characters + longest) characters reach the driver, however large the table is. Only
-    keys, hashes and lengths are joined and ranked; texts follow for the chosen ones. Equal texts count once. The order
-    does not depend on partitioning.
+    `texts` has key and text, `labels` key and label; without `labels`, `texts` has the label itself. Null and empty texts
+    are left out; texts longer than `longest` characters are too, or with `pieces` give that many characters from a place
+    that the hash of the key names. A label's texts stop once `characters` are reached. So at most labels * (characters +
+    longest) characters reach the driver, however large the table is. Equal texts count once. The order does not depend on
+    partitioning.
+
+    Only keys, hashes and lengths are joined and ranked; texts follow for the chosen ones. Labels are counted first, and
+    of a large one only rows of low hashes are ranked, so no task gets a whole label. Should too few of them have a text,
+    that label is ranked in full: the sample is the same with and without the cut.
     """
+    order = F.xxhash64(F.lit(SALT), F.col("key").cast("string"))
+    if pieces:
+        place = F.pmod(order, F.greatest(F.length("text") - longest, F.lit(0)) + 1) + 1
+        texts = texts.withColumn("text", F.col("text").substr(place.cast("int"), F.lit(longest)))
     usable = texts.filter((F.length("text") > 0) & (F.length("text") <= longest))
-    order = F.xxhash64(F.lit(SALT), F.col("key").cast("string")).alias("at")
-    marks = [F.col("key"), F.xxhash64("text").alias("h"), F.length("text").alias("n"), order]
-    slim = usable.select("label", *marks) if labels is None else usable.select(*marks).join(labels, "key")
-    first = Window.partitionBy("label").orderBy("at", "h")
-    # Twice the rows leave room for copies; the rank limit is applied before the shuffle.
-    ranked = slim.filter(F.col("label").isNotNull()).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= 2 * rows)
+    marks = [F.xxhash64("text").alias("h"), F.length("text").alias("n"), order.alias("at")]
+    most = 2 * rows  # leaves room for copies
+    marked = texts if labels is None else labels
+    sizes = {r["label"]: r["count"] for r in marked.filter("label is not null").groupBy("label").count().collect()}
+    if not sizes:
+        return []
+
+    def first(cuts: list[tuple[object, int]]) -> list:
+        known = texts.sparkSession.createDataFrame(cuts, f"label {marked.schema['label'].dataType.simpleString()}, highest long")
+        low = order <= F.col("highest")
+        if labels is None:
+            slim = usable.join(F.broadcast(known), "label").filter(low).select("label", "key", *marks)
+        else:
+            slim = usable.select("key", *marks).join(labels.join(F.broadcast(known), "label").filter(low).select("key", "label"), "key")
+        place = F.row_number().over(Window.partitionBy("label").orderBy("at", "h"))
+        return slim.withColumn("r", place).filter(F.col("r") <= most).collect()
+
+    ranked = first(_cuts(sizes, most))
+    got = Counter(r["label"] for r in ranked)
+    short = {label for label, n in sizes.items() if n > SPARE * most and got[label] < most}
+    if short:
+        ranked = [r for r in ranked if r["label"] not in short] + first([(label, (1 << 63) - 1) for label in short])
     chosen, used, count = {}, {}, {}
-    for row in sorted(ranked.collect(), key=lambda r: (str(r["label"]), r["r"])):
+    for row in sorted(ranked, key=lambda r: (str(r["label"]), r["r"])):
         label, mark = row["label"], (row["label"], row["h"])
         if mark in chosen or used.get(label, 0) >= characters or count.get(label, 0) >= rows:
             continue
