@@ -157,6 +157,29 @@ def test_linear_forecast_learns_a_ramp(long_rows):
     assert row["uncertainty"] < 0.3 and not row["high_uncertainty"]
 
 
+def test_series_forecasts_match_least_squares_of_each_series(long_rows):
+    rng = np.random.default_rng(3)
+    lags, ahead, strength = 3, 2, 5.0
+    values = {f"L{k}": (50 + rng.normal(0, 5, n).cumsum()).tolist() for k, n in enumerate((40, 25, 4, 2))}
+    values["FLAT"] = [7.0] * 12
+    long = long_rows({(e, "link", "utilization_pct"): v for e, v in values.items()}).repartition(5)
+    sums = FC.series_sums(long, lags=lags, ahead=ahead)
+    got = {r["entity_id"]: r for r in FC.forecast_series(long, sums, lags=lags, ahead=ahead, strength=strength).collect()}
+    assert set(got) == {"L0", "L1", "L2", "FLAT"}  # L3 is shorter than the lags
+
+    def scaled(v):
+        return (np.array(v) - min(v)) / ((max(v) - min(v)) or 1.0)
+
+    z = {e: np.array([[1, *scaled(v)[i:i + lags + ahead]] for i in range(len(v) - lags - ahead + 1)]).reshape(-1, 1 + lags + ahead) for e, v in values.items()}
+    every = np.concatenate(list(z.values()))
+    for e, row in got.items():
+        s = z[e].T @ z[e] + strength * every.T @ every / len(every)
+        fitted = np.linalg.solve(s[:1 + lags, :1 + lags] + 1e-3 * np.eye(1 + lags), s[:1 + lags, 1 + lags:])
+        want = np.r_[1, scaled(values[e])[-lags:]] @ fitted * ((max(values[e]) - min(values[e])) or 1.0) + min(values[e])
+        assert row["predictions"] == pytest.approx(want.tolist(), abs=2e-4) and row["windows"] == len(z[e])
+    assert FC.forecast_series(long.limit(0), FC.series_sums(long.limit(0), lags=2), lags=2).count() == 0
+
+
 def test_forest_flags_outliers_and_ignores_partitioning(long_rows):
     rng = np.random.default_rng(5)
     values = rng.normal(50, 3, 2000).tolist() + [200.0, -100.0]

@@ -505,7 +505,16 @@ def stream_history(spark, d):
     return rows.select("entity_id", "metric", newest_first).withColumn("place", F.col("place") + 1)
 
 
-@query("stream_rate_limit")
+RATE_LIMIT = sql("utel", """
+WITH one AS (SELECT entity_id AS scope, list({'id': seq, 't': epoch_us(ts)} ORDER BY ts, seq) AS acts,
+       list_reduce(list({'t': epoch_us(ts), 'taken': [epoch_us(ts)], 'said': [true]} ORDER BY ts, seq), lambda a, x: {
+         't': x.t, 'taken': CASE WHEN len(list_filter(a.taken, lambda v: v >= x.t - 36000000000)) < 3 THEN list_append(a.taken, x.t) ELSE a.taken END,
+         'said': list_append(a.said, len(list_filter(a.taken, lambda v: v >= x.t - 36000000000)) < 3)}).said AS said
+     FROM utel WHERE metric = 'throughput_gbps' GROUP BY 1)
+SELECT act.id AS action_id, act.t AS ts_us, scope, accepted FROM (SELECT scope, unnest(acts) AS act, unnest(said) AS accepted FROM one)""")
+
+
+@query("stream_rate_limit", RATE_LIMIT)
 def stream_rate_limit(spark, d):
     """Purchases are actions on a user; at most three per user in ten hours are accepted."""
     actions = event_stream(spark, d).where("metric = 'throughput_gbps'").select(F.col("seq").alias("action_id"), "ts", F.col("entity_id").alias("scope"))

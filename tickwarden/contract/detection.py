@@ -259,7 +259,16 @@ def priority_merge(spark, d):
     return D.merge_predicted(ensemble_rows(spark, d).select(names), predicted, ["entity_id", "metric"]).drop("seq")
 
 
-@query("rolling_forecasts")
+EVERY = """
+SELECT entity_id, metric, ts, list(value) OVER (PARTITION BY entity_id, metric ORDER BY ts, seq ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS vals FROM tel
+  WHERE metric IN ('utilization_pct', 'cpu_pct', 'memory_pct', 'temperature_c')"""
+ROLLING = f"""
+SELECT epoch_us(ts) AS ts_us, entity_id, metric, round(peak, 6) AS observed, lim AS expected, confidence,
+       CASE WHEN peak / lim >= 1.25 THEN 'critical' WHEN peak / lim >= 1.1 THEN 'high' ELSE 'medium' END AS severity
+FROM ({CONF.replace(LAST, EVERY)}) WHERE minutes IS NOT NULL"""
+
+
+@query("rolling_forecasts", sql("tel", ROLLING))
 def rolling_forecasts(spark, d):
     """Predicted anomalies at every reading, from the 60 readings up to it."""
     return shown(rolling_predictions(T.telemetry(spark, d)))
@@ -275,6 +284,31 @@ def linear_forecast(spark, d):
     )
 
 
+AHEAD = 3
+SERIES_FORECAST = f"""
+WITH s AS (SELECT entity_id, metric, ts, seq, min(value) OVER k AS lo, max(value) OVER k - min(value) OVER k AS span, value FROM tel WINDOW k AS (PARTITION BY entity_id, metric)),
+z AS (SELECT *, (value - lo) / CASE WHEN span = 0 THEN 1.0::DOUBLE ELSE span END AS x FROM s),
+w AS (SELECT *, {", ".join(f"lead(x, {h}) OVER o AS y{h}" for h in range(1, AHEAD + 1))}, row_number() OVER (PARTITION BY entity_id, metric ORDER BY ts DESC, seq DESC) AS newest
+      FROM z WINDOW o AS (PARTITION BY entity_id, metric ORDER BY ts, seq)),
+own AS (SELECT entity_id, metric, count(*)::DOUBLE AS n, sum(x) AS sx, sum(x * x) AS sxx, {", ".join(f"sum(y{h}) AS b{h}, sum(x * y{h}) AS c{h}" for h in range(1, AHEAD + 1))}
+        FROM w WHERE y{AHEAD} IS NOT NULL GROUP BY ALL),
+pool AS (SELECT 30.0::DOUBLE / sum(n) AS k, sum(sx) AS psx, sum(sxx) AS psxx, {", ".join(f"sum(b{h}) AS p{h}, sum(c{h}) AS q{h}" for h in range(1, AHEAD + 1))} FROM own),
+a AS (SELECT w.entity_id, w.metric, w.x, w.lo, CASE WHEN w.span = 0 THEN 1.0::DOUBLE ELSE w.span END AS span, CASE w.metric WHEN 'cpu_pct' THEN 90.0::DOUBLE ELSE 85.0::DOUBLE END AS lim,
+             coalesce(own.n, 0) AS windows, coalesce(own.n, 0) + 30.001::DOUBLE AS a0, coalesce(sx, 0) + k * psx AS a1, coalesce(sxx, 0) + k * psxx + 0.001::DOUBLE AS a2,
+             {", ".join(f"coalesce(b{h}, 0) + k * p{h} AS d{h}, coalesce(c{h}, 0) + k * q{h} AS e{h}" for h in range(1, AHEAD + 1))}
+      FROM w LEFT JOIN own USING (entity_id, metric), pool WHERE newest = 1),
+f AS (SELECT *, [{", ".join(f"round(((d{h} * a2 - e{h} * a1) + (a0 * e{h} - a1 * d{h}) * x) / (a0 * a2 - a1 * a1) * span + lo, 4)" for h in range(1, AHEAD + 1))}] AS p FROM a)
+SELECT entity_id, metric, windows::BIGINT AS windows, round(list_max(p), 3) AS peak, list_max(p) >= lim AS will_congest FROM f"""
+
+
+@query("series_forecast", sql("tel", SERIES_FORECAST))
+def series_forecast(spark, d):
+    """A forecast of the next readings of every entity's metric, each by its own fit shrunk towards the common one."""
+    long = T.telemetry(spark, d)
+    sums = FC.series_sums(long, lags=1, ahead=AHEAD)
+    return FC.forecast_series(long, sums, lags=1, ahead=AHEAD).select("entity_id", "metric", "windows", F.round("peak", 3).alias("peak"), "will_congest")
+
+
 @query("iforest_scores")
 def iforest_scores(spark, d):
     long = T.telemetry(spark, d)
