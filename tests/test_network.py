@@ -86,6 +86,31 @@ def test_union_edges(spark):
     assert out == {"a": (0.7, "both"), "b": (0.5, "structural"), "c": (0.5, "structural"), "d": (0.9, "learned")}
 
 
+def test_clique_pairs_are_written_once_and_not_shuffled(spark, nodes, links, graph, monkeypatch):
+    hubs = C.structural_graph(nodes, links, max_degree=2).cut()
+    show = lambda rows: sorted(tuple(r) for r in rows.select("src", "dst", "strength", "edge_type").collect())
+    assert hubs.cliques is not None and show(hubs.all_edges()) == show(graph.all_edges())
+    monkeypatch.setattr(C, "PAIRS_PER_TASK", 5)
+    twice = C.CausalGraph(hubs.edges, hubs.cliques.unionByName(hubs.cliques))
+    assert show(twice.all_edges()) == show(graph.all_edges())
+    # Two members that share both their hubs are one pair; blocks of a hub are met by all its members.
+    cliques = spark.createDataFrame([("a", "x"), ("b", "x"), ("a", "y"), ("b", "y"), ("c", "y"), ("d", "y")], "member string, hub string")
+    pairs = sorted(tuple(r) for r in C.clique_pairs(cliques, 3).collect())
+    assert pairs == sorted((p, q) for p in "abcd" for q in "abcd" if p != q)
+    plan = C.clique_pairs(cliques, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+
+
+def test_union_graph_is_the_union_of_edges(spark, nodes, links, graph):
+    hubs = C.structural_graph(nodes, links, max_degree=2)
+    learned = spark.createDataFrame([
+        ("CR1-CR2_utilization", "AGG1-CR1_utilization", 0.7), ("AGG1-CR1_utilization", "AGG2-CR1_utilization", 0.3),
+        ("CR1_cpu", "CR1_temperature", 0.9), ("CR1_memory", "CR2_memory", 0.8),
+    ], "src string, dst string, strength double")
+    show = lambda rows: sorted(tuple(r) for r in rows.select("src", "dst", "strength", "edge_type").collect())
+    assert show(C.union_graph(hubs, learned).all_edges()) == show(C.union_edges(graph.edges, learned))
+
+
 def brute_paths(links, source, target, most):
     near = {}
     for r in links:
