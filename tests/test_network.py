@@ -70,6 +70,30 @@ def test_root_cause_modes(spark, graph):
     assert C.top_hypotheses(C.root_causes(rows, graph)).where("incident_id = 'i'").count() == 3
 
 
+def test_leaves_of_a_hub_share_one_candidate(spark):
+    ends = [("H", f"U{i}") for i in range(12)] + [("H", "K"), ("K", "V0"), ("K", "V1"), ("K", "V2"), ("K", "V3")]
+    links = spark.createDataFrame([("-".join(sorted(e)), *e, 1.0, 1.0) for e in ends], "link_id string, source string, target string, capacity_gbps double, latency_baseline_ms double")
+    nodes = spark.createDataFrame([(n, "edge") for n in sorted({n for e in ends for n in e})], "node_id string, node_type string")
+    rows = anomalies(spark, [
+        (i, minute(t), f"H-U{u}", m, 9.0, 1.0, "high", 0.7, t * 100 + u)
+        for i, t, u, m in [("i", 0, 0, "latency_ms"), ("i", 1, 1, "utilization_pct"), ("i", 2, 3, "packet_loss_pct"), ("j", 0, 2, "utilization_pct"), ("j", 3, 2, "latency_ms")]
+    ] + [("j", minute(1), "K-V0", "latency_ms", 9.0, 1.0, "high", 0.7, 7)])
+    whole, hubs = (C.structural_graph(nodes, links, max_degree=n) for n in (100, 2))
+    seen = C.observed_variables(rows).cache()
+    reach = C.reachable(seen, hubs)
+    every = C.reachable(seen, whole).rows.count()
+    assert reach.rows.count() < every and reach.leaves.count() == 16
+    show = lambda g: sorted(str(r) for r in C.root_causes(rows, g, top=14).collect())
+    assert show(whole) == show(hubs)
+
+
+def test_siblings_that_share_both_ends_come_once(spark):
+    links = spark.createDataFrame([("p", "A", "B"), ("q", "A", "B"), ("q", "A", "B"), ("r", "B", "C"), ("s", "D", "D")], "link_id string, source string, target string")
+    rows = TP.sibling_links(spark.createDataFrame([("p",), ("p",), ("s",)], "link_id string"), links)
+    assert sorted(tuple(r) for r in rows.collect()) == [("p", "q"), ("p", "r")]
+    assert "Aggregate" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_lagged_edges(spark):
     rows = [("lead", t, float((t * 7) % 11)) for t in range(60)] + [("follow", t + 2, float((t * 7) % 11) * 2 + 1) for t in range(60)] + [("flat", t, 1.0) for t in range(60)]
     grid = spark.createDataFrame(rows, "variable string, t bigint, value double")
@@ -86,11 +110,10 @@ def test_union_edges(spark):
     assert out == {"a": (0.7, "both"), "b": (0.5, "structural"), "c": (0.5, "structural"), "d": (0.9, "learned")}
 
 
-def test_clique_pairs_are_written_once_and_not_shuffled(spark, nodes, links, graph, monkeypatch):
+def test_clique_pairs_are_written_once_and_not_shuffled(spark, nodes, links, graph):
     hubs = C.structural_graph(nodes, links, max_degree=2).cut()
     show = lambda rows: sorted(tuple(r) for r in rows.select("src", "dst", "strength", "edge_type").collect())
     assert hubs.cliques is not None and show(hubs.all_edges()) == show(graph.all_edges())
-    monkeypatch.setattr(C, "PAIRS_PER_TASK", 5)
     twice = C.CausalGraph(hubs.edges, hubs.cliques.unionByName(hubs.cliques))
     assert show(twice.all_edges()) == show(graph.all_edges())
     # Two members that share both their hubs are one pair; blocks of a hub are met by all its members.
