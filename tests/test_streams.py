@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tests.conftest import minute
 from tickwarden.operators import detect as D
 from tickwarden.sources import io
+from tickwarden.streaming import observe as SO
 from tickwarden.streaming import processors as SP
 from tickwarden.streaming.cycle import drain, start_observer
 
@@ -104,3 +105,21 @@ def test_lost_job_and_dead_letters_neither_lose_nor_double_rows(spark, tmp_path)
         assert io.feed_again(spark, dead, "other", io.batch_table(other)) == [1, 2]
     back = spark.read.parquet(other)
     assert sorted(r["seq"] for r in back.collect()) == list(range(24)) and back.columns == [*stream.columns, "batch"]
+
+
+def test_stateful_steps_are_called_per_share_not_per_key(spark, tmp_path):
+    rows = [(minute(m), f"E{i}", "node", "cpu_pct", float(i + m), 1000 * m + i) for m in range(3) for i in range(300)]
+    rows += [(minute(60), "END", "node", "cpu_pct", 1.0, 99999)]
+    stream = feed(spark, rows, LONG, str(tmp_path / "in"))
+    cycles = stream.withColumns({"cycle": F.floor(F.unix_seconds("ts") / 60), "severity": F.lit("high"), "confidence": F.col("value") / 1000})
+    for name, work in {
+        "late": lambda n: SP.mark_late(stream, n_shares=n),
+        "lifecycle": lambda n: SP.stream_lifecycle(cycles.drop("value", "entity_type"), n_shares=n),
+        "closed": lambda n: SO.closed_readings(stream, n_shares=n).drop("history"),
+    }.items():
+        query = work(4).writeStream.format("noop").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        query.awaitTermination()
+        held = max([op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]])
+        assert held <= 4, name
+        few, many = (sorted(map(tuple, drain(work(n), str(tmp_path / f"{name}{n}")).collect())) for n in (1, 4096))
+        assert few == many and len(few) >= 900

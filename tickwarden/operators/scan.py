@@ -13,7 +13,8 @@ def affine_scan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """
     a, b, step = a.copy(), b.copy(), 1
     while step < len(b) and a.any():
-        b[step:] = a[step:] * b[:-step] + b[step:]
+        # Where a is 0, nothing comes over, not even a value that is no number.
+        b[step:] = np.where(a[step:] == 0.0, b[step:], a[step:] * b[:-step] + b[step:])
         a[step:] = a[step:] * a[:-step]
         a[:step] = 0.0
         step *= 2
@@ -26,19 +27,29 @@ def ewma_before(x: np.ndarray, fresh: np.ndarray, alpha: float, mean: float = 0.
     `fresh` marks the first value of a series, which is its own mean. A first series that is not fresh goes on from
     `mean` and `var`.
     """
-    keep, known = 1.0 - alpha, ~fresh
-    a = np.where(fresh, 0.0, keep)
-    b = np.where(fresh, x, alpha * x)
-    if len(x) and known[0]:
-        a[0], b[0] = 0.0, b[0] + keep * mean
-    after = affine_scan(a, b)
-    before = np.concatenate([[mean], after[:-1]])
+    if not len(x):
+        return x.copy(), x.copy(), (mean, var)
+    goes_on = np.zeros(len(x), dtype=bool)
+    goes_on[0] = not fresh[0]
+    before, spread_before, after, spread = ewma_of_series(x, fresh, goes_on, np.full(len(x), mean), np.full(len(x), var), alpha)
+    return before, spread_before, (float(after[-1]), float(spread[-1]))
+
+
+def ewma_of_series(
+    x: np.ndarray, fresh: np.ndarray, goes_on: np.ndarray, mean: np.ndarray, var: np.ndarray, alpha: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentially weighted mean and variance before each value, then both after it, of series one behind the other.
+
+    `fresh` marks the first value of a new series, which is its own mean, `goes_on` the first one of a series that goes on
+    from the `mean` and `var` at that place.
+    """
+    keep, first = 1.0 - alpha, fresh | goes_on
+    a = np.where(first, 0.0, keep)
+    after = affine_scan(a, np.where(fresh, x, np.where(goes_on, alpha * x + keep * mean, alpha * x)))
+    before = np.where(goes_on, mean, np.roll(after, 1))
     before[fresh] = x[fresh]
-    a = np.where(fresh, 0.0, keep)
-    b = keep * alpha * (x - before) ** 2
-    if len(x) and known[0]:
-        a[0], b[0] = 0.0, b[0] + keep * var
-    spread = affine_scan(a, b)
-    spread_before = np.concatenate([[var], spread[:-1]])
+    own = keep * alpha * (x - before) ** 2
+    spread = affine_scan(a, np.where(goes_on, own + keep * var, own))
+    spread_before = np.where(goes_on, var, np.roll(spread, 1))
     spread_before[fresh] = 0.0
-    return before, spread_before, (float(after[-1]), float(spread[-1])) if len(x) else (mean, var)
+    return before, spread_before, after, spread

@@ -11,78 +11,97 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickwarden.operators import detect as D
-from tickwarden.operators.scan import ewma_before
+from tickwarden.operators.scan import ewma_of_series
 from tickwarden.plans.observer import ObserverModel, detections
 from tickwarden.session import cut
-from tickwarden.streaming.processors import late
+from tickwarden.streaming.processors import SHARES, late, shares
 
 HISTORY = 60
 READING = "ts timestamp, entity_id string, entity_type string, metric string, value double, seq bigint"
 
 
-def closed_readings(long: DataFrame, start: DataFrame | None = None, span: int = 20, keep: int = HISTORY, period_seconds: int = 60) -> DataFrame:
+def closed_readings(
+    long: DataFrame, start: DataFrame | None = None, span: int = 20, keep: int = HISTORY, period_seconds: int = 60, n_shares: int = SHARES
+) -> DataFrame:
     """Readings of closed cycles with the moving average before them and their last `keep` values.
 
     `long`: a watermarked stream of telemetry. A cycle is closed once the watermark has reached its end; until then its
     readings wait in the state, so that their order of arrival does not matter. Readings that arrive behind the watermark
     are left out (`mark_late` gives them), repeated ones (same time and sequence) count once. A series' state is its
-    count, mean and variance, `keep` values and the readings of open cycles.
+    count, mean and variance, `keep` values and the readings of open cycles; series are kept and read share by share.
 
     `start`: (entity_id, metric, n, mean, variance, values) of series that a baseline has already shown; its rows are
     joined to the readings, and count only when a series has no state yet.
     """
     alpha, period = 2.0 / (span + 1), period_seconds * 1000
+    # Per series, then the series' values one behind the other, then the waiting readings with their series' number.
+    fields = {"n": "i8", "mean": "f8", "variance": "f8", "sizes": "i8", "ring": "f8", "ids": "i8", "at": "i8", "seq": "i8", "value": "f8"}
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         mark = state.getCurrentWatermarkMs()
-        n, mean, var, ring, kind = 0, 0.0, 0.0, [], None
-        at, seq, value = (np.zeros(0, t) for t in ("i8", "i8", "f8"))
-        if state.exists:
-            n, mean, var, ring, kind, *waiting = state.get
-            at, seq, value = (np.array(w, dtype=t) for w, t in zip(waiting, ("i8", "i8", "f8")))
-        if not state.hasTimedOut:
-            for rows in batches:
-                if kind is None:
-                    kind, first = rows["entity_type"].iloc[0], rows.iloc[0]
-                    if not pd.isna(first["n"]):
-                        n, mean, var, ring = int(first["n"]), float(first["mean"]), float(first["variance"]), np.asarray(first["values"], dtype=float).tolist()
-                us = rows["us"].to_numpy()
-                fine = ~late(us, mark)
-                at = np.concatenate([at, us[fine]])
-                seq = np.concatenate([seq, rows["seq"].to_numpy()[fine]])
-                value = np.concatenate([value, rows["value"].to_numpy()[fine]])
-        order = np.lexsort((seq, at))
-        at, seq, value = at[order], seq[order], value[order]
+        entities, metrics, kinds, *held = state.get if state.exists else ((),) * (3 + len(fields))
+        names, kinds = list(zip(entities, metrics)), list(kinds)
+        n, mean, var, sizes, ring, ids, at, seq, value = (np.array(v, dtype=t) for v, t in zip(held, fields.values()))
+        index = {name: i for i, name in enumerate(names)}
+        for rows in () if state.hasTimedOut else batches:
+            own = np.fromiter((index.setdefault(k, len(index)) for k in zip(rows["entity_id"], rows["metric"])), np.int64, len(rows))
+            unseen = np.flatnonzero(own >= len(names))
+            first = rows.iloc[unseen[np.unique(own[unseen], return_index=True)[1]]]
+            names += zip(first["entity_id"], first["metric"])
+            kinds += first["entity_type"].tolist()
+            shown = [np.zeros(0) if pd.isna(c) else np.asarray(v, dtype=float) for c, v in zip(first["n"], first["values"])]
+            n = np.concatenate([n, first["n"].fillna(0).to_numpy("i8")])
+            mean, var = (np.concatenate([old, first[c].fillna(0.0).to_numpy("f8")]) for old, c in ((mean, "mean"), (var, "variance")))
+            sizes, ring = np.concatenate([sizes, np.array([len(v) for v in shown], dtype="i8")]), np.concatenate([ring, *shown])
+            us = rows["us"].to_numpy()
+            fine = ~late(us, mark)
+            ids, at, value = (np.concatenate([old, new[fine]]) for old, new in ((ids, own), (at, us), (value, rows["value"].to_numpy())))
+            seq = np.concatenate([seq, rows["seq"].to_numpy()[fine]])
+        order = np.lexsort((seq, at, ids))
+        ids, at, seq, value = ids[order], at[order], seq[order], value[order]
         new = np.ones(len(at), dtype=bool)
-        new[1:] = (at[1:] != at[:-1]) | (seq[1:] != seq[:-1])
-        at, seq, value = at[new], seq[new], value[new]
-        closed = int(np.searchsorted(at // (1000 * period), mark // period))
-        x = value[:closed]
-        if closed:
-            fresh = np.zeros(closed, dtype=bool)
-            fresh[0] = n == 0
-            means, spreads, (mean, var) = ewma_before(x, fresh, alpha, mean, var)
-            values = [*ring, *x.tolist()]
-            held = len(ring)
+        new[1:] = (ids[1:] != ids[:-1]) | (at[1:] != at[:-1]) | (seq[1:] != seq[:-1])
+        closed = new & (at // (1000 * period) < mark // period)
+        own, x = ids[closed], value[closed]
+        # Each series' kept values and its closed readings behind them.
+        owner = np.concatenate([np.repeat(np.arange(len(names)), sizes), own])
+        by = np.argsort(owner, kind="stable")
+        owner, values = owner[by], np.concatenate([ring, x])[by]
+        came = np.bincount(own, minlength=len(names))
+        ends = np.cumsum(sizes + came)
+        if len(x):
+            begins, stops = np.ones(len(x), dtype=bool), np.ones(len(x), dtype=bool)
+            begins[1:] = stops[:-1] = own[1:] != own[:-1]
+            place = np.arange(len(x)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+            known = n[own] > 0
+            means, spreads, after, spread = ewma_of_series(x, begins & ~known, begins & known, mean[own], var[own], alpha)
+            to = ends[own] - came[own] + place + 1
+            since = np.maximum(ends[own] - came[own] - sizes[own], to - keep)
             yield pd.DataFrame({
-                "us": at[:closed], "entity_id": key[0], "entity_type": kind, "metric": key[1], "value": x, "seq": seq[:closed],
-                "n_before": np.arange(n, n + closed), "mean_before": means, "var_before": spreads,
-                "history": [values[max(0, i - keep + 1):i + 1] for i in range(held, held + closed)],
+                "us": at[closed], "entity_id": [names[i][0] for i in own], "entity_type": [kinds[i] for i in own], "metric": [names[i][1] for i in own],
+                "value": x, "seq": seq[closed], "n_before": n[own] + place, "mean_before": means, "var_before": spreads,
+                "history": [values[a:b] for a, b in zip(since, to)],
             })
-            n, ring = n + closed, values[-keep:]
-        at, seq, value = at[closed:], seq[closed:], value[closed:]
-        state.update((n, mean, var, ring, kind, at.tolist(), seq.tolist(), value.tolist()))
+            mean[own[stops]], var[own[stops]] = after[stops], spread[stops]
+        stays = ends[owner] - np.arange(len(owner)) <= keep
+        n, ring, sizes = n + came, values[stays], np.bincount(owner[stays], minlength=len(names))
+        waits = new & ~closed
+        ids, at, seq, value = ids[waits], at[waits], seq[waits], value[waits]
+        state.update((
+            [name[0] for name in names], [name[1] for name in names], kinds, *(v.tolist() for v in (n, mean, var, sizes, ring, ids, at, seq, value))
+        ))
         if len(at):
-            end = (int(at[0]) // (1000 * period) + 1) * period
+            end = (int(at.min()) // (1000 * period) + 1) * period
             state.setTimeoutTimestamp(max(end, mark + 1))
 
     known = "entity_id string, metric string, n bigint, mean double, variance double, values array<double>"
     warm = long.sparkSession.createDataFrame([], known) if start is None else start
     rows = long.join(warm, ["entity_id", "metric"], "left").withColumn("us", F.unix_micros("ts"))
-    out = rows.groupBy("entity_id", "metric").applyInPandasWithState(
+    kept = {"i8": "bigint", "f8": "double"}
+    out = shares(rows, ["entity_id", "metric"], n_shares).groupBy("share").applyInPandasWithState(
         step, "us bigint, entity_id string, entity_type string, metric string, value double, seq bigint, n_before bigint, mean_before double, "
         "var_before double, history array<double>",
-        "n bigint, mean double, variance double, values array<double>, kind string, at array<bigint>, seqs array<bigint>, waiting array<double>",
+        "entities array<string>, metrics array<string>, kinds array<string>, " + ", ".join(f"{c} array<{kept[t]}>" for c, t in fields.items()),
         "append", GroupStateTimeout.EventTimeTimeout,
     )
     return out.select(F.timestamp_micros("us").alias("ts"), "entity_id", "entity_type", "metric", "value", "seq", "n_before", "mean_before", "var_before", "history")

@@ -73,60 +73,76 @@ def stream_history(long: DataFrame, keep: int = 60) -> DataFrame:
 
 
 LEVELS = ("low", "medium", "high", "critical")
+SHARES = 1024  # shares of the keys; each is one group of a stream, whose state holds all series of its share
 
 
-def stream_lifecycle(cycles: DataFrame, period_seconds: int = 60, min_delta: float = 0.05) -> DataFrame:
+def shares(rows: DataFrame, keys: Sequence[str], n: int = SHARES) -> DataFrame:
+    """Rows with the `share` of their key, by hash. A call per share, not per key, sees enough rows to work on arrays."""
+    return rows.withColumn("share", F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int"))
+
+
+def numbered(entities: Sequence, metrics: Sequence) -> tuple[np.ndarray, list]:
+    """The number of each row's series, in order of first appearance, and the series by number."""
+    index: dict = {}
+    ids = np.fromiter((index.setdefault(k, len(index)) for k in zip(entities, metrics)), dtype=np.int64, count=len(entities))
+    return ids, list(index)
+
+
+def stream_lifecycle(cycles: DataFrame, period_seconds: int = 60, min_delta: float = 0.05, n_shares: int = SHARES) -> DataFrame:
     """Open, change, keep and resolve anomalies per (entity, metric).
 
     `cycles`: ts (watermarked), cycle, entity_id, metric, severity, confidence[, seq]; any number of rows a cycle, in any
     order. A cycle is closed once the watermark has passed its end; its strongest row counts, the later one on ties, as
     in `cycle_peaks`. What follows agrees with `emit_changes` and `resolved` on the closed cycles. State holds the open
-    cycles, at most as many as the watermark lags behind, and the last one.
+    cycles, at most as many as the watermark lags behind, and the last one, of all series of a share.
     """
-    names = ["cycle", "severity", "confidence", "seq"]
+    names = ["entity_id", "metric", "cycle", "severity", "confidence", "seq"]
+    kinds = {"cycle": "i8", "confidence": "f8", "seq": "i8"}
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, opened = (None, {})
-        if state.exists:
-            at, severity, confidence, *lists = state.get
-            last = (at, severity, confidence) if at is not None else None
-            opened = {c: (s, f, q) for c, s, f, q in zip(*lists)}
+        mark = state.getCurrentWatermarkMs()
+        passed = mark // (1000 * period_seconds)  # the first cycle that is open
+        held = state.get if state.exists else ([], [], [], [], [], [], [])
+        parts = [pd.DataFrame(dict(zip([*names, "last"], held))).astype({**kinds, "last": bool})]
         if not state.hasTimedOut:
-            for rows in batches:
-                for c, s, f, q in rows[names].itertuples(index=False):
-                    strength = lambda r: (LEVELS.index(r[0]) if r[0] in LEVELS else -1, r[1], r[2])
-                    if c not in opened or strength((s, f, q)) > strength(opened[c]):
-                        opened[int(c)] = (s, float(f), int(q))
-        out, passed = [], state.getCurrentWatermarkMs() // (1000 * period_seconds)  # the first cycle that is open
-        for c in sorted(c for c in opened if c < passed):
-            severity, confidence, _ = opened.pop(c)
-            if last and c > last[0] + 1:
-                out.append((last[0] + 1, last[1], last[2], "resolved"))
-                last = None
-            if not last:
-                change = "new"
-            else:
-                moved = severity != last[1] or round(abs(confidence - last[2]), 6) >= min_delta
-                change = "changed" if moved else "unchanged"
-            out.append((c, severity, confidence, change))
-            last = (c, severity, confidence)
-        if last and last[0] + 1 < passed:
-            out.append((last[0] + 1, last[1], last[2], "resolved"))
-            last = None
-        if last or opened:
-            due = min([*opened, *([last[0] + 1] if last else [])]) + 1
-            held = [*zip(*[(c, *opened[c]) for c in sorted(opened)])] or [(), (), (), ()]
-            state.update((*(last or (None, None, None)), *map(list, held)))
-            state.setTimeoutTimestamp(max(due * period_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+            parts += [pdf[names].astype(kinds).assign(last=False) for pdf in batches]
+        rows = pd.concat([p for p in parts if len(p)] or parts[:1], ignore_index=True)
+        rank = rows["severity"].map({s: i for i, s in enumerate(LEVELS)}).fillna(-1)
+        rows = rows.assign(series=numbered(rows["entity_id"], rows["metric"])[0], rank=rank)
+        # One row per series and cycle, the strongest one.
+        rows = rows.sort_values(["rank", "confidence", "seq"], ascending=False, kind="stable", na_position="last")
+        rows = rows.drop_duplicates(["series", "cycle", "last"]).sort_values(["series", "cycle", "last"], ascending=[True, True, False], kind="stable")
+        rows = rows.reset_index(drop=True)
+        waits = ~rows["last"].to_numpy() & (rows["cycle"].to_numpy() >= passed)
+        done = rows[~waits]
+        series, at, severity, confidence = (done[c].to_numpy() for c in ("series", "cycle", "severity", "confidence"))
+        follows = np.zeros(len(done), dtype=bool)
+        follows[1:] = (series[1:] == series[:-1]) & (at[1:] <= at[:-1] + 1)
+        newest = np.ones(len(done), dtype=bool)
+        newest[:-1] = series[1:] != series[:-1]
+        moved = np.zeros(len(done), dtype=bool)
+        moved[1:] = (severity[1:] != severity[:-1]) | (np.abs(confidence[1:] - confidence[:-1]).round(6) >= min_delta)
+        found = done.assign(change=np.where(follows, np.where(moved, "changed", "unchanged"), "new"))[~done["last"].to_numpy()]
+        ends = np.ones(len(done), dtype=bool)
+        ends[:-1] = ~follows[1:]
+        over = ends & (~newest | (at + 1 < passed))
+        resolved = done[over].assign(change="resolved", cycle=at[over] + 1)
+        kept = pd.concat([done[newest & ~over].assign(last=True), rows[waits]])
+        if len(kept):
+            due = int((kept["cycle"] + np.where(kept["last"], 2, 1)).min())
+            state.update(tuple(kept[c].tolist() for c in [*names, "last"]))
+            state.setTimeoutTimestamp(max(due * period_seconds * 1000, mark + 1))
         elif state.exists:
             state.remove()
-        if out:
-            yield pd.DataFrame([(key[0], key[1], *row) for row in out], columns=["entity_id", "metric", "cycle", "severity", "confidence", "change"])
+        out = pd.concat([found, resolved]) if len(found) and len(resolved) else found if len(found) else resolved
+        if len(out):
+            yield out[["entity_id", "metric", "cycle", "severity", "confidence", "change"]].reset_index(drop=True)
 
     rows = cycles if "seq" in cycles.columns else cycles.withColumn("seq", F.unix_micros("ts"))
-    return rows.groupBy("entity_id", "metric").applyInPandasWithState(
+    return shares(rows, ["entity_id", "metric"], n_shares).groupBy("share").applyInPandasWithState(
         step, "entity_id string, metric string, cycle bigint, severity string, confidence double, change string",
-        "at bigint, severity string, confidence double, cycles array<bigint>, severities array<string>, confidences array<double>, seqs array<bigint>",
+        "entities array<string>, metrics array<string>, cycles array<bigint>, severities array<string>, confidences array<double>, "
+        "seqs array<bigint>, lasts array<boolean>",
         "append", GroupStateTimeout.EventTimeTimeout,
     )
 
@@ -211,11 +227,11 @@ def late(us: np.ndarray, watermark_ms: int) -> np.ndarray:
     return us <= watermark_ms * 1000
 
 
-def mark_late(rows: DataFrame, keys: Sequence[str] = ("entity_id", "metric")) -> DataFrame:
+def mark_late(rows: DataFrame, keys: Sequence[str] = ("entity_id", "metric"), n_shares: int = SHARES) -> DataFrame:
     """All rows of a watermarked stream with `late`: whether the watermark had passed their time when they came.
 
-    Rows of one key are looked at together and nothing is kept. Stateful steps leave exactly the late rows out, so that
-    this is their side output: `late` rows can go to a table of their own.
+    Rows are dealt into shares by their keys, a call each, and nothing is kept. Stateful steps leave exactly the late rows out,
+    so that this is their side output: `late` rows can go to a table of their own.
     """
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", late boolean"
 
@@ -223,10 +239,10 @@ def mark_late(rows: DataFrame, keys: Sequence[str] = ("entity_id", "metric")) ->
         mark = state.getCurrentWatermarkMs()
         for pdf in batches:
             us = pdf["_us"].to_numpy()
-            yield pdf.drop(columns="_us").assign(late=late(us, mark))
+            yield pdf.drop(columns=["_us", "share"]).assign(late=late(us, mark))
 
-    marked = rows.withColumn("_us", F.unix_micros("ts"))
-    return marked.groupBy(*keys).applyInPandasWithState(step, schema, "nothing boolean", "append", GroupStateTimeout.NoTimeout)
+    marked = shares(rows.withColumn("_us", F.unix_micros("ts")), keys, n_shares)
+    return marked.groupBy("share").applyInPandasWithState(step, schema, "nothing boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def late_rows(query) -> int:
