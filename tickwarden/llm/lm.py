@@ -137,10 +137,14 @@ class Network:
             "wk": rnd.normal(0, 0.05, (CLASSES, STATE, WORDS)), "bk": np.log(own / own.sum(axis=1, keepdims=True)),
         }
 
-    def states(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States after each of the inputs x (step, lane); keep is 0 where a document begins. Also the last state."""
+    def states(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, trace: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """States after each of the inputs x (step, lane); keep is 0 where a document begins. Also the last state.
+
+        `trace` (of 5 parts, step, lane, unit) takes the state before, what it gives to n, and the gates z, r and n.
+        """
         steps, lanes = x.shape
-        a = (self.p["e"][x.ravel()] @ self.p["w"] + self.p["b"]).reshape(steps, lanes, 3 * STATE)
+        # An input's part of the gates is the same wherever it stands.
+        a = (self.p["e"] @ self.p["w"] + self.p["b"])[x.ravel()].reshape(steps, lanes, 3 * STATE)
         u, out = self.p["u"], np.empty((steps, lanes, STATE), dtype=np.float32)
         whole = keep.all(axis=1)
         for t in range(steps):
@@ -158,7 +162,8 @@ class Network:
             n += r * hu[:, 2 * STATE:]
             np.tanh(n, out=n)
             if trace is not None:
-                trace.append((h, hu[:, 2 * STATE:], z, r, n))
+                for part, values in zip(trace, (h, hu[:, 2 * STATE:], z, r, n)):
+                    part[t] = values
             after = out[t]
             np.subtract(h, n, out=after)
             after *= z
@@ -172,44 +177,55 @@ class Network:
         With grad, also adds the gradients of the summed loss and returns the one of the states.
         """
         kind = np.where(y < CLASSES * WORDS, y // WORDS, y - CLASSES * WORDS + CLASSES)
+        rows = np.arange(len(y))
         logits = s @ self.p["wc"] + self.p["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
-        chosen = logits[np.arange(len(y)), kind]
+        if not small(self.p["wc"], self.p["bc"]):
+            logits -= logits.max(axis=1, keepdims=True)
+        chosen = logits[rows, kind]
         np.exp(logits, out=logits)
-        sums = logits.sum(axis=1)
+        sums = logits @ np.ones(CLASSES + ENDINGS, dtype=np.float32)
         out = chosen - np.log(sums)
         ds = None
         if grad is not None:
             logits /= sums[:, None]
-            logits[np.arange(len(y)), kind] -= 1
-            grad["wc"], grad["bc"] = s.T @ logits, logits.sum(axis=0)
+            logits[rows, kind] -= 1
+            grad["wc"], grad["bc"] = s.T @ logits, np.ones(len(y), dtype=np.float32) @ logits
             ds = logits @ self.p["wc"].T
             grad["wk"], grad["bk"] = np.zeros_like(self.p["wk"]), np.zeros_like(self.p["bk"])
-        order = np.argsort(kind, kind="stable")
+        # Small whole numbers are sorted by their digits.
+        order = np.argsort(kind.astype(np.uint8), kind="stable")
         edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        order = order[:edges[CLASSES]]
+        mine, place, inside = s[order], y[order] % WORDS, np.empty(len(order), dtype=out.dtype)
+        back, ones, near = None if grad is None else np.empty_like(mine), np.ones(max(len(order), WORDS), dtype=np.float32), small(self.p["wk"], self.p["bk"])
         for k in range(CLASSES):
-            own = order[edges[k]:edges[k + 1]]
-            if not len(own):
+            lo, hi = edges[k], edges[k + 1]
+            if lo == hi:
                 continue
-            mine, rows, place = s[own], np.arange(len(own)), y[own] % WORDS
-            q = mine @ self.p["wk"][k] + self.p["bk"][k]
-            q -= q.max(axis=1, keepdims=True)
-            picked = q[rows, place]
+            at = rows[:hi - lo], place[lo:hi]
+            q = mine[lo:hi] @ self.p["wk"][k]
+            q += self.p["bk"][k]
+            if not near:
+                q -= q.max(axis=1, keepdims=True)
+            picked = q[at]
             np.exp(q, out=q)
-            total = q.sum(axis=1)
-            out[own] += picked - np.log(total)
+            total = q @ ones[:WORDS]
+            inside[lo:hi] = picked - np.log(total)
             if grad is not None:
                 q /= total[:, None]
-                q[rows, place] -= 1
-                grad["wk"][k], grad["bk"][k] = mine.T @ q, q.sum(axis=0)
-                ds[own] += q @ self.p["wk"][k].T
+                q[at] -= 1
+                grad["wk"][k], grad["bk"][k] = mine[lo:hi].T @ q, ones[:hi - lo] @ q
+                np.matmul(q, self.p["wk"][k].T, out=back[lo:hi])
+        out[order] += inside
+        if grad is not None:
+            ds[order] += back
         return out, ds
 
     def gradients(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, y: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """The last state and the gradients of one window's summed loss, through all of its steps and no further."""
-        trace: list = []
-        s, last = self.states(x, keep, h, trace)
         steps, lanes = x.shape
+        trace = np.empty((5, steps, lanes, STATE), dtype=np.float32)
+        s, last = self.states(x, keep, h, trace)
         grad: dict[str, np.ndarray] = {}
         _, ds_live = self.output(s[live], y[live], grad)
         ds = np.zeros_like(s)
@@ -218,7 +234,7 @@ class Network:
         dhu = np.empty_like(da)
         dh = np.zeros((lanes, STATE), dtype=np.float32)
         ut, whole = self.p["u"].T, keep.all(axis=1)
-        before, hn, z, r, n = (np.stack(part) for part in zip(*trace))
+        before, hn, z, r, n = trace
         by_n, by_z, by_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), hn * r * (1 - r)
         for t in range(steps - 1, -1, -1):
             dh = dh + ds[t]
@@ -238,13 +254,18 @@ class Network:
         ids = x.ravel()
         grad["w"], grad["b"] = self.p["e"][ids].T @ flat, flat.sum(axis=0)
         de = flat @ self.p["w"].T
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids.astype(np.uint16), kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
         grad["e"] = np.zeros_like(self.p["e"])
         grad["e"][ids[order][first]] = np.add.reduceat(de[order], first)
         return last, grad
 
 
+def small(weights: np.ndarray, biases: np.ndarray) -> bool:
+    """Whether no state, whose units lie between -1 and 1, gives a number whose exponential float32 cannot hold."""
+    return float((np.abs(weights).sum(axis=-2) + np.abs(biases)).max()) < 60.0
+
+
 def flat(params: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([params[k].ravel() for k in sorted(params)]).astype(np.float32)
 
