@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickwarden.functions.ids import endpoint, full_metric, lookup, root_target, split_variable
 from tickwarden.functions.severity import clamp
 from tickwarden.functions.text import decision_class, joined, text_severity
-from tickwarden.operators.causal import CausalGraph, propagate
+from tickwarden.operators.causal import CausalGraph, spread
 from tickwarden.operators.series import best_rows
-from tickwarden.operators.topology import alternate_link
+from tickwarden.operators.topology import alternate_link, pairs_at
 from tickwarden.schemas import PASSIVE_ACTIONS
+from tickwarden.session import cut
 
 # Decision tables.
 PENALTY = {"critical": 1.0, "high": 0.7, "medium": 0.4, "low": 0.1}
@@ -162,27 +165,98 @@ def initial_deltas(actions: DataFrame, state: DataFrame) -> DataFrame:
     return rows.select("action_id", F.concat("entity_id", F.lit("_utilization")).alias("variable"), "delta")
 
 
-def counterfactual(actions: DataFrame, state: DataFrame, graph: CausalGraph, compat: bool = False) -> DataFrame:
-    """Predicted values per (action, entity, metric) for metrics the state tracks.
+@dataclass
+class Effect:
+    """Predicted values, where readings that an action moves alike are not told apart.
+
+    `rows`: action_id, entity_id, metric, current, delta, predicted. `groups`: action_id, hub, group, metric, delta, apart: the
+    action moves every reading in `members` (hub, group, leaf, entity_id, metric, value) by that, but those of the leaves
+    `apart`, which `rows` has. An entity has readings of one leaf only. Without groups `rows` has everything.
+    """
+
+    rows: DataFrame
+    groups: DataFrame | None = None
+    members: DataFrame | None = None
+
+    def told_apart(self) -> DataFrame:
+        """The readings that `groups` leaves out: action_id, hub, group, entity_id, metric, value, delta."""
+        rows = self.groups.select("action_id", "hub", "group", "metric", "delta", F.explode("apart").alias("leaf"))
+        return rows.join(self.members, ["hub", "group", "leaf", "metric"]).drop("leaf")
+
+    def all_rows(self) -> DataFrame:
+        """One row per (action, reading), as many as the answer has. Those of groups are written without a shuffle of them."""
+        if self.groups is None:
+            return self.rows
+        told = pairs_at(self.groups, self.members.drop("metric", "hub"), "group").where(~F.array_contains("apart", F.col("leaf")))
+        return self.rows.unionByName(_ahead(told.withColumnRenamed("value", "current")).select(self.rows.columns))
+
+    def total(self, weights: DataFrame | None = None, also: DataFrame | None = None, name: str = "n") -> DataFrame:
+        """(action_id, `name`): weight of the distinct entities an action touches, by default their number.
+
+        `weights`: entity_id, w. `also`: action_id, entity_id, touched besides the predicted ones.
+        """
+        own = self.rows.select("action_id", "entity_id")
+        own = (own if also is None else own.unionByName(also)).distinct()
+        weigh = lambda rows: rows.withColumn("w", F.lit(1)) if weights is None else rows.join(weights, "entity_id")
+        parts = weigh(own).select("action_id", "w")
+        if self.groups is not None:
+            # Entities of one hub that stand in the same groups are counted together; one that is touched otherwise is not.
+            spans = cut(self.members.groupBy("hub", "entity_id").agg(F.array_sort(F.collect_set("group")).alias("_in")))
+            alike = weigh(spans).groupBy("hub", "_in").agg(F.sum("w").alias("w"))
+            active = cut(self.groups.groupBy("action_id", "hub").agg(F.collect_set("group").alias("_active")))
+            hit = active.join(alike, "hub").where(F.arrays_overlap("_in", "_active"))
+            twice = own.unionByName(self.told_apart().select("action_id", "entity_id")).distinct().join(spans, "entity_id")
+            twice = weigh(twice.join(active, ["action_id", "hub"]).where(F.arrays_overlap("_in", "_active")))
+            parts = parts.unionByName(hit.select("action_id", "w")).unionByName(twice.select("action_id", (-F.col("w")).alias("w")))
+        return parts.groupBy("action_id").agg(F.sum("w").alias(name))
+
+
+def _ahead(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("predicted", predicted_value(F.col("current"), F.col("delta")))
+
+
+def predicted_value(value: Column, delta: Column) -> Column:
+    return F.round(F.greatest(F.lit(0.0), value + delta), 4)
+
+
+def effect(actions: DataFrame, state: DataFrame, graph: CausalGraph, compat: bool = False) -> Effect:
+    """Predicted values for metrics the state tracks, as far as actions tell them apart.
 
     `compat` cuts variable names at the last underscore, which loses the two-word metrics.
     """
-    moved = propagate(graph, initial_deltas(actions, state)).where(F.abs("delta") >= 0.01)
     entity, short = split_variable(F.col("variable"), compat)
-    rows = moved.select("action_id", entity.alias("entity_id"), full_metric(short).alias("metric"), "delta")
-    rows = rows.join(state.select("entity_id", "metric", "value"), ["entity_id", "metric"])
-    return rows.select(
-        "action_id", "entity_id", "metric", F.col("value").alias("current"), "delta",
-        F.round(F.greatest(F.lit(0.0), F.col("value") + F.col("delta")), 4).alias("predicted"),
-    )
+    read = lambda rows, *more: rows.select(*more, entity.alias("entity_id"), full_metric(short).alias("metric")).join(
+        state.select("entity_id", "metric", "value"), ["entity_id", "metric"])
+    told = spread(graph, initial_deltas(actions, state))
+    big = F.abs("delta") >= 0.01
+    rows = read(told.rows.where(big), "action_id", "delta").withColumnRenamed("value", "current")
+    rows = _ahead(rows).select("action_id", "entity_id", "metric", "current", "delta", "predicted")
+    if told.alike is None:
+        return Effect(rows)
+    members = read(told.cones, "hub", "leaf", "depth", "weights")
+    members = cut(members.withColumn("group", F.to_json(F.struct("hub", "depth", "weights", "metric"))))
+    kinds = members.select("hub", "depth", "weights", "group", "metric").distinct()
+    groups = told.moved(kinds).where(big).select("action_id", "hub", "group", "metric", "delta", "apart")
+    return Effect(cut(rows), cut(groups), members.select("hub", "group", "leaf", "entity_id", "metric", "value"))
+
 
+def counterfactual(actions: DataFrame, state: DataFrame, graph: CausalGraph, compat: bool = False) -> DataFrame:
+    """Predicted values per (action, entity, metric) for metrics the state tracks: every row of `effect`."""
+    return effect(actions, state, graph, compat).all_rows()
 
-def counterfactual_risk(predicted: DataFrame) -> DataFrame:
+
+def counterfactual_risk(predicted: DataFrame | Effect) -> DataFrame:
     """Share of predicted metrics that rise, and how many entities are touched."""
-    return predicted.groupBy("action_id").agg(
-        F.round(F.count_if(F.col("delta") > 0) / F.count("*"), 4).alias("causal_risk"),
-        F.count_distinct("entity_id").alias("affected_entities"),
-    )
+    given = predicted if isinstance(predicted, Effect) else Effect(predicted)
+    parts = given.rows.select("action_id", "delta", F.lit(1).alias("n"))
+    if given.groups is not None:
+        sizes = given.members.groupBy("group").agg(F.count("*").alias("n"))
+        parts = parts.unionByName(given.groups.join(sizes, "group").select("action_id", "delta", "n"))
+        parts = parts.unionByName(given.told_apart().select("action_id", "delta", F.lit(-1).alias("n")))
+    share = parts.groupBy("action_id").agg(
+        F.coalesce(F.sum(F.when(F.col("delta") > 0, F.col("n"))), F.lit(0)).alias("_up"), F.sum("n").alias("_n"))
+    return share.where("_n > 0").join(given.total(name="affected_entities"), "action_id").select(
+        "action_id", F.round(F.col("_up") / F.col("_n"), 4).alias("causal_risk"), "affected_entities")
 
 
 def relevant_state(actions: DataFrame, state: DataFrame) -> DataFrame:
