@@ -100,6 +100,34 @@ def test_counterfactual_modes(spark, nodes, links):
     assert W.counterfactual_risk(W.counterfactual(actions, state, graph)).first()["causal_risk"] == 0.0
 
 
+def test_effects_do_not_tell_leaves_of_a_hub_apart(spark):
+    rng = random.Random(3)
+    ends = [("R0", "N0"), ("R0", "N1"), ("R0", "N2"), ("N0", "N1")] + [(f"N{i % 3}", f"U{i}") for i in range(90)]
+    links = spark.createDataFrame([("-".join(sorted(e)), *e, 40.0) for e in ends], "link_id string, source string, target string, capacity_gbps double").cache()
+    kinds = {"R": "core", "N": "aggregation", "U": "edge"}
+    nodes = spark.createDataFrame([(n, kinds[n[0]], rng.randint(0, 9)) for n in sorted({n for e in ends for n in e})], "node_id string, node_type string, customers bigint").cache()
+    ids = ["-".join(sorted(e)) for e in ends]
+    values = {(e, "utilization_pct"): rng.choice([0.0, 12.5, 84.0, 79.99995, 85.00005, 91.0]) for e in ids}
+    values |= {(e, "packet_loss_pct"): rng.random() for e in ids[::2]} | {(f"U{i}", "latency_ms"): 9.0 for i in range(0, 90, 4)}
+    state = state_of(spark, values)
+    actions = spark.createDataFrame(
+        [(f"l{i}", "rate_limit", None, ids[i], {"reduction_pct": r}) for i, r in ((0, "9"), (3, "0.5"), (7, "20"), (20, "0.02"))]
+        + [("r", "reroute", None, ids[9], {"from_link": ids[9], "to_link": ids[10], "traffic_fraction": "0.3"}),
+           ("up", "rate_limit", None, ids[30], {"reduction_pct": "-3"}), ("x", "escalate", None, None, {})], ACTION)
+    told = W.effect(actions, state, C.structural_graph(nodes, links))
+    plain = W.effect(actions, state, C.structural_graph(nodes, links, max_degree=1000))
+    assert plain.groups is None and told.rows.count() + told.groups.count() < plain.rows.count() / 5
+    rows = lambda x: sorted((r["action_id"], r["entity_id"], r["metric"], round(r["predicted"], 3), round(r["delta"], 6)) for r in x.collect())
+    assert rows(told.all_rows()) == rows(plain.rows)
+    risk = lambda x: sorted(map(tuple, W.counterfactual_risk(x).collect()))
+    assert risk(told) == risk(plain) == risk(plain.rows)
+    given = lambda x: S.SafetyInput(actions, state, x, nodes, links)
+    verdicts = lambda x: sorted((r["action_id"], r["is_safe"], r["violations"], sorted(r["details"].items())) for r in S.verify(given(x)).collect())
+    assert verdicts(told) == verdicts(plain.rows)
+    worst = lambda x: sorted((r["action_id"], r["worst_link"], round(r["worst_util"], 3)) for r in S.worst_link(given(x)).collect())
+    assert worst(told) == worst(plain.rows)
+
+
 HYPOTHESIS = ("incident_id string, hypothesis_id string, description string, root_cause string, confidence double, evidence array<string>, "
               "affected_nodes array<string>, affected_links array<string>, recommended_actions array<string>")
 

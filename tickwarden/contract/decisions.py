@@ -12,6 +12,7 @@ from tickwarden.operators import datasets as DS
 from tickwarden.operators import outcomes as O
 from tickwarden.operators import safety as S
 from tickwarden.operators import whatif as W
+from tickwarden.operators.causal import propagate
 from tickwarden.operators.topology import customer_impact
 from tickwarden.plans.decision import decide
 from tickwarden.session import cut
@@ -133,7 +134,7 @@ def link_action_rows(spark, d):
 
 
 query("propagate_deltas", sql("links nodes inc util scen", f"""WITH {EFFECT} SELECT action_id, variable, round(delta, 6) AS delta FROM moved"""))(
-    lambda spark, d: W.propagate(graph(spark, d), W.initial_deltas(link_action_rows(spark, d), T.state(spark, d))).select(
+    lambda spark, d: propagate(graph(spark, d), W.initial_deltas(link_action_rows(spark, d), T.state(spark, d))).select(
         "action_id", "variable", F.round("delta", 6).alias("delta"))
 )
 query("counterfactual_state", sql("links nodes inc util state scen", f"""WITH {EFFECT}, {PREDICTED}
@@ -144,13 +145,13 @@ SELECT action_id, entity_id, metric, round(greatest(0, current + delta) + 1e-9,
 
 def exact_predictions(spark, d):
     """Predicted values; the small offset keeps decimal ties from rounding by their last binary digit."""
-    rows = W.counterfactual(link_action_rows(spark, d), T.state(spark, d), graph(spark, d))
+    rows = W.counterfactual(link_action_rows(spark, d), cut(T.state(spark, d)), graph(spark, d))
     return rows.select("action_id", "entity_id", "metric", F.round(F.greatest(F.lit(0.0), F.col("current") + F.col("delta")) + 1e-9, 6).alias("predicted"))
 
 
 query("counterfactual_risk", sql("links nodes inc util state scen", f"""WITH {EFFECT}, {PREDICTED}
 SELECT action_id, round(count(*) FILTER (delta > 0) / count(*), 4) AS causal_risk, count(DISTINCT entity_id) AS affected_entities FROM pred GROUP BY 1"""))(
-    lambda spark, d: W.counterfactual_risk(W.counterfactual(link_action_rows(spark, d), T.state(spark, d), graph(spark, d)))
+    lambda spark, d: W.counterfactual_risk(W.effect(link_action_rows(spark, d), cut(T.state(spark, d)), graph(spark, d)))
 )
 
 APPLIED = """app AS (
@@ -192,8 +193,7 @@ FROM worst"""))(
 
 def safety_input(spark, d):
     actions, state, network = link_action_rows(spark, d), cut(T.state(spark, d)), cut(T.links(spark, d))
-    predicted = cut(W.counterfactual(actions, state, graph(spark, d)).select("action_id", "entity_id", "metric", "predicted"))
-    return S.SafetyInput(actions, state, predicted, cut(T.nodes(spark, d)), network)
+    return S.SafetyInput(actions, state, W.effect(actions, state, graph(spark, d)), cut(T.nodes(spark, d)), network)
 
 
 CHECKS = """cur AS (SELECT l.link_id, coalesce(u.value, 0)::DOUBLE AS current FROM links l LEFT JOIN util u USING (link_id)),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tickwarden.operators.paths import second_paths
 from tickwarden.operators.series import chunked, hottest, with_position
-from tickwarden.operators.whatif import action_link
+from tickwarden.operators.whatif import Effect, action_link, predicted_value
 from tickwarden.session import cut
 
 # Limits.
@@ -29,16 +29,28 @@ INERT = ("escalate", "create_ticket", "notify")
 @dataclass
 class SafetyInput:
     """actions: action_id, action_type, target_node, target_link, parameters [, ts].
-    state: entity_id, metric, value. predicted: action_id, entity_id, metric, predicted.
+    state: entity_id, metric, value. predicted: action_id, entity_id, metric, predicted, or the `Effect` of the actions;
+    constraints read `effect`, and `predicted` is then every row of it, formed when a constraint asks for it.
     history: ts of executed actions, or None."""
 
     actions: DataFrame
     state: DataFrame
-    predicted: DataFrame
+    predicted: DataFrame | Effect
     nodes: DataFrame
     links: DataFrame
     history: DataFrame | None = None
 
+    def __post_init__(self) -> None:
+        self.effect = self.predicted if isinstance(self.predicted, Effect) else Effect(self.predicted)
+        if self.effect is self.predicted:
+            del self.predicted
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name != "predicted":
+            raise AttributeError(name)
+        self.predicted = self.effect.all_rows().select("action_id", "entity_id", "metric", "predicted")
+        return self.predicted
+
 
 Constraint = Callable[[SafetyInput], DataFrame]
 
@@ -48,12 +60,60 @@ def _utilization(given: SafetyInput) -> DataFrame:
     return given.links.select("link_id").distinct().join(now, "link_id", "left").withColumn("current", F.coalesce("current", F.lit(0.0)))
 
 
-def _changed(given: SafetyInput) -> DataFrame:
-    """(action_id, link_id, current, predicted) for links with a predicted utilisation."""
-    ahead = given.predicted.where(F.col("metric") == "utilization_pct").select("action_id", F.col("entity_id").alias("link_id"), "predicted")
+def _changed(given: SafetyInput, rows: DataFrame | None = None) -> DataFrame:
+    """(action_id, link_id, current, predicted) for links with a predicted utilisation, by default one of their own."""
+    ahead = (given.effect.rows if rows is None else rows).where(F.col("metric") == "utilization_pct").select("action_id", F.col("entity_id").alias("link_id"), "predicted")
     return ahead.join(_utilization(given), "link_id")
 
 
+def _changed_alike(given: SafetyInput) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What `_changed` leaves to groups: groups (action_id, group, delta, apart), their links (group, leaf, link_id, current,
+    value), and the links told apart (action_id, group, link_id, current, predicted) that do not follow their group."""
+    util = F.col("metric") == "utilization_pct"
+    groups = given.effect.groups.where(util).select("action_id", "group", "delta", "apart")
+    members = given.effect.members.where(util).select("group", "leaf", F.col("entity_id").alias("link_id"), "value")
+    members = cut(members.join(_utilization(given), "link_id"))
+    apart = groups.withColumn("leaf", F.explode("apart")).join(members, ["group", "leaf"])
+    apart = apart.withColumn("predicted", predicted_value(F.col("value"), F.col("delta")))
+    return groups, members, cut(apart.select("action_id", "group", "link_id", "current", "predicted"))
+
+
+def _counts(given: SafetyInput, above: float, below: float | None = None) -> DataFrame:
+    """(action_id, was, is): changed links with more than `above` before and after, among those that now have less than `below`."""
+    over = lambda c: F.when(F.col(c) > above, 1).otherwise(0)
+    among = F.lit(True) if below is None else F.col("current") < below
+    parts = _changed(given).where(among).select("action_id", over("current").alias("was"), over("predicted").alias("is"))
+    if given.effect.groups is not None:
+        groups, members, apart = _changed_alike(given)
+        members = members.where(among)
+        was = groups.join(members.groupBy("group").agg(F.sum(over("current")).alias("was")), "group")
+        now = count_above(groups.select("action_id", "group", "delta"), members, above)
+        parts = parts.unionByName(was.select("action_id", "was", F.lit(0).alias("is")))
+        parts = parts.unionByName(now.select("action_id", F.lit(0).alias("was"), F.col("n").alias("is")))
+        parts = parts.unionByName(apart.where(among).select("action_id", (-over("current")).alias("was"), (-over("predicted")).alias("is")))
+    return parts.groupBy("action_id").agg(F.sum("was").alias("was"), F.sum("is").alias("is"))
+
+
+def count_above(groups: DataFrame, members: DataFrame, limit: float) -> DataFrame:
+    """(action_id, n): members whose value plus the group's delta is predicted above the limit, in parts that add up.
+
+    Values and the least value that gets there meet in steps of a millionth. What lies two steps above is counted by a
+    running sum over the group's values; the few around are compared one by one.
+    """
+    def step(value):
+        return F.floor(F.greatest(F.lit(-4e18), F.least(F.lit(4e18), value * 1e6))).cast("long")
+    levels = cut(members.where("value IS NOT NULL").groupBy("group", "value").agg(F.count("*").alias("n")).withColumn("at", step(F.col("value"))))
+    asked = cut(groups.withColumn("at", step(F.when(F.isnan("delta"), -4e18).otherwise(limit + 0.00005 - F.col("delta")))))
+    none = F.lit(None).cast("string")
+    events = levels.select("group", "at", F.lit(0).alias("kind"), "value", "n", none.alias("action_id")).unionByName(
+        asked.select("group", (F.col("at") + 2).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("value"), F.lit(0).cast("long").alias("n"), "action_id"))
+    events = events.withColumns({"_down": -F.col("at"), "_id": F.monotonically_increasing_id()})
+    summed = running_sum(cut(events), ["group"], ["_down", "kind", "action_id", "value", "_id"], "n", "above")
+    near = asked.withColumn("at", F.explode(F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1))).join(levels, ["group", "at"])
+    near = near.where(predicted_value(F.col("value"), F.col("delta")) > limit)
+    return summed.where("kind = 1").select("action_id", F.col("above").alias("n")).unionByName(near.select("action_id", "n"))
+
+
 def merge_states(state: DataFrame, predicted: DataFrame, zero_is_missing: bool = False) -> DataFrame:
     """Predicted values over current ones, per (action, entity, metric) an action changes.
 
@@ -69,39 +129,35 @@ def merge_states(state: DataFrame, predicted: DataFrame, zero_is_missing: bool =
 
 
 def max_link_utilization(given: SafetyInput) -> DataFrame:
-    over = lambda c: F.count_if(F.col(c) > UTIL_LIMIT)
-    now = _utilization(given).agg(over("current").alias("n")).scalar()
-    own = _changed(given).groupBy("action_id").agg(over("current").alias("was"), over("predicted").alias("is"))
+    now = _utilization(given).agg(F.count_if(F.col("current") > UTIL_LIMIT).alias("n")).scalar()
+    own = _counts(given, UTIL_LIMIT)
     rows = given.actions.where(~F.col("action_type").isin(*INERT)).select("action_id").join(own, "action_id", "left")
     count = now - F.coalesce("was", F.lit(0)) + F.coalesce("is", F.lit(0))
     return rows.select("action_id", (count == 0).alias("ok"), F.format_string("%d links above %.0f%%", count, F.lit(UTIL_LIMIT)).alias("detail"))
 
 
 def no_cascading_overload(given: SafetyInput) -> DataFrame:
-    pushed = (F.col("current") < CASCADE_LIMIT) & (F.col("predicted") > CASCADE_LIMIT)
-    own = _changed(given).groupBy("action_id").agg(F.count_if(pushed).alias("n"))
+    own = _counts(given, CASCADE_LIMIT, CASCADE_LIMIT).select("action_id", F.col("is").alias("n"))
     rows = given.actions.where(~F.col("action_type").isin(*INERT)).select("action_id").join(own, "action_id", "left")
     n = F.coalesce("n", F.lit(0))
     return rows.select("action_id", (n == 0).alias("ok"), F.format_string("%d healthy links pushed above %.0f%%", n, F.lit(CASCADE_LIMIT)).alias("detail"))
 
 
 def touched_nodes(given: SafetyInput) -> DataFrame:
-    """(action_id, node_id): predicted nodes, ends of the action's link, its target node."""
+    """(action_id, node_id): ends of the action's link and its target node."""
     link, _ = action_link(F.col("action_type"), F.col("parameters"), F.col("target_link"))
     named = given.actions.select("action_id", F.coalesce("target_link", link).alias("link_id"), "target_node")
     ends = named.join(given.links.select("link_id", "source", "target"), "link_id").select(
         "action_id", F.explode(F.array("source", "target")).alias("node_id")
     )
     own = named.where(F.col("target_node").isNotNull()).select("action_id", F.col("target_node").alias("node_id"))
-    ahead = given.predicted.select("action_id", F.col("entity_id").alias("node_id"))
-    return ends.unionByName(own).unionByName(ahead).distinct()
+    return ends.unionByName(own).distinct()
 
 
 def customer_isolation(given: SafetyInput) -> DataFrame:
     everyone = given.nodes.agg(F.sum("customers")).scalar()
-    hit = touched_nodes(given).join(given.nodes.select("node_id", "customers"), "node_id").groupBy("action_id").agg(
-        F.sum("customers").alias("c")
-    )
+    behind = given.nodes.groupBy(F.col("node_id").alias("entity_id")).agg(F.sum("customers").alias("w"))
+    hit = given.effect.total(behind, touched_nodes(given).withColumnRenamed("node_id", "entity_id"), "c")
     rows = given.actions.select("action_id").join(hit, "action_id", "left").withColumn("c", F.coalesce("c", F.lit(0).cast("long")))
     rows = rows.withColumn("_all", F.greatest(F.coalesce(everyone, F.lit(0)), F.lit(1)))
     share = F.format_string("%d customers affected of %d, limit %.0f%%", "c", "_all", F.lit(CUSTOMER_SHARE * 100))
@@ -158,6 +214,10 @@ def moved_traffic(given: SafetyInput) -> DataFrame:
     rows = given.actions.select("action_id", "action_type", link.alias("link_id"), number("traffic_fraction", 0.5).alias("f"), number("reduction_pct", 20.0).alias("r"))
     rows = rows.join(given.links.select("link_id", "capacity_gbps"), "link_id", "left").join(_utilization(given), "link_id", "left")
     ahead = _changed(given).select("action_id", "link_id", "predicted")
+    if given.effect.groups is not None:
+        groups, members, _ = _changed_alike(given)
+        alike = rows.select("action_id", "link_id").join(members, "link_id").join(groups, ["action_id", "group"]).where(~F.array_contains("apart", F.col("leaf")))
+        ahead = ahead.unionByName(alike.select("action_id", "link_id", predicted_value(F.col("value"), F.col("delta")).alias("predicted")))
     rows = rows.join(ahead, ["action_id", "link_id"], "left")
     capacity, util = F.coalesce("capacity_gbps", F.lit(0.0)), F.coalesce("predicted", "current", F.lit(0.0))
     moved = (
@@ -245,7 +305,7 @@ def worst_link(given: SafetyInput) -> DataFrame:
     The network is ranked once. The highest rank that an action leaves alone is the first gap in the ranks it changes:
     sorted, these equal their own places up to there. That one competes with the links it does change.
     """
-    changed = _changed(given)
+    changed = _changed(given, given.predicted)
     ranked = _utilization(given).withColumns({"_all": F.lit(0), "_down": -F.col("current")})
     ranked = cut(with_position(ranked, ["_all"], ["_down", "link_id"]).select("link_id", "current", "pos"))
     places = changed.join(ranked.select("link_id", "pos"), "link_id")

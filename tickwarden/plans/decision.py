@@ -23,8 +23,8 @@ def decide(
     """
     impact = customer_impact(W.affected_entities(hypotheses), nodes, "hypothesis_id")
     actions = cut(W.utility(W.candidates(hypotheses, links), impact))
-    predicted = cut(W.counterfactual(actions, state, graph))
-    given = S.SafetyInput(actions, state, predicted.select("action_id", "entity_id", "metric", "predicted"), nodes, links, history)
+    predicted = W.effect(actions, state, graph)
+    given = S.SafetyInput(actions, state, predicted, nodes, links, history)
     verdicts = S.verify(given, constraints).select("action_id", "is_safe", "violations", "proof")
     rows = (
         actions.join(W.counterfactual_risk(predicted), "action_id", "left")
