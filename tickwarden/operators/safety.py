@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,6 +45,10 @@ class SafetyInput:
         if self.effect is self.predicted:
             del self.predicted
 
+    @cached_property
+    def changed_alike(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return _changed_alike(self)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name != "predicted":
             raise AttributeError(name)
@@ -84,7 +88,7 @@ def _counts(given: SafetyInput, above: float, below: float | None = None) -> Dat
     among = F.lit(True) if below is None else F.col("current") < below
     parts = _changed(given).where(among).select("action_id", over("current").alias("was"), over("predicted").alias("is"))
     if given.effect.groups is not None:
-        groups, members, apart = _changed_alike(given)
+        groups, members, apart = given.changed_alike
         members = members.where(among)
         was = groups.join(members.groupBy("group").agg(F.sum(over("current")).alias("was")), "group")
         now = count_above(groups.select("action_id", "group", "delta"), members, above)
@@ -215,7 +219,7 @@ def moved_traffic(given: SafetyInput) -> DataFrame:
     rows = rows.join(given.links.select("link_id", "capacity_gbps"), "link_id", "left").join(_utilization(given), "link_id", "left")
     ahead = _changed(given).select("action_id", "link_id", "predicted")
     if given.effect.groups is not None:
-        groups, members, _ = _changed_alike(given)
+        groups, members, _ = given.changed_alike
         alike = rows.select("action_id", "link_id").join(members, "link_id").join(groups, ["action_id", "group"]).where(~F.array_contains("apart", F.col("leaf")))
         ahead = ahead.unionByName(alike.select("action_id", "link_id", predicted_value(F.col("value"), F.col("delta")).alias("predicted")))
     rows = rows.join(ahead, ["action_id", "link_id"], "left")
