@@ -128,6 +128,37 @@ def test_effects_do_not_tell_leaves_of_a_hub_apart(spark):
     assert worst(told) == worst(plain.rows)
 
 
+def test_worst_link_reads_a_group_by_its_highest_links(spark, monkeypatch):
+    rng = random.Random(5)
+    ids = [f"L{i:02}" for i in range(24)]
+    value = {e: rng.choice([10.0, 20.0, 30.0, 40.0, 55.5]) for e in ids}
+    home = {e: f"g{i % 3}" for i, e in enumerate(ids) if i < 18}  # the last six are in no group
+    moved, rows = [], []
+    for a in range(12):
+        for g in rng.sample(["g0", "g1", "g2"], a % 4):
+            inside = sorted((e for e in home if home[e] == g), key=lambda e: -value[e])
+            moved.append((f"a{a}", g, g, "utilization_pct", rng.choice([-100.0, -15.0, 3.0, 25.0]), inside[:a % 3]))
+        apart = [e for m in moved if m[0] == f"a{a}" for e in m[5]]
+        free = [e for e in ids if not any(m[0] == f"a{a}" and m[1] == home.get(e) for m in moved)]
+        rows += [(f"a{a}", e, "utilization_pct", value[e], -9.0, value[e] - 9.0) for e in apart[::2] + sorted(free, key=lambda e: -value[e])[:a % 5]]
+    links = spark.createDataFrame([(e,) for e in ids], "link_id string")
+    effect = W.Effect(
+        spark.createDataFrame(rows, "action_id string, entity_id string, metric string, current double, delta double, predicted double"),
+        spark.createDataFrame(moved, "action_id string, hub string, group string, metric string, delta double, apart array<string>"),
+        spark.createDataFrame([(g, g, e, e, "utilization_pct", value[e]) for e, g in home.items()], "hub string, group string, leaf string, entity_id string, metric string, value double"))
+    want = {}
+    for a in [f"a{i}" for i in range(12)]:
+        after = dict(value)
+        for _, _, g, _, delta, apart in (m for m in moved if m[0] == a):
+            after.update({e: max(0.0, value[e] + delta) for e in home if home[e] == g and e not in apart})
+        after.update({r[1]: r[5] for r in rows if r[0] == a})
+        want[a] = max(after.values())
+    actions = spark.createDataFrame([(a, "rate_limit", None, None, {}) for a in want], ACTION)
+    monkeypatch.setattr(W.Effect, "all_rows", lambda self: pytest.fail("every row was written"))
+    got = S.worst_link(S.SafetyInput(actions, state_of(spark, {(e, "utilization_pct"): v for e, v in value.items()}), effect, None, links)).collect()
+    assert {r["action_id"]: r["worst_util"] for r in got} == want
+
+
 HYPOTHESIS = ("incident_id string, hypothesis_id string, description string, root_cause string, confidence double, evidence array<string>, "
               "affected_nodes array<string>, affected_links array<string>, recommended_actions array<string>")
 

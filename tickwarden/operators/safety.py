@@ -303,25 +303,67 @@ def explain(verdicts: DataFrame) -> DataFrame:
     return verdicts.select("action_id", F.coalesce("proof", F.lit("No proof available.")).alias("explanation"))
 
 
+def first_gap(taken: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """(keys, gap): the first place, from 0, that a key's rows leave free. Sorted, distinct places equal their own numbers up to there."""
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(place)) - 1
+    rows = taken.select(*keys, place).distinct().withColumn("_number", number)
+    return rows.groupBy(*keys).agg(F.count_if(F.col(place) == F.col("_number")).alias("gap"))
+
+
+def _highest_alike(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """(action_id, link_id, predicted): of each group that an action moves, the link that was highest, leaves told apart left out.
+
+    It is highest afterwards too; of links that come to the same value, it stands for all.
+    """
+    leaves = members.groupBy("group", "leaf").agg(F.max(F.struct("value", "link_id")).alias("top"))
+    leaves = cut(with_position(cut(leaves), ["group"], [F.desc("top")]))
+    held = groups.select("action_id", "group", F.explode("apart").alias("leaf")).join(leaves.select("group", "leaf", "pos"), ["group", "leaf"])
+    free = groups.select("action_id", "group", "delta").join(first_gap(held, ["action_id", "group"], "pos"), ["action_id", "group"], "left")
+    free = free.withColumn("pos", F.coalesce("gap", F.lit(0))).join(leaves.select("group", "pos", "top"), ["group", "pos"])
+    return free.select("action_id", F.col("top.link_id").alias("link_id"), predicted_value(F.col("top.value"), F.col("delta")).alias("predicted"))
+
+
 def worst_link(given: SafetyInput) -> DataFrame:
     """(action_id, worst_link, worst_util) after each action.
 
-    The network is ranked once. The highest rank that an action leaves alone is the first gap in the ranks it changes:
-    sorted, these equal their own places up to there. That one competes with the links it does change.
+    The network is ranked once, and so are the links of each group that actions move alike; links of no group are one
+    more. What an action leaves alone is the highest of: the best link of the first group it does not touch, groups being
+    ranked by their best links; the first gap among the links it changes of a group that it does not move; links
+    told apart from a group that it moves. That one competes with what the action changes, one link for a group.
     """
-    changed = _changed(given, given.predicted)
+    changed = cut(_changed(given).select("action_id", "link_id", "predicted"))
     ranked = _utilization(given).withColumns({"_all": F.lit(0), "_down": -F.col("current")})
-    ranked = cut(with_position(ranked, ["_all"], ["_down", "link_id"]).select("link_id", "current", "pos"))
-    places = changed.join(ranked.select("link_id", "pos"), "link_id")
-    place = F.row_number().over(Window.partitionBy("action_id").orderBy("pos")) - 1
-    own = places.withColumn("_place", place).groupBy("action_id").agg(
-        F.count_if(F.col("pos") == F.col("_place")).alias("gap"), F.max(F.struct(F.col("predicted").alias("v"), F.col("link_id"))).alias("own"),
-    )
-    rows = given.actions.select("action_id").join(own, "action_id", "left").withColumn("gap", F.coalesce("gap", F.lit(0)))
-    rest = ranked.select(F.col("pos").alias("gap"), F.col("link_id").alias("_link"), F.col("current").alias("_util"))
-    rows = rows.join(rest, "gap", "left")
-    mine = F.coalesce(F.col("own.v"), F.lit(-1.0)) >= F.coalesce("_util", F.lit(-1.0))
+    ranked = with_position(ranked, ["_all"], ["_down", "link_id"]).select("link_id", "current", F.col("pos").alias("rank"))
+    ahead, moved, spared = changed, None, None
+    if given.effect.groups is None:
+        ranked = ranked.withColumn("group", F.lit(""))
+    else:
+        groups, members, apart = given.changed_alike
+        ranked = ranked.join(members.select("link_id", "group").distinct(), "link_id", "left").withColumn("group", F.coalesce("group", F.lit("")))
+        ahead = changed.unionByName(_highest_alike(groups, members))
+        moved = groups.select("action_id", "group").distinct()
+        spared = apart.select("action_id", "link_id").join(changed, ["action_id", "link_id"], "left_anti")
+    ranked = cut(with_position(cut(ranked), ["group"], ["rank"]).withColumnRenamed("pos", "place"))
+    best = with_position(ranked.where("place = 0").withColumn("_all", F.lit(0)), ["_all"], ["rank"])
+    best = cut(best.select("group", "pos", "rank", "link_id", "current"))
+    own = cut(changed.select("action_id", "link_id").distinct().join(ranked.select("link_id", "group", "place"), "link_id"))
+
+    touched, single = own.select("action_id", "group"), own
+    if moved is not None:
+        touched, single = touched.unionByName(moved), own.join(moved, ["action_id", "group"], "left_anti")
+    untouched = first_gap(touched.join(best.select("group", "pos"), "group"), ["action_id"], "pos")
+    untouched = given.actions.select("action_id").distinct().join(untouched, "action_id", "left").withColumn("pos", F.coalesce("gap", F.lit(0)))
+    entry = F.struct("rank", F.col("link_id").alias("link"), F.col("current").alias("util")).alias("rest")
+    rest = untouched.join(best, "pos").select("action_id", entry)
+    single = first_gap(single, ["action_id", "group"], "place").withColumnRenamed("gap", "place")
+    rest = rest.unionByName(single.join(ranked, ["group", "place"]).select("action_id", entry))
+    if spared is not None:
+        rest = rest.unionByName(spared.join(ranked, "link_id").select("action_id", entry))
+
+    highest = ahead.groupBy("action_id").agg(F.max(F.struct(F.col("predicted").alias("v"), F.col("link_id"))).alias("own"))
+    rows = given.actions.select("action_id").join(highest, "action_id", "left").join(rest.groupBy("action_id").agg(F.min("rest").alias("rest")), "action_id", "left")
+    mine = F.coalesce(F.col("own.v"), F.lit(-1.0)) >= F.coalesce("rest.util", F.lit(-1.0))
     return rows.select(
-        "action_id", F.when(mine, F.col("own.link_id")).otherwise(F.col("_link")).alias("worst_link"),
-        F.when(mine, F.col("own.v")).otherwise(F.col("_util")).alias("worst_util"),
+        "action_id", F.when(mine, F.col("own.link_id")).otherwise(F.col("rest.link")).alias("worst_link"),
+        F.when(mine, F.col("own.v")).otherwise(F.col("rest.util")).alias("worst_util"),
     )
