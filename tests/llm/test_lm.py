@@ -121,6 +121,34 @@ def test_output_is_a_distribution_and_windows_carry_the_state():
         assert abs(net.output(states[:, 0], d)[0].sum() - got) < 1e-3 * len(d)
 
 
+def test_states_and_blocks_agree_with_the_plain_recurrence(monkeypatch):
+    net = lm.Network(lm.Network.start(small_vocabulary()))
+    rnd = np.random.default_rng(6)
+    x, keep = rnd.integers(0, lm.INPUTS, size=(9, 5)), (rnd.random((9, 5)) > 0.2).astype(np.float32)
+    h = first = rnd.normal(size=(5, lm.STATE)).astype(np.float32)
+    trace = []
+    got, last = net.states(x, keep, first, trace)
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for t in range(9):
+        h = h * keep[t][:, None]
+        az, ar, an = np.split(net.p["e"][x[t]] @ net.p["w"] + net.p["b"], 3, axis=1)
+        hz, hr, hn = np.split(h @ net.p["u"], 3, axis=1)
+        z, r = sigmoid(az + hz), sigmoid(ar + hr)
+        n = np.tanh(an + r * hn)
+        for part, want in zip(trace, (h, hn, z, r, n)):
+            assert np.abs(part[t] - want).max() < 1e-5
+        h = z * h + (1 - z) * n
+        assert np.abs(got[t] - h).max() < 1e-5
+    assert np.abs(last - h).max() < 1e-5
+    y = rnd.integers(0, lm.CLASSES * lm.WORDS + lm.ENDINGS, size=45)
+    whole, parts = {}, {}
+    logs, ds = net.output(got.reshape(-1, lm.STATE), y, whole)
+    monkeypatch.setattr(lm, "BLOCK", 7)
+    again, ds_again = net.output(got.reshape(-1, lm.STATE), y, parts)
+    assert np.abs(logs - again).max() < 1e-4 and np.abs(ds - ds_again).max() < 1e-4
+    assert all(np.abs(whole[k] - parts[k]).max() < 1e-4 for k in whole)
+
+
 def test_windows_read_each_token_once():
     docs = [np.arange(n, dtype=np.int32) for n in (1, 33, 500, 32, 2, 90)]
     seen = [[] for _ in docs]

@@ -27,6 +27,7 @@ KNOWN = 1 << 17  # at most so many of the most frequent words have counts that e
 STATE = 16  # units of the network, and numbers of an input vector
 WINDOW = 32  # steps through which training goes back
 TRAIN_LANES, SCORE_LANES = 256, 512  # documents read side by side
+BLOCK = 1024  # tokens whose classes are formed at a time
 BUFFER = 1 << 22  # tokens that are arranged in lanes at a time
 ROUNDS = (1, 7)  # eighths of the training documents after which the tasks' networks are averaged
 RATE = 0.005
@@ -137,38 +138,42 @@ class Network:
             "wk": rnd.normal(0, 0.05, (CLASSES, STATE, WORDS)), "bk": np.log(own / own.sum(axis=1, keepdims=True)),
         }
 
-    def states(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, trace: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def states(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, trace: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """States after each of the inputs x (step, lane); keep is 0 where a document begins. Also the last state.
 
-        `trace` (of 5 parts, step, lane, unit) takes the state before, what it gives to n, and the gates z, r and n.
+        `trace` gets arrays (step, lane, unit): the state before, what it gives to n, and the gates z, r and n.
         """
         steps, lanes = x.shape
         # An input's part of the gates is the same wherever it stands.
-        a = (self.p["e"] @ self.p["w"] + self.p["b"])[x.ravel()].reshape(steps, lanes, 3 * STATE)
-        u, out = self.p["u"], np.empty((steps, lanes, STATE), dtype=np.float32)
-        whole = keep.all(axis=1)
+        parts = by_gate(self.p["e"] @ self.p["w"] + self.p["b"])
+        a = np.empty((3, steps, lanes, STATE), dtype=parts.dtype)
+        for part, rows in zip(parts, a):
+            part.take(x, axis=0, out=rows, mode="clip")
+        u, out = by_gate(self.p["u"]), np.empty((steps, lanes, STATE), dtype=a.dtype)
+        before, given = (np.empty_like(out), np.empty_like(out)) if trace is not None else (None, None)
+        hu, whole = np.empty((3, lanes, STATE), dtype=a.dtype), keep.all(axis=1)
         for t in range(steps):
             if not whole[t]:
                 h = h * keep[t][:, None]
-            hu = h @ u
-            zr = a[t, :, :2 * STATE]
-            zr += hu[:, :2 * STATE]
+            np.matmul(h, u, out=hu)
+            zr, n = a[:2, t], a[2, t]
+            zr += hu[:2]
             np.negative(zr, out=zr)
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            z, r = zr[:, :STATE], zr[:, STATE:]
-            n = a[t, :, 2 * STATE:]
-            n += r * hu[:, 2 * STATE:]
-            np.tanh(n, out=n)
             if trace is not None:
-                for part, values in zip(trace, (h, hu[:, 2 * STATE:], z, r, n)):
-                    part[t] = values
+                before[t], given[t] = h, hu[2]
+            hu[2] *= zr[1]
+            n += hu[2]
+            np.tanh(n, out=n)
             after = out[t]
             np.subtract(h, n, out=after)
-            after *= z
+            after *= zr[0]
             after += n
             h = after
+        if trace is not None:
+            trace += [before, given, *a]
         return out, h
 
     def output(self, s: np.ndarray, y: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -178,19 +183,27 @@ class Network:
         """
         kind = np.where(y < CLASSES * WORDS, y // WORDS, y - CLASSES * WORDS + CLASSES)
         rows = np.arange(len(y))
-        logits = s @ self.p["wc"] + self.p["bc"]
-        if not small(self.p["wc"], self.p["bc"]):
-            logits -= logits.max(axis=1, keepdims=True)
-        chosen = logits[rows, kind]
-        np.exp(logits, out=logits)
-        sums = logits @ np.ones(CLASSES + ENDINGS, dtype=np.float32)
-        out = chosen - np.log(sums)
-        ds = None
+        out, ds, near = np.empty(len(y), dtype=s.dtype), None, small(self.p["wc"], self.p["bc"])
+        if grad is not None:
+            ds, grad["wc"], grad["bc"] = np.empty_like(s), np.zeros_like(self.p["wc"]), np.zeros_like(self.p["bc"])
+        # A block's numbers stay in the processor's cache from one step to the next.
+        for lo in range(0, len(y), BLOCK):
+            mine, at = s[lo:lo + BLOCK], (rows[:len(y) - lo][:BLOCK], kind[lo:lo + BLOCK])
+            logits = mine @ self.p["wc"]
+            logits += self.p["bc"]
+            if not near:
+                logits -= logits.max(axis=1, keepdims=True)
+            chosen = logits[at]
+            np.exp(logits, out=logits)
+            sums = logits @ np.ones(CLASSES + ENDINGS, dtype=np.float32)
+            out[lo:lo + BLOCK] = chosen - np.log(sums)
+            if grad is not None:
+                logits /= sums[:, None]
+                logits[at] -= 1
+                grad["wc"] += mine.T @ logits
+                grad["bc"] += np.ones(len(mine), dtype=np.float32) @ logits
+                np.matmul(logits, self.p["wc"].T, out=ds[lo:lo + BLOCK])
         if grad is not None:
-            logits /= sums[:, None]
-            logits[rows, kind] -= 1
-            grad["wc"], grad["bc"] = s.T @ logits, np.ones(len(y), dtype=np.float32) @ logits
-            ds = logits @ self.p["wc"].T
             grad["wk"], grad["bk"] = np.zeros_like(self.p["wk"]), np.zeros_like(self.p["bk"])
         # Small whole numbers are sorted by their digits.
         order = np.argsort(kind.astype(np.uint8), kind="stable")
@@ -224,33 +237,35 @@ class Network:
     def gradients(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, y: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """The last state and the gradients of one window's summed loss, through all of its steps and no further."""
         steps, lanes = x.shape
-        trace = np.empty((5, steps, lanes, STATE), dtype=np.float32)
+        trace: list[np.ndarray] = []
         s, last = self.states(x, keep, h, trace)
         grad: dict[str, np.ndarray] = {}
         _, ds_live = self.output(s[live], y[live], grad)
         ds = np.zeros_like(s)
         ds[live] = ds_live
-        da = np.empty((steps, lanes, 3 * STATE), dtype=np.float32)
-        dhu = np.empty_like(da)
-        dh = np.zeros((lanes, STATE), dtype=np.float32)
-        ut, whole = self.p["u"].T, keep.all(axis=1)
         before, hn, z, r, n = trace
-        by_n, by_z, by_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), hn * r * (1 - r)
+        by_n = (1 - z) * (1 - n * n)
+        # What reaches the state's part of each gate; n's own part differs by r.
+        dhu, dn = np.stack([(before - n) * z * (1 - z), hn * r * (1 - r), r]), np.empty_like(s)
+        dh, back = np.zeros((lanes, STATE), dtype=s.dtype), np.empty((3, lanes, STATE), dtype=s.dtype)
+        ut, whole = by_gate(self.p["u"]).swapaxes(1, 2), keep.all(axis=1)
         for t in range(steps - 1, -1, -1):
-            dh = dh + ds[t]
-            dn = da[t, :, 2 * STATE:]
-            np.multiply(dh, by_n[t], out=dn)
-            np.multiply(dh, by_z[t], out=dhu[t, :, :STATE])
-            np.multiply(dn, by_r[t], out=dhu[t, :, STATE:2 * STATE])
-            np.multiply(dn, r[t], out=dhu[t, :, 2 * STATE:])
-            dh = dh * z[t]
-            dh += dhu[t] @ ut
+            dh += ds[t]
+            part = dhu[:, t]
+            np.multiply(dh, by_n[t], out=dn[t])
+            part[0] *= dh
+            part[1:] *= dn[t]
+            np.matmul(part, ut, out=back)
+            dh *= z[t]
+            dh += back[0]
+            dh += back[1]
+            dh += back[2]
             if not whole[t]:
                 dh *= keep[t][:, None]
-        da[:, :, :2 * STATE] = dhu[:, :, :2 * STATE]
-        before = before.reshape(-1, STATE)
-        grad["u"] = before.T @ dhu.reshape(-1, 3 * STATE)
-        flat = da.reshape(-1, 3 * STATE)
+        beside = lambda gates: np.concatenate(gates, axis=1)
+        rows = dhu.reshape(3, -1, STATE)
+        grad["u"] = beside(before.reshape(-1, STATE).T @ rows)
+        flat = beside([rows[0], rows[1], dn.reshape(-1, STATE)])
         ids = x.ravel()
         grad["w"], grad["b"] = self.p["e"][ids].T @ flat, flat.sum(axis=0)
         de = flat @ self.p["w"].T
@@ -261,6 +276,11 @@ class Network:
         return last, grad
 
 
+def by_gate(weights: np.ndarray) -> np.ndarray:
+    """Rows of the gates z, r and n side by side as one array per gate, in which the numbers of all lanes stand together."""
+    return np.ascontiguousarray(weights.reshape(-1, 3, STATE).swapaxes(0, 1))
+
+
 def small(weights: np.ndarray, biases: np.ndarray) -> bool:
     """Whether no state, whose units lie between -1 and 1, gives a number whose exponential float32 cannot hold."""
     return float((np.abs(weights).sum(axis=-2) + np.abs(biases)).max()) < 60.0
