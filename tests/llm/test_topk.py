@@ -94,3 +94,29 @@ def test_many_query_blocks_meet_vector_blocks_by_equality(spark, monkeypatch):
         best = sorted((-int(s), j) for j, s in enumerate(scores[i]) if j != i)[:3]
         assert got[i] == [(j, -s) for s, j in best]
     assert len(got) == 4000
+
+
+def test_the_longest_vectors_are_merged_outside_the_driver(spark, monkeypatch):
+    """Eight tasks offer about 0.2 MB each; what the driver may receive is less than all of them and more than one."""
+    monkeypatch.setattr(topk, "SEEDS", 400)
+    rnd = np.random.default_rng(8)
+    v = np.floor(64 * rnd.normal(size=(4000, 64))).astype(np.int64)
+    v[::2] = v[0]  # as long as each other, so that no length parts them
+    conf, limit = spark.sparkContext._jsc.sc().conf(), "spark.driver.maxResultSize"
+    rows = spark.createDataFrame([(i, (x / 64).tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        conf.set(limit, "1m")
+        held = topk.cut(topk.quantised(rows, "vec_id", "embedding"))
+        assert held.rdd.getNumPartitions() == 8
+        got = [r["id"] for r in topk.longest(held, 400).collect()]
+        found = topk.top_k(rows, F.col("id") < 40, 3).orderBy("query_id", "rank").collect()
+    finally:
+        conf.remove(limit)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    norms = (v**2).sum(1)
+    assert sorted(got) == sorted(np.lexsort((np.arange(4000), -norms))[:400].tolist())
+    scores = v @ v.T
+    for i in range(40):
+        best = sorted((-int(s), j) for j, s in enumerate(scores[i]) if j != i)[:3]
+        assert [(r["vec_id"], r["score"]) for r in found if r["query_id"] == i] == [(j, -s) for s, j in best]
