@@ -124,6 +124,20 @@ def test_clique_pairs_are_written_once_and_not_shuffled(spark, nodes, links, gra
     assert "Aggregate" not in plan
 
 
+def test_pairs_of_busy_keys_are_cut_into_a_grid(spark):
+    left = spark.createDataFrame([(k, i) for k, n in (("x", 90), ("y", 3), ("z", 1), ("only", 4), (None, 5)) for i in range(n)] + [("x", 0)], "key string, a int")
+    right = spark.createDataFrame([(k, i) for k, n in (("x", 70), ("y", 200), ("z", 1), (None, 2)) for i in range(n)] + [("y", 7)], "key string, b int")
+    want = sorted(map(tuple, left.join(right, "key").collect()))
+    for most in (300, 10**6):
+        assert sorted(map(tuple, TP.pairs_at(left, right, "key", most).select("key", "a", "b").collect())) == want
+    # Rows repeated for 467 blocks of 21,600 rows that meet as many: 22 times each, not 467 times those of one side.
+    sizes = spark.createDataFrame([(21_600, 21_600), (40_000, 100), (1, 5_000_000), (3, 2)], "_l long, _r long")
+    cuts = {r["_l"]: r for r in TP.grid(sizes, 1_000_000).collect()}
+    assert (cuts[21_600]["_ls"], cuts[21_600]["_rs"]) == (22, 22) and (cuts[1]["_ls"], cuts[1]["_rs"]) == (1, 5) and (cuts[3]["_ls"], cuts[3]["_rs"]) == (1, 1)
+    for r in cuts.values():
+        assert r["_l"] * r["_r"] <= 1.3e6 * r["_ls"] * r["_rs"]
+
+
 def test_union_graph_is_the_union_of_edges(spark, nodes, links, graph):
     hubs = C.structural_graph(nodes, links, max_degree=2)
     learned = spark.createDataFrame([
