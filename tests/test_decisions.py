@@ -128,6 +128,28 @@ def test_effects_do_not_tell_leaves_of_a_hub_apart(spark):
     assert worst(told) == worst(plain.rows)
 
 
+def test_the_state_meets_readings_before_they_are_repeated_per_action(spark):
+    ends = [("H", f"U{i}") for i in range(14)] + [("H", "K"), ("K", "V0"), ("K", "V1"), ("K", "V2")]
+    links = spark.createDataFrame([("-".join(sorted(e)), *e) for e in ends], "link_id string, source string, target string")
+    nodes = spark.createDataFrame([(n, "edge") for n in sorted({n for e in ends for n in e})], "node_id string, node_type string")
+    rows = [("-".join(sorted(e)), m, v) for e in ends for m, v in (("utilization_pct", 3.0 + len(e[1])), ("latency_ms", 1.0), ("packet_loss_pct", 0.5))]
+    state = spark.createDataFrame(rows, "entity_id string, metric string, value double")
+    now = spark.createDataFrame(rows[4:] + rows[6:9], "entity_id string, metric string, value double")  # some are missing, some stand there twice
+    none = {"target_node": None, "parameters": {"reduction_pct": "30"}}
+    actions = spark.createDataFrame([{"action_id": f"a{i}", "action_type": "rate_limit", "target_link": f"H-U{i}", **none} for i in range(4)],
+                                    "action_id string, action_type string, target_link string, target_node string, parameters map<string,string>")
+    show = lambda rows: sorted((r["action_id"], r["entity_id"], r["metric"], None if r["value"] is None else round(r["value"], 6)) for r in rows.collect())
+    hubs = W.effect(actions, state, C.structural_graph(nodes, links, max_degree=2))
+    assert hubs.groups is not None and hubs.groups.count() > 0
+    for zero in (False, True):
+        merged = S.merge_states(now, hubs, zero)
+        plain = S.merge_states(now, W.counterfactual(actions, state, C.structural_graph(nodes, links, max_degree=1000)), zero)
+        assert show(merged) == show(plain)
+    # The state is joined below the grid that repeats readings per action.
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("LeftOuter") > plan.rindex("RepartitionByExpression")
+
+
 def test_worst_link_reads_a_group_by_its_highest_links(spark, monkeypatch):
     rng = random.Random(5)
     ids = [f"L{i:02}" for i in range(24)]

@@ -143,10 +143,20 @@ SELECT action_id, entity_id, metric, round(greatest(0, current + delta) + 1e-9,
 )
 
 
+def exact_value(value, delta):
+    """A predicted value; the small offset keeps decimal ties from rounding by their last binary digit."""
+    return F.round(F.greatest(F.lit(0.0), value + delta) + 1e-9, 6)
+
+
 def exact_predictions(spark, d):
-    """Predicted values; the small offset keeps decimal ties from rounding by their last binary digit."""
     rows = W.counterfactual(link_action_rows(spark, d), cut(T.state(spark, d)), graph(spark, d))
-    return rows.select("action_id", "entity_id", "metric", F.round(F.greatest(F.lit(0.0), F.col("current") + F.col("delta")) + 1e-9, 6).alias("predicted"))
+    return rows.select("action_id", "entity_id", "metric", exact_value(F.col("current"), F.col("delta")).alias("predicted"))
+
+
+def positive_value(value, delta):
+    """As `exact_value`, and 0.0 for what only the offset keeps above it."""
+    exact = exact_value(value, delta)
+    return F.when(exact > 1e-8, exact).otherwise(0.0)
 
 
 query("counterfactual_risk", sql("links nodes inc util state scen", f"""WITH {EFFECT}, {PREDICTED}
@@ -264,7 +274,7 @@ def verdict_proofs(spark, d):
 query("state_overlay", sql("links nodes inc util state scen", f"""WITH {EFFECT}, {PREDICTED}
 SELECT action_id, entity_id, metric, CASE WHEN current + delta <= 0 THEN current ELSE round(current + delta + 1e-9, 6) END AS value FROM pred"""))(
     lambda spark, d: S.merge_states(
-        T.state(spark, d), exact_predictions(spark, d).withColumn("predicted", F.when(F.col("predicted") > 1e-8, F.col("predicted")).otherwise(0.0)), True)
+        T.state(spark, d), W.effect(link_action_rows(spark, d), cut(T.state(spark, d)), graph(spark, d), predict=positive_value), True)
 )
 query("rolling_action_count", sql("utel", """
 SELECT 'E' || e.seq AS action_id, count(p.ts) AS recent FROM (SELECT * FROM utel WHERE metric = 'packet_loss_pct') e

@@ -118,18 +118,18 @@ def count_above(groups: DataFrame, members: DataFrame, limit: float) -> DataFram
     return summed.where("kind = 1").select("action_id", F.col("above").alias("n")).unionByName(near.select("action_id", "n"))
 
 
-def merge_states(state: DataFrame, predicted: DataFrame, zero_is_missing: bool = False) -> DataFrame:
+def merge_states(state: DataFrame, predicted: DataFrame | Effect, zero_is_missing: bool = False) -> DataFrame:
     """Predicted values over current ones, per (action, entity, metric) an action changes.
 
-    `zero_is_missing` treats a predicted 0.0 as no prediction.
+    `zero_is_missing` treats a predicted 0.0 as no prediction. The state is joined to rows of `predicted`, or to the readings
+    of an effect, which are fewer than the rows it has; these are then written without a shuffle.
     """
     value = F.col("predicted")
     if zero_is_missing:
         value = F.when(value != 0.0, value)
-    rows = predicted.select("action_id", "entity_id", "metric", value.alias("_p")).join(
-        state.select("entity_id", "metric", F.col("value").alias("_c")), ["entity_id", "metric"], "left"
-    )
-    return rows.select("action_id", "entity_id", "metric", F.coalesce("_p", "_c").alias("value"))
+    given = predicted if isinstance(predicted, Effect) else Effect(predicted)
+    rows = given.beside(state.select("entity_id", "metric", F.col("value").alias("_c"))).all_rows()
+    return rows.select("action_id", "entity_id", "metric", F.coalesce(value, "_c").alias("value"))
 
 
 def max_link_utilization(given: SafetyInput) -> DataFrame:

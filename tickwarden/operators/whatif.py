@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -171,12 +172,22 @@ class Effect:
 
     `rows`: action_id, entity_id, metric, current, delta, predicted. `groups`: action_id, hub, group, metric, delta, apart: the
     action moves every reading in `members` (hub, group, leaf, entity_id, metric, value) by that, but those of the leaves
-    `apart`, which `rows` has. An entity has readings of one leaf only. Without groups `rows` has everything.
+    `apart`, which `rows` has. An entity has readings of one leaf only. Without groups `rows` has everything. `predict` gives
+    the predicted value of a current one and its delta.
     """
 
     rows: DataFrame
     groups: DataFrame | None = None
     members: DataFrame | None = None
+    predict: Callable[[Column, Column], Column] | None = None
+
+    def beside(self, facts: DataFrame) -> Effect:
+        """The same with the columns of `facts` (entity_id, metric, ...) beside each reading, null where it has none.
+
+        They are joined to the readings before these are repeated per action.
+        """
+        join = lambda rows: None if rows is None else rows.join(facts, ["entity_id", "metric"], "left")
+        return replace(self, rows=join(self.rows), members=join(self.members))
 
     def told_apart(self) -> DataFrame:
         """The readings that `groups` leaves out: action_id, hub, group, entity_id, metric, value, delta."""
@@ -187,8 +198,8 @@ class Effect:
         """One row per (action, reading), as many as the answer has. Those of groups are written without a shuffle of them."""
         if self.groups is None:
             return self.rows
-        told = pairs_at(self.groups, self.members.drop("metric", "hub"), "group").where(~F.array_contains("apart", F.col("leaf")))
-        return self.rows.unionByName(_ahead(told.withColumnRenamed("value", "current")).select(self.rows.columns))
+        told = pairs_at(self.groups.drop("hub"), self.members.drop("metric", "hub"), "group").where(~F.array_contains("apart", F.col("leaf")))
+        return self.rows.unionByName(_ahead(told.withColumnRenamed("value", "current"), self.predict).select(self.rows.columns))
 
     def total(self, weights: DataFrame | None = None, also: DataFrame | None = None, name: str = "n") -> DataFrame:
         """(action_id, `name`): weight of the distinct entities an action touches, by default their number.
@@ -211,18 +222,20 @@ class Effect:
         return parts.groupBy("action_id").agg(F.sum("w").alias(name))
 
 
-def _ahead(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("predicted", predicted_value(F.col("current"), F.col("delta")))
+def _ahead(rows: DataFrame, predict: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    return rows.withColumn("predicted", (predict or predicted_value)(F.col("current"), F.col("delta")))
 
 
 def predicted_value(value: Column, delta: Column) -> Column:
     return F.round(F.greatest(F.lit(0.0), value + delta), 4)
 
 
-def effect(actions: DataFrame, state: DataFrame, graph: CausalGraph, compat: bool = False) -> Effect:
+def effect(
+    actions: DataFrame, state: DataFrame, graph: CausalGraph, compat: bool = False, predict: Callable[[Column, Column], Column] | None = None
+) -> Effect:
     """Predicted values for metrics the state tracks, as far as actions tell them apart.
 
-    `compat` cuts variable names at the last underscore, which loses the two-word metrics.
+    `compat` cuts variable names at the last underscore, which loses the two-word metrics. `predict` is `predicted_value` by default.
     """
     entity, short = split_variable(F.col("variable"), compat)
     read = lambda rows, *more: rows.select(*more, entity.alias("entity_id"), full_metric(short).alias("metric")).join(
@@ -230,14 +243,14 @@ def effect(actions: DataFrame, state: DataFrame, graph: CausalGraph, compat: boo
     told = spread(graph, initial_deltas(actions, state))
     big = F.abs("delta") >= 0.01
     rows = read(told.rows.where(big), "action_id", "delta").withColumnRenamed("value", "current")
-    rows = _ahead(rows).select("action_id", "entity_id", "metric", "current", "delta", "predicted")
+    rows = _ahead(rows, predict).select("action_id", "entity_id", "metric", "current", "delta", "predicted")
     if told.alike is None:
-        return Effect(rows)
+        return Effect(rows, predict=predict)
     members = read(told.cones, "hub", "leaf", "depth", "weights")
     members = cut(members.withColumn("group", F.to_json(F.struct("hub", "depth", "weights", "metric"))))
     kinds = members.select("hub", "depth", "weights", "group", "metric").distinct()
     groups = told.moved(kinds).where(big).select("action_id", "hub", "group", "metric", "delta", "apart")
-    return Effect(cut(rows), cut(groups), members.select("hub", "group", "leaf", "entity_id", "metric", "value"))
+    return Effect(cut(rows), cut(groups), members.select("hub", "group", "leaf", "entity_id", "metric", "value"), predict)
 
 
 def counterfactual(actions: DataFrame, state: DataFrame, graph: CausalGraph, compat: bool = False) -> DataFrame:
