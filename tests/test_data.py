@@ -142,6 +142,15 @@ def test_covered_rows_have_role_and_place(spark, links, nodes):
     assert {r["ts"].minute for r in one} == set(range(10, 31))
 
 
+def test_scenarios_meet_links_of_a_node_by_time(spark, links, nodes):
+    """Links without a reading in the window are never listed: what is joined by node is joined by time bin as well."""
+    long = R.to_long(day_of(spark, links, nodes, 20)).withColumn("seq", F.unix_micros("ts"))
+    plan = scenario_rows(spark, [("s1", "fiber_cut", minute(10), minute(30), "critical", None, "AGG3-EDGE3"), ("s2", "ddos_surge", minute(5), minute(8), "medium", "CR2", None)])
+    text = DS.covered(long, plan, links)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in text.splitlines() if "Join Inner" in x and "node_id" in x]
+    assert joins and all("_bin" in x for x in joins)
+
+
 def test_conversations_round_trip(spark, tmp_path):
     rows = spark.createDataFrame(
         [("ddos_surge", "rate_limit", "effective", "CR1_cpu", "busy", 0.5, {f"m{i:02d}": float(i) for i in range(20)}), ("x", "", "effective", "r", "d", 0.1, {})],

@@ -9,7 +9,8 @@ from tickwarden.functions.ids import lookup
 from tickwarden.functions.text import OUTCOME_NOTES, chat
 from tickwarden.operators.intervals import interval_join
 from tickwarden.operators.series import with_position
-from tickwarden.operators.topology import incidence, sibling_links
+from tickwarden.operators.topology import incidence
+from tickwarden.session import cut
 
 
 def draw(seed: int, *parts: Column) -> Column:
@@ -19,22 +20,27 @@ def draw(seed: int, *parts: Column) -> Column:
 
 # -- coverage ----------------------------------------------------------------------------------------------------
 
-def scenario_roles(scenarios: DataFrame, links: DataFrame) -> DataFrame:
-    """(scenario_id, start_time, end_time, entity_id, role): each scenario's root, and the links that meet it.
+def role_readings(long: DataFrame, scenarios: DataFrame, links: DataFrame) -> DataFrame:
+    """The readings, with scenario_id and role, inside the window of each scenario: of its root, and of the links that meet it.
 
-    Links at a root node are `attached`; links that share an end with a root link are its `sibling`s.
+    Links at a root node are `attached`; links that share an end with a root link are its `sibling`s. Scenarios meet readings by
+    node and time, so that links of a node without a reading in the window are never listed.
     """
     names = ["scenario_id", "start_time", "end_time"]
-    role = lambda rows, entity, name: rows.select(*names, F.col(entity).alias("entity_id"), F.lit(name).alias("role"))
+    inside = lambda rows, windows, on: interval_join(rows, windows, "start_time", "end_time", on=[on])
+    role = lambda rows, name: rows.select(*long.columns, "scenario_id", F.lit(name).alias("role"))
     of_node = scenarios.where(F.col("root_cause_node").isNotNull()).select(*names, F.col("root_cause_node").alias("node_id"))
     of_link = scenarios.where(F.col("root_cause_link").isNotNull() & F.col("root_cause_node").isNull()).select(*names, F.col("root_cause_link").alias("target_link"))
-    siblings = sibling_links(of_link.select(F.col("target_link").alias("link_id")).distinct(), links)
-    return (
-        role(of_node, "node_id", "root")
-        .unionByName(role(of_link, "target_link", "root"))
-        .unionByName(role(of_node.join(incidence(links).select("node_id", "link_id"), "node_id"), "link_id", "attached"))
-        .unionByName(role(of_link.join(siblings.select("target_link", "link_id").distinct(), "target_link"), "link_id", "sibling"))
-    )
+    ends = cut(incidence(links).select(F.col("link_id").alias("entity_id"), "node_id"))
+    nodes = cut(ends.groupBy("entity_id").agg(F.array_sort(F.collect_set("node_id")).alias("_nodes")))
+    roots = of_node.withColumnRenamed("node_id", "entity_id").unionByName(of_link.withColumnRenamed("target_link", "entity_id"))
+    # Links that share both ends with the root meet it at the first of them.
+    own = nodes.select(F.col("entity_id").alias("target_link"), F.col("_nodes").alias("_own"))
+    own = of_link.join(own, "target_link").withColumn("node_id", F.explode("_own"))
+    met = inside(long.join(nodes, "entity_id").withColumn("node_id", F.explode("_nodes")), own, "node_id")
+    met = met.where((F.col("entity_id") != F.col("target_link")) & (F.array_min(F.array_intersect("_own", "_nodes")) == F.col("node_id")))
+    attached = inside(long.join(ends, "entity_id"), of_node, "node_id")
+    return role(inside(long, roots, "entity_id"), "root").unionByName(role(attached, "attached")).unionByName(role(met, "sibling"))
 
 
 def covered(long: DataFrame, scenarios: DataFrame, links: DataFrame) -> DataFrame:
@@ -43,7 +49,7 @@ def covered(long: DataFrame, scenarios: DataFrame, links: DataFrame) -> DataFram
     Adds scenario_id, role and `share`, the reading's place among those of its entity and scenario: from 0 for the first
     to 1 for the last one, 0 for a single one.
     """
-    hits = interval_join(long, scenario_roles(scenarios, links), "start_time", "end_time", on=["entity_id"]).drop("start_time", "end_time")
+    hits = role_readings(long, scenarios, links)
     keys = ["scenario_id", "entity_id"]
     placed = with_position(hits, keys, ["ts", "seq", "metric"])
     sizes = placed.groupBy(*keys).agg(F.count("*").alias("_n"))
